@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, secret_scan, simhash_dedup, tokens
+from . import fingerprints, packing, pii, secret_scan, simhash_dedup, tokens
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_dedup.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -40,7 +44,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
