@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -159,7 +160,7 @@ def with_scores(docs: DataFrame, machine: Machine | None, column: str = "score")
             s = machine.scores(np.stack([features(t or "") for t in texts]).astype(np.float64)) if machine and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, docs.schema.add(column, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, accept: float = 0.7, sample_rows: int = 6000) -> DataFrame:
