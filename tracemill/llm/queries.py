@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, packing, pii, quality, secret_scan, simhash_dedup, tokens
+from . import decontam, fingerprints, html_extract, langid, packing, pii, quality, secret_scan, simhash_dedup, tokens
 from .common import table
 
 
@@ -20,6 +20,15 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each page and each document; page_id or doc_id says which."""
+    docs = table(spark, sf_dir, "documents")
+    texts = langid.learn(docs, sample_rows=4000)
+    of_pages = langid.identify_pages(table(spark, sf_dir, "pages"), texts).withColumn("doc_id", F.lit(None).cast("long"))
+    of_docs = langid.identify_documents(docs, texts).withColumn("page_id", F.lit(None).cast("long"))
+    return of_docs.unionByName(of_pages)
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_texts(table(spark, sf_dir, "pages"), sample_rows=2000)
 
@@ -56,7 +65,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op4_html_extraction, op5_benchmark_decontamination, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_language_id, op4_html_extraction, op5_benchmark_decontamination, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
