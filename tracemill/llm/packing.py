@@ -25,20 +25,47 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-_ids: dict[str, dict[str, bytes]] = {}
+_memory: dict[str, tuple[tokens.Memory, tokens.Memory, np.ndarray]] = {}
+
+
+def byte_lengths(path: str) -> np.ndarray:
+    """Bytes of text that each id of a byte-level vocabulary stands for; special tokens stand for their string."""
+    t = tokens.library(path)
+    special = {i: len(a.content.encode()) for i, a in t.get_added_tokens_decoder().items()}
+    sizes = np.zeros(t.get_vocab_size(), dtype=np.int64)
+    for token, i in t.get_vocab().items():
+        sizes[i] = special.get(i, len(token))  # the vocabulary writes each byte as one character
+    return sizes
 
 
 def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers, as the library gives them for the whole text."""
-    known = _ids.setdefault(path, {})
+    """Ids of each text as little-endian unsigned 32-bit integers, as the library gives them for the whole text.
+
+    A text's inner parts stand for themselves with the space before them. New ones are encoded in one call, as a text of
+    their own; the bytes that each id stands for tell which ids are whose. First and last parts may begin or end with
+    white space and are encoded one by one.
+    """
+    if path not in _memory:
+        _memory[path] = tokens.Memory(), tokens.Memory(), byte_lengths(path)
+    inner, outer, sizes = _memory[path]
+    library = tokens.library(path)
     for run in tokens.blocks(texts):
-        chunks = [tokens.space_chunks(t) for t in run]
-        new = list(set().union(*chunks).difference(known))
-        for c, e in zip(new, tokens.library(path).encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        for c in chunks:
-            yield b"".join(map(known.__getitem__, c))
-        tokens.trim(known, new)
+        parts = [tokens.space_parts(t) for t in run]
+        middle = [p[1:-1] for p in parts]
+        ends = [(p[0], " " + p[-1] if len(p) > 1 else "") for p in parts]
+        if new := inner.missing(middle):
+            ids = np.array(library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in new), dtype=np.int64, count=len(new)))
+            stops = (4 * np.searchsorted(np.cumsum(sizes[ids]), stops) + 4).tolist()
+            flat = ids.tobytes()
+            inner.known.update(zip(new, [flat[a:b] for a, b in zip([0, *stops], stops)]))
+        odd = outer.missing(ends)
+        for p, e in zip(odd, library.encode_batch_fast(odd, add_special_tokens=False)):
+            outer.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for m, (first, last) in zip(middle, ends):
+            yield b"".join([outer.known[first], *map(inner.known.__getitem__, m), outer.known[last]])
+        inner.settle(new)
+        outer.settle(odd)
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Both tokenizers used here never let a token cross certain boundaries, so a text is cut there and every distinct chunk is
 encoded once by the library: `word_chunks` cuts at ASCII white space (the word vocabulary drops white space), and
-`space_chunks` before a single space between two other characters (the byte vocabulary puts that space in front of the
+`space_parts` at a single space between two other characters (the byte vocabulary puts that space in front of the
 word). What the library gives for the chunks, in order, is what it gives for the text. Encoded chunks are kept in a
 bounded memory of the Python worker; Arrow batches are cut again by bytes before the library sees them.
 """
@@ -19,12 +19,37 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries and bytes of one chunk that a worker remembers, length of those that stay when it is full, and bytes of text that are worked on at once.
-KEEP_CHUNKS, KEEP_BYTES, STAY_BYTES, BLOCK_BYTES = 500_000, 80, 9, 1 << 20
-ODD_SPACE = re.compile(r"^ |\s\s| $")
+#: Entries that a worker remembers in each of two generations, the longest chunk it remembers, and bytes of text that are worked on at once.
+KEEP_CHUNKS, KEEP_BYTES, BLOCK_BYTES = 600_000, 80, 1 << 20
+#: White space as the tokenizers' patterns have it (Unicode White_Space) and the few other characters that Python counts.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[str, object] = {}
-_counts: dict[str, dict[bytes, int]] = {}
+_counts: dict[str, Memory] = {}
+
+
+class Memory:
+    """What chunks are encoded as, in two generations: a full one becomes the old one, from which what is used again comes back."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self.old: dict = {}
+
+    def missing(self, chunks: list[list]) -> list:
+        """The distinct chunks that are not known, after those of the old generation are."""
+        new = set().union(*chunks).difference(self.known)
+        if self.old:
+            back = [c for c in new if c in self.old]
+            self.known.update((c, self.old[c]) for c in back)
+            new.difference_update(back)
+        return list(new)
+
+    def settle(self, new: list) -> None:
+        for c in new:
+            if len(c) > KEEP_BYTES:
+                del self.known[c]
+        if len(self.known) > KEEP_CHUNKS:
+            self.known, self.old = {}, self.known
 
 
 def library(path: str):
@@ -43,10 +68,10 @@ def word_chunks(text: bytes) -> list[bytes]:
     return text.split()
 
 
-def space_chunks(text: str) -> list[str]:
-    """Chunks whose concatenation is the text; all but the first begin with a single space."""
-    parts = SINGLE_SPACE.split(text) if ODD_SPACE.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
+def space_parts(text: str) -> list[str]:
+    """The text cut at its single spaces between other characters. All parts but the first and last begin and end with such."""
+    odd = "  " in text or text[:1] == " " or text[-1:] == " " or any(c in text and (" " + c in text or c + " " in text) for c in SPACES)
+    return SINGLE_SPACE.split(text) if odd else text.split(" ")
 
 
 def blocks(texts: list, size: int = BLOCK_BYTES) -> Iterator[list]:
@@ -62,28 +87,16 @@ def blocks(texts: list, size: int = BLOCK_BYTES) -> Iterator[list]:
         yield run
 
 
-def trim(known: dict, new: list) -> None:
-    """Keep a worker's memory bounded: very long chunks go at once, and all but the short, frequent ones when it is full."""
-    for w in new:
-        if len(w) > KEEP_BYTES:
-            del known[w]
-    if len(known) > KEEP_CHUNKS:
-        for w in [w for w in known if len(w) > STAY_BYTES]:
-            del known[w]
-    if len(known) > KEEP_CHUNKS:
-        known.clear()
-
-
 def counts(texts: list[bytes], path: str) -> list[int]:
     """Tokens of each text (UTF-8), as the library counts them for the whole text."""
-    known, out = _counts.setdefault(path, {}), []
+    memory, out = _counts.setdefault(path, Memory()), []
     for run in blocks(texts):
         words = [word_chunks(t) for t in run]
-        new = list(set().union(*words).difference(known))
-        lengths = [len(e) for e in library(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        known.update(zip(new, lengths))
-        out += [sum(map(known.__getitem__, w)) for w in words]
-        trim(known, new)
+        new = memory.missing(words)
+        found = library(path).encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        memory.known.update(zip(new, map(len, found)))
+        out += [sum(map(memory.known.__getitem__, w)) for w in words]
+        memory.settle(new)
     return out
 
 
