@@ -12,6 +12,7 @@ def epoch(ts: Column, start: Column | int, grain: int, align: bool = False) -> C
     Unless the window starts on the grain, its first part and the next whole grain are both epoch 0; `align` counts from
     the grain that the window starts in instead.
     """
+    start = start if isinstance(start, Column) else F.lit(start)
     floored = F.lit(float(grain)) * F.floor(ts / float(grain))
     origin = F.lit(float(grain)) * F.floor(start / float(grain)) if align else start
     return ((floored - origin) / float(grain)).cast("int")

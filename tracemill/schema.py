@@ -29,7 +29,7 @@ def problems(visits: DataFrame, roi_map: DataFrame) -> list[str]:
     types = dict(visits.dtypes)
     found += [f"visits.{c} is {types[c]}, not an integer" for c in ("user_id", "ts") if types[c] not in ("int", "bigint")]
     found += [f"roi_map.{c} is {t}, not a double" for c, t in roi_map.dtypes if c in ("lon", "lat") and t != "double"]
-    first = visits.agg(F.min("user_id"), F.count_if("ts is null or roi is null or user_id is null")).first()
+    first = visits.agg(F.min("user_id"), F.count_if(F.expr("ts is null or roi is null or user_id is null"))).first()
     if first[0] is not None and first[0] != 1:
         found.append(f"user ids start at {first[0]}, not 1")
     if first[1]:
