@@ -133,7 +133,9 @@ def accounts(text: str, ends: list[int]) -> Iterator[tuple[int, int]]:
         m = IBAN.match(text, end)
         stop = iban_end(text, m.start(1), m.end(1)) if m else None
         if not stop and (m := NUMBER.match(text, end)):
-            stop = m.end(1)
+            number = m.group(1)
+            if not (number[:2].isalpha() and number[2:4].isdigit() and sum(map(str.isalnum, number)) >= 15):  # else an IBAN that isn't valid
+                stop = m.end(1)
         if stop:
             yield m.start(1), stop
             floor = stop
