@@ -212,7 +212,10 @@ def learn(pages: DataFrame, sample_rows: int = 2000, smoothing: float = 5.0) ->
     WORD_LIMIT and TAG_LIMIT; words in boilerplate are never above zero, words of prose at least 0.1, and no tag is above zero.
     """
     common.small_batches(pages.sparkSession, 64)
-    rows = pages.where(F.col("html").contains("<article") | F.col("html").contains("<main")).orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(sample_rows)
+    labelled = pages.where(F.col("html").contains("<article") | F.col("html").contains("<main"))
+    # ids first: only the chosen pages' html moves, however many tasks there are
+    chosen = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
+    rows = labelled.join(F.broadcast(chosen), labelled["page_id"].eqNullSafe(chosen["page_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -222,7 +225,7 @@ def learn(pages: DataFrame, sample_rows: int = 2000, smoothing: float = 5.0) ->
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "inside", "n"])
 
-    counted = rows.select(F.col("html").cast("string").alias("html")).repartition(16).mapInArrow(run, "kind string, inside boolean, n long")
+    counted = rows.select(F.col("html").cast("string").alias("html")).mapInArrow(run, "kind string, inside boolean, n long")
     by: dict[str, list[int]] = {}
     for r in counted.groupBy("kind").agg(F.sum(F.col("n") * F.col("inside").cast("int")).alias("i"), F.sum("n").alias("n")).collect():
         by[r.kind] = [r.i, r.n - r.i]

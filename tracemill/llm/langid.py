@@ -75,7 +75,10 @@ class Texts:
 def learn(labelled: DataFrame, sample_rows: int = 4000) -> Texts:
     """Trigram counts by language of labelled(doc_id, text, lang), from at most sample_rows rows by a hash of doc_id."""
     common.small_batches(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_rows)
+    labelled = labelled.where("lang is not null and text is not null")
+    # ids first: only the chosen rows' texts are read by tasks, where they are
+    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = labelled.join(F.broadcast(chosen), labelled["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -86,7 +89,7 @@ def learn(labelled: DataFrame, sample_rows: int = 4000) -> Texts:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at].astype(np.int64))], names=["lang", "bin", "n"])
 
-    counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).repartition(16).mapInArrow(run, "lang string, bin int, n long")
+    counted = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, "lang string, bin int, n long")
     got = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # at most languages * BINS rows
     languages = sorted({r.lang for r in got}) or ["und"]
     counts = np.zeros((len(languages), BINS))

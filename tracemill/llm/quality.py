@@ -136,14 +136,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Machin
     chosen = chosen.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "quality").limit(sample_rows)  # so the broadcast is bounded
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "quality").limit(sample_rows)
+    rows = rows.join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [features(t or "").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column(1)], names=["x", "quality"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "x", "quality"])
 
-    got = rows.select("text", "quality").mapInArrow(run, "x binary, quality int").collect()
+    vectors = rows.select("text", "doc_id", "quality").mapInArrow(run, "doc_id long, x binary, quality int")
+    got = vectors.orderBy(F.xxhash64("doc_id"), "quality", F.xxhash64("x")).limit(sample_rows).collect()
     if not got:
         return None
     return fit(np.stack([np.frombuffer(r.x, dtype=np.float32) for r in got]).astype(np.float64), np.array([r.quality for r in got], dtype=np.float64))
