@@ -120,6 +120,37 @@ def test_op1_awkward(odd):
     assert len(got) == len(AWKWARD)
     empty = {r.component_id for r in got if r.fp == 0}
     assert empty == {2} and simhash_dedup.near_duplicates(odd.limit(0)).count() == 0
+    assert len({r.component_id for r in simhash_dedup.similar_documents(odd).collect() if r.doc_id in (2, 3, 5)}) == 1
+    assert simhash_dedup.similar_documents(odd).count() == len(AWKWARD) and simhash_dedup.similar_documents(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_similar_documents_are_those_of_brute_force(spark, block):
+    """Near copies of near copies, so that groups have links and pairs that are none, in one block and in many."""
+    rng, made = random.Random(5), []
+    for base in range(6):
+        words = [rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(rng.choice([4, 40, 150]))]
+        for _ in range(12):
+            made.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = "new" + str(rng.randrange(1000))
+    rows = [(3 * i, t) for i, t in enumerate(made)] + [(1, made[0].upper()), (1, made[0]), (2, None), (4, " ")]
+    got = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block).collect()
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
+    prints = [simhash_dedup.fingerprint(t, 2) for _, t in rows]
+    links = [
+        (i, j)
+        for i in range(len(rows))
+        for j in range(i)
+        if rows[i][0] == rows[j][0] or ((prints[i] ^ prints[j]).bit_count() <= 8 and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]))
+    ]
+    root = union_find(len(rows), links)
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(i, least.get(r, i))
+    assert len(set(root)) < len(rows) - 10
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[r]) for (i, _), r in zip(rows, root))
 
 
 # op2

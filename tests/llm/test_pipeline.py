@@ -10,6 +10,15 @@ from ..conftest import SF
 from .test_llm import check_packing, edit_distance_in
 
 
+def five_words(text: str | None) -> set[bytes]:
+    words = simhash_dedup.words_of(text)
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def alike(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
 def test_stages(spark):
     docs = common.table(spark, SF, "documents")
     before, kept = docs, {}
@@ -25,6 +34,7 @@ def test_stages(spark):
     # near copies: one of each group, by brute force
     rows = {r.doc_id: r.text for r in kept["quality"].collect()}
     fps = {i: simhash_dedup.fingerprint(t, 2) for i, t in rows.items()}
+    sets = {i: five_words(t) for i, t in rows.items()}
     left, ids = set(), sorted(rows)
     seen = {}
     for i in ids:
@@ -34,7 +44,7 @@ def test_stages(spark):
         while queue:
             x = queue.pop()
             for y in ids:
-                if y not in group and (fps[x] ^ fps[y]).bit_count() <= 6:
+                if y not in group and (fps[x] ^ fps[y]).bit_count() <= 8 and alike(sets[x], sets[y]) >= 0.8:
                     group.add(y)
                     queue.append(y)
         left.add(min(group))

@@ -9,6 +9,12 @@ own distance to the node. A shard tree goes to its queries through a shuffle and
 together grow with the data. Shards above `hot_rows` rows are dealt anew as pairs of blocks, a tree of one block and
 queries of another, so that no task holds a whole group. A shard returns a spanning forest of its links, never pairs.
 
+similar_documents() asks for more than near fingerprints: two texts are linked if their fingerprints are within the radius
+and the Jaccard similarity of their word shingle sets is at least `similarity`. Fingerprints first give groups outside
+which there is no link; the texts of a group are then dealt in pairs of blocks of at most about `block_rows` rows, and each
+pair of blocks has a BK-tree for the radius and an exact check of each pair of texts that is not yet connected. A group of
+n distinct texts so makes n * n / block_rows rows; copies of a text count once, and single texts take no part.
+
 Nulls and empty texts have fingerprint zero and are linked like any other. Repeated rows each get their row. A null
 doc_id keeps its row, and is ignored in component_id unless its whole component has none. Columns besides doc_id and
 text are ignored by the operator; an empty table gives an empty result.
@@ -17,7 +23,8 @@ text are ignored by the operator; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import combinations, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -199,5 +206,129 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_ro
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(LOWER_ASCII).split()
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's word shingles; of the whole sequence if there are fewer words, none without words."""
+    words = words_of(text)
+    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words] if words else [])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams), dtype=np.uint64))
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty ones are equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b):
+        return False
+    if not len(a):
+        return True
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links among rows (fingerprint, node, shingle set), or of rows with others, as (node, root) edges."""
+    tree, held, parent = BKTree(), [], {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def look(fp: int, node: int, grams: np.ndarray) -> None:
+        mine = find(node)
+        for k in tree.within(fp, radius):
+            for known, there in held[k]:
+                if (root := find(known)) != mine and jaccard_reaches(grams, there, similarity):
+                    parent[max(root, mine)] = mine = min(root, mine)
+
+    for fp, node, grams in rows:
+        if not others:
+            look(fp, node, grams)
+        if (k := tree.add(fp)) == len(held):
+            held.append([])
+        held[k].append((node, grams))
+    for row in others:
+        look(*row)
+    return [(x, r) for x in list(parent) if (r := find(x)) != x]
+
+
+def with_marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, words): the fingerprint and a 128-bit hash of the sequence of words, equal for texts of equal words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            words = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(words, pa.binary())], names=["doc_id", "fp", "words"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, words binary")
+
+
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(grp, fp, node, grams) of rows (text, words, grp, fp, node); rows whose text has other words, of a repeated doc_id, go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, words = b.column(0).to_pylist(), b.column(1).to_pylist()
+            own = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) == w for t, w in zip(texts, words)]
+            grams = pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())
+            found = pa.RecordBatch.from_arrays([*b.columns[2:], grams], names=["grp", "fp", "node", "grams"])
+            yield found.filter(pa.array(own, pa.bool_()))
+
+    return rows.select("text", "words", "grp", "fp", "node").mapInArrow(run, "grp long, fp long, node long, grams binary")
+
+
+def similar_links(sets: DataFrame, radius: int, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
+    """Links among the texts of each group as (src, dst) edges that span each pair of blocks."""
+    needs = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("grams")) / block_bytes))
+    dealt = sets.join(sets.groupBy("grp").agg(needs.cast("int").alias("blocks")), "grp")
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node", "fp"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
+    dealt = dealt.select("grp", F.explode(pairs).alias("p"), "fp", "node", "b", "grams").select("grp", "p.i", "p.j", "fp", "node", "b", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for (_, i, j), group in groupby(rows, itemgetter(0, 1, 2)):
+            sides = {i: [], j: []}
+            for _, _, _, fp, node, b, grams in group:
+                sides[b].append((fp & 0xFFFFFFFFFFFFFFFF, node, np.frombuffer(grams, dtype=np.uint64)))
+            if i == j or (sides[i] and sides[j]):
+                out = similar_forest(sides[i], sides[j] if i != j else [], radius, similarity)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+
+    by = ["grp", "i", "j"]
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+
+
+def similar_documents(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, votes: int = 2, radius: int = 8, shard_rows: int = 256, hot_rows: int = 2048, block_rows: int = 256, block_bytes: int = 8 << 20
+) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs(doc_id, text), linked by near fingerprints and exact similarity.
+
+    Fingerprints are over `votes` words. Nulls and texts without words are equal to each other; fewer than `shingle` words
+    are one shingle. Null doc_ids and repeated rows are as in near_duplicates(); a doc_id that is repeated with another text
+    has a row, and may have a class, for each text.
+    """
+    common.small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = common.keep(with_marks(rows, votes))
+    nodes = common.keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("node")))
+    prints = common.keep(nodes.where("node is not null").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("texts")))
+    near = common.components(shard_links(prints.select("fp", F.col("first").alias("node")), radius, prints.count(), shard_rows, hot_rows))
+    groups = prints.join(near.withColumnRenamed("node", "first"), "first", "left").select("fp", "texts", F.coalesce("root", "first").alias("grp"))
+    shared = groups.groupBy("grp").agg(F.sum("texts").alias("n")).where("n > 1").select("grp")
+    wanted = nodes.where("node is not null").join(groups.join(shared, "grp").select("fp", "grp"), "fp").withColumn("doc_id", F.col("node"))
+    sets = common.keep(shingle_sets(rows.join(wanted, "doc_id"), shingle))
+    linked = common.components(similar_links(sets, radius, similarity, block_rows, block_bytes))
+    classes = nodes.join(linked, "node", "left").select("fp", "words", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(classes, ["fp", "words"], "left").select("doc_id", "fp", "component_id")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
