@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 documents. run() writes every stage's result as Parquet in the shared checkpoint folder and reads it for the next one.
 
 1. quality: a factorisation machine trained on labels; documents that score below 0.7 go.
-2. near_dedup: SimHash over word pairs, candidates at 8 or fewer differing bits, links where the sets of five-word shingles
-   have a Jaccard similarity of 0.8 or more; of each group the document with the smallest doc_id stays. Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named and stay.
+2. near_dedup: links where the sets of five-word shingles have a Jaccard similarity of 0.8 or more; candidates by SimHash over
+   word pairs, at 8 or fewer differing bits, and by bands that a pair at 0.8 shares with probability 0.9999; of each group the document with the smallest doc_id stays. Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named and stay.
 3. decontamination: documents with a passage within 20% word edits of a benchmark item go.
 4. secrets: documents stay, their secrets are masked and n_chars is set anew.
 5. packing: what is left is packed into sequences of at most 1024 tokens.
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = common.keep(simhash_dedup.similar_documents(docs, similarity=0.8, shingle=5, votes=2, radius=8, shard_rows=256))
+    found = common.keep(simhash_dedup.similar_documents(docs, similarity=0.8, shingle=5, votes=2, radius=8, shard_rows=256, recall=0.9999))
     copies = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")

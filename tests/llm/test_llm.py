@@ -153,6 +153,33 @@ def test_similar_documents_are_those_of_brute_force(spark, block):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[r]) for (i, _), r in zip(rows, root))
 
 
+def test_similar_documents_need_no_near_fingerprint(spark):
+    """Copies with one contiguous change, and one repeated word that outvotes the rest of a fingerprint: all that plain similarity links."""
+    rng, made = random.Random(11), []
+    for base in range(40):
+        words = [rng.choice("abcdefghijklmnop") + str(rng.randrange(400)) for _ in range(rng.choice([60, 150, 400]))]
+        for share in (0, 0.12, 0.2, 0.24, 0.3):
+            made.append(" ".join([*words, *("new" + str(rng.randrange(10_000)) for _ in range(int(share * len(words))))]))
+        made.append(" ".join([*words, *["again"] * 1500]))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), recall=0.9999, block_rows=3).collect()}
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in made)]
+    links = [(i, j) for i in range(len(made)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    prints = [simhash_dedup.fingerprint(t, 2) for t in made]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 8 for i, j in links) > 50
+    assert got == dict(enumerate(union_find(len(made), links)))
+
+
+def test_bands_find_pairs_that_are_just_similar_enough():
+    rng = np.random.default_rng(2)
+    missed, bands = 0, simhash_dedup.bands_for(0.8, 0.9999)
+    for _ in range(300):
+        own = rng.integers(0, 2**63, 300, dtype=np.uint64)  # 240 of 300 are common: exactly 0.8
+        a, b = simhash_dedup.band_keys([np.sort(own[:270]), np.sort(np.append(own[:240], own[270:]))], bands)
+        missed += not (a == b).any()
+    assert missed <= 1
+    assert [len(k) for k in simhash_dedup.band_keys([own[:0], own, own[:0]], bands)] == [0, bands, 0]
+
+
 # op2
 
 

@@ -15,6 +15,11 @@ which there is no link; the texts of a group are then dealt in pairs of blocks o
 pair of blocks has a BK-tree for the radius and an exact check of each pair of texts that is not yet connected. A group of
 n distinct texts so makes n * n / block_rows rows; copies of a text count once, and single texts take no part.
 
+With `recall` set, similarity alone decides: fingerprints count words as often as they stand, sets once, so no radius holds
+all similar pairs. Further candidates then come from bands, independent fingerprints of the shingle set: a band is a hash of
+BAND_ROWS min-hashes, equal for two sets with probability similarity ** BAND_ROWS. There are as many bands as a pair that is
+just similar enough needs to share one with probability `recall`. Texts of a group are compared whatever their fingerprints.
+
 Nulls and empty texts have fingerprint zero and are linked like any other. Repeated rows each get their row. A null
 doc_id keeps its row, and is ignored in component_id unless its whole component has none. Columns besides doc_id and
 text are ignored by the operator; an empty table gives an empty result.
@@ -22,6 +27,7 @@ text are ignored by the operator; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, groupby, islice
 from operator import itemgetter
@@ -39,6 +45,8 @@ BYTE_AT = np.arange(8, dtype=np.int64) * 256
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose hashes are in memory at once.
 HASH_BLOCK = 1 << 18
+#: Min-hashes in a band, and parts that the texts of one band are joined in.
+BAND_ROWS, BAND_PARTS = 6, 16
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -229,8 +237,51 @@ def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links among rows (fingerprint, node, shingle set), or of rows with others, as (node, root) edges."""
+def bands_for(similarity: float, recall: float) -> int:
+    """The fewest bands of which two sets of this similarity share one with probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**BAND_ROWS))
+
+
+def band_keys(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
+    """For each shingle set a key for each band; none for an empty set."""
+    keys = [np.empty(0, dtype=np.int64)] * len(sets)
+    at, mix = 0, [np.uint64(xxhash.xxh64_intdigest(str(k).encode(), 42) | 1) for k in range(2 * BAND_ROWS * bands)]
+    while at < len(sets):
+        chosen, size = [], 0
+        while at < len(sets) and (not chosen or size + len(sets[at]) <= HASH_BLOCK):
+            if len(sets[at]):
+                chosen.append(at)
+                size += len(sets[at])
+            at += 1
+        if not chosen:
+            break
+        flat = np.concatenate([sets[k] for k in chosen])
+        starts = np.cumsum([0, *(len(sets[k]) for k in chosen[:-1])])
+        found = np.empty((len(chosen), bands), dtype=np.uint64)
+        for band in range(bands):
+            key = np.full(len(chosen), band, dtype=np.uint64)
+            for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+                key = (key ^ np.minimum.reduceat((flat ^ mix[2 * k]) * mix[2 * k + 1], starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(31)
+            found[:, band] = key
+        for k, row in zip(chosen, found.view(np.int64)):
+            keys[k] = row
+    return keys
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Each node (node, bands) with the smallest node of each band that it shares, as (src, dst) edges."""
+    dealt = nodes.select("node", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(BAND_PARTS)).cast("int"))
+    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    shared = shared.select("band", "least", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))).alias("part"))
+    return dealt.join(shared, ["band", "part"]).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+
+
+def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], radius: int | None, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the links among rows (fingerprint, node, shingle set), or of rows with others, as (node, root) edges.
+
+    Without a radius, whatever the fingerprints.
+    """
     tree, held, parent = BKTree(), [], {}
 
     def find(x: int) -> int:
@@ -240,7 +291,7 @@ def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[i
 
     def look(fp: int, node: int, grams: np.ndarray) -> None:
         mine = find(node)
-        for k in tree.within(fp, radius):
+        for k in range(len(held)) if radius is None else tree.within(fp, radius):
             for known, there in held[k]:
                 if (root := find(known)) != mine and jaccard_reaches(grams, there, similarity):
                     parent[max(root, mine)] = mine = min(root, mine)
@@ -256,17 +307,19 @@ def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[i
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
-def with_marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, words): the fingerprint and a 128-bit hash of the sequence of words, equal for texts of equal words."""
+def with_marks(docs: DataFrame, votes: int, shingle: int = 5, bands: int = 0) -> DataFrame:
+    """(doc_id, fp, words, bands): the fingerprint, a 128-bit hash of the sequence of words, equal for texts of equal words, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
-            fp = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, votes) for t in texts], dtype=np.uint64).view(np.int64)
             words = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), pa.array(words, pa.binary())], names=["doc_id", "fp", "words"])
+            keys = band_keys([shingle_set(t, shingle) for t in texts], bands) if bands else [[]] * len(texts)
+            columns = [b.column(0), pa.array(fp), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, words binary")
+    return docs.mapInArrow(run, "doc_id long, fp long, words binary, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -283,7 +336,7 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.select("text", "words", "grp", "fp", "node").mapInArrow(run, "grp long, fp long, node long, grams binary")
 
 
-def similar_links(sets: DataFrame, radius: int, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
+def similar_links(sets: DataFrame, radius: int | None, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
     """Links among the texts of each group as (src, dst) edges that span each pair of blocks."""
     needs = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("grams")) / block_bytes))
     dealt = sets.join(sets.groupBy("grp").agg(needs.cast("int").alias("blocks")), "grp")
@@ -307,25 +360,29 @@ def similar_links(sets: DataFrame, radius: int, similarity: float, block_rows: i
 
 
 def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, votes: int = 2, radius: int = 8, shard_rows: int = 256, hot_rows: int = 2048, block_rows: int = 256, block_bytes: int = 8 << 20
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, votes: int = 2, radius: int = 8, shard_rows: int = 256, hot_rows: int = 2048, block_rows: int = 256, block_bytes: int = 8 << 20, recall: float | None = None
 ) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs(doc_id, text), linked by near fingerprints and exact similarity.
 
-    Fingerprints are over `votes` words. Nulls and texts without words are equal to each other; fewer than `shingle` words
+    Fingerprints are over `votes` words. With `recall`, links are by similarity alone, and a pair that has it is found with at
+    least that probability. Nulls and texts without words are equal to each other; fewer than `shingle` words
     are one shingle. Null doc_ids and repeated rows are as in near_duplicates(); a doc_id that is repeated with another text
     has a row, and may have a class, for each text.
     """
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = common.keep(with_marks(rows, votes))
-    nodes = common.keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("node")))
-    prints = common.keep(nodes.where("node is not null").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("texts")))
-    near = common.components(shard_links(prints.select("fp", F.col("first").alias("node")), radius, prints.count(), shard_rows, hot_rows))
-    groups = prints.join(near.withColumnRenamed("node", "first"), "first", "left").select("fp", "texts", F.coalesce("root", "first").alias("grp"))
-    shared = groups.groupBy("grp").agg(F.sum("texts").alias("n")).where("n > 1").select("grp")
-    wanted = nodes.where("node is not null").join(groups.join(shared, "grp").select("fp", "grp"), "fp").withColumn("doc_id", F.col("node"))
+    marked = common.keep(with_marks(rows, votes, shingle, bands_for(similarity, recall) if recall else 0))
+    nodes = common.keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    named = nodes.where("node is not null")
+    prints = common.keep(named.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("texts")))
+    near = shard_links(prints.select("fp", F.col("first").alias("node")), radius, prints.count(), shard_rows, hot_rows)
+    near = near.unionByName(named.join(prints.where("texts > 1"), "fp").select(F.col("node").alias("src"), F.col("first").alias("dst")))
+    near = common.components(near.unionByName(band_links(named)) if recall else near)
+    groups = named.join(near, "node", "left").select("fp", "words", "node", F.coalesce("root", "node").alias("grp"))
+    shared = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    wanted = groups.join(shared, "grp").withColumn("doc_id", F.col("node"))
     sets = common.keep(shingle_sets(rows.join(wanted, "doc_id"), shingle))
-    linked = common.components(similar_links(sets, radius, similarity, block_rows, block_bytes))
+    linked = common.components(similar_links(sets, None if recall else radius, similarity, block_rows, block_bytes))
     classes = nodes.join(linked, "node", "left").select("fp", "words", F.coalesce("root", "node").alias("component_id"))
     return marked.join(classes, ["fp", "words"], "left").select("doc_id", "fp", "component_id")
 
