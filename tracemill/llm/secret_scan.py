@@ -1,10 +1,16 @@
 """Secrets: known shapes by pattern, and unknown ones by their zstandard novelty against what surrounds them.
 
-Beside the base patterns, a string of 16 or more key characters close behind a sensitive cue is a candidate. Its novelty
+Beside the base patterns, a string of 16 or more key characters close to a sensitive cue, before or behind it, is a
+candidate, and so is one on the line after or before such a secret, and on from there; a cue within a string parts it. Its novelty
 is what it adds to the compressed size of its surroundings, per character: the compressor is primed with a dictionary of
 identifiers and common code, and the text before and after the candidate comes first, so a name that is spelled out of
 known words or stands nearby costs little, and a random key costs nearly its length. Candidates at `least` bytes a
-character or more are reported as `novel`, unless a base span covers them.
+character or more are reported as `novel`, unless a base span overlaps them. Shape rules: strings without a digit are not
+reported if `wordlike` or more of their pairs of letters are common ones of words (a long word costs as much as a key, so no
+bound on novelty tells them apart), and strings without a letter are not reported. Each line is a span. Two forms are taken without their own novelty: a line of less than
+16 key characters that ends a secret of several lines (after two of equal length if it is no word, before a PEM end, or
+itself ending in =),
+and all lines of key characters in a PEM private key that has a novel one.
 
 Null and empty texts give no spans. A null doc_id stays null, repeated rows each get their row, other columns are ignored.
 """
@@ -13,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,8 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CUES = ("key", "token", "secret", "passw", "pwd", "auth", "bearer", "credential", "private")
-#: Characters after a cue in which a candidate may begin, and characters of surroundings on each side.
+#: Characters between a cue and a candidate at most, and characters of surroundings on each side.
 REACH, AROUND = 48, 256
+#: What stands between two lines of a secret, a short last line, and the lines of a PEM private key.
+GAP = re.compile(r"""[ \t"',;+\\]{0,8}(?:\r?\n|\\r|\\n)[ \t"'>*#\\]{0,32}""")
+TAIL = re.compile(GAP.pattern + r"(?!-----)([A-Za-z0-9+/_=-]{1,15})(?![A-Za-z0-9+/_=-])")
+ALONE = re.compile(r"""["',;\\]*[ \t]*(?:\r?\n|\\r|\\n|\Z)|["']""")
+PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(.*?)-----END", re.DOTALL)
+PEM_LINE = re.compile(r"""^[ \t"'>*#]*([A-Za-z0-9+/=]+)[ \t"',;+\\]*\r?$""", re.MULTILINE)
 #: Identifiers and common code, as they stand around secrets without being any.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret auth authorization bearer "
@@ -45,6 +58,22 @@ IDENTIFIERS = (
 _state: dict[str, object] = {}
 
 
+#: Common pairs of letters in English, German, French and Spanish words.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ch ei ie ge un ic be ne di "
+    "sc hr au ss la ai me em ue os ad ta co ci io no do pr tr ro li il ri ce ol om ma mi po pe pa ca ho us ut um ul lo na ni ns su ab ac am ap ba bi "
+    "bl br bu cl ct da ec ee el ev ex fi fo fr gr id ig im iv ll mp mo nc op ot ow pl qu rs rt ry sh so sp tu vi we wi rd rm rk sk ck gu ag "
+    "tt nn mm pp ff ef ft ga gi hn ht ke ki ko kt lt lu ls mu nk nu od og oo rb rg rn ru rv sw tz ud ug va vo zu ze ub ir ay ey".split()
+)
+
+
+def word_pairs(candidate: str) -> float:
+    """The share of a string's pairs of neighbouring letters that are common in words; 1 if it has none."""
+    low = candidate.lower()
+    pairs = [a + b for a, b in zip(low, low[1:]) if a.isalpha() and b.isalpha()]
+    return sum(p in PAIRS for p in pairs) / len(pairs) if pairs else 1.0
+
+
 def tools():
     if not _state:
         a = ahocorasick.Automaton()
@@ -65,26 +94,83 @@ def novelty(candidate: str, around: str) -> float:
     return (len(packer.compress(base + own)) - len(packer.compress(base))) / len(own)
 
 
-def find(text: str, least: float = 0.7) -> dict[str, list[tuple[int, int]]]:
+def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
+    """Strings of key characters in texts with a cue: start, end, the cues within, and whether there is a cue close by."""
+    cues = [(last + 1 - size, last + 1) for last, size in tools()[0].iter(text)]
+    at = 0  # the first cue that ends at or behind the string's start
+    for m in CANDIDATE.finditer(text) if cues else ():
+        s, e = m.span()
+        while at < len(cues) and cues[at][1] <= s:
+            at += 1
+        stop = at
+        while stop < len(cues) and cues[stop][0] < e:
+            stop += 1
+        close = (at > 0 and s - cues[at - 1][1] <= REACH) or (stop < len(cues) and cues[stop][0] - e <= REACH)
+        yield s, e, cues[at:stop], close
+
+
+def next_line(text: str, end: int, start: int) -> bool:
+    """Whether a string that ends at `end` is followed by one that starts the next line at `start`; the n of an escaped end of line is a key character."""
+    return GAP.fullmatch(text, end, start) is not None or (text[start - 1] == "\\" and text[start] in "nr" and GAP.fullmatch(text, end, start + 1) is not None)
+
+
+def find(text: str, least: float = 0.7, wordlike: float = 0.65) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind, in code points, end exclusive, ascending."""
     found = {"assign": [m.span() for m in ASSIGN.finditer(text) if len(m.group(2)) >= 12] if ":" in text or "=" in text else []}
     found["access"] = [m.span() for m in ACCESS.finditer(text) if len(m.group()) >= 18] if "AKIA" in text else []
     found["hex"] = [m.span() for m in HEX.finditer(text)]
-    covered = sorted(s for spans in found.values() for s in spans)
-    novel, floor = [], 0
-    for last, _ in tools()[0].iter(text):
-        for m in CANDIDATE.finditer(text, max(floor, last + 1), last + 1 + REACH + 256):
-            if m.start() > last + REACH:
-                break
-            s, e = m.span()
-            while e < len(text) and CANDIDATE.match(text[e] * 16):  # the window may have cut it
-                e += 1
-            floor = e
-            own = text[s:e]
-            mixed = any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own)
-            if mixed and not any(a < e and s < b for a, b in covered) and novelty(own, text[max(0, s - AROUND) : s] + text[e : e + AROUND]) >= least:
-                novel.append((s, e))
-    found["novel"] = novel
+    covered: list[tuple[int, int]] = []
+    for a, b in sorted(x for spans in found.values() for x in spans):
+        covered.append((a, b))
+        if len(covered) > 1 and a < covered[-2][1]:
+            covered[-2:] = [(covered[-2][0], max(b, covered[-2][1]))]
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(covered, (e, -1))
+        return not k or covered[k - 1][1] <= s
+
+    def is_novel(s: int, e: int) -> bool:
+        own = text[s:e]
+        if e - s < 16 or not any(map(str.isalpha, own)) or not free(s, e):
+            return False
+        if not any("0" <= c <= "9" for c in own) and word_pairs(own) >= wordlike:
+            return False
+        return novelty(own, text[max(0, s - AROUND) : s] + text[e : e + AROUND]) >= least
+
+    novel, ended, width = [], -1, 0  # where the last secret ended and its last line's length
+    last, waiting = -1, []  # where the last string ended, and lines up to there that no cue is near
+    for s, e, inner, close in candidates(text):
+        joined = last >= 0 and s - last <= 48 and next_line(text, last, s)
+        goes_on, waiting, last = joined and last == ended, waiting if joined else [], e
+        if not (close or inner or goes_on):
+            waiting.append((s, e))
+            continue
+        if free(s, e):
+            own = [(s, e)] if (close or goes_on) and is_novel(s, e) else []
+            if not own and inner:
+                own = [x for x in ((s, inner[0][0]), (inner[0][1], e)) if is_novel(*x)]
+            if not own and len(inner) > 1:
+                own = [x for x in zip([b for _, b in inner], [a for a, _ in inner[1:]] + [e]) if is_novel(*x)]
+        else:  # a cue within parts the string, so a base span may leave a secret beside it
+            own = [x for x in zip([s] + [b for _, b in inner], [a for a, _ in inner] + [e]) if inner and is_novel(*x)]
+        novel += own
+        if not own and free(s, e):
+            waiting.append((s, e))
+        elif not own or own[0][0] == s:
+            while waiting and is_novel(*waiting[-1]):
+                novel.append(waiting.pop())
+            waiting = []
+        if (own and own[-1][1] == e) or not free(s, e):
+            again, width, ended = goes_on and e - s == width, e - s, e
+            if (m := TAIL.match(text, e)) and ALONE.match(text, m.end(1)) and free(*m.span(1)):
+                letters = not any("0" <= c <= "9" for c in m[1]) and word_pairs(m[1]) >= wordlike
+                if (again and not letters) or m[1][-1] == "=" or "-----END" in text[m.end(1) : m.end(1) + 32]:
+                    novel.append(m.span(1))
+    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
+        own = [x.span(1) for x in PEM_LINE.finditer(text, m.start(1), m.end(1)) if free(*x.span(1))]
+        if any(a < e and s < b for a, b in novel for s, e in own) or any(is_novel(*x) for x in own):
+            novel = [x for x in novel if not any(s <= x[0] and x[1] <= e for s, e in own)] + own
+    found["novel"] = sorted(novel)
     return found
 
 
