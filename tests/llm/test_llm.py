@@ -124,8 +124,27 @@ def test_op1_awkward(odd):
     assert simhash_dedup.similar_documents(odd).count() == len(AWKWARD) and simhash_dedup.similar_documents(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [3, 256])
-def test_similar_documents_are_those_of_brute_force(spark, block):
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar_roots(texts):
+    grams = [shingles(t) for t in texts]
+    return union_find(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])])
+
+
+def test_op1_links_through_rows_without_an_id(spark, monkeypatch):
+    """A fingerprint that no named row has takes part in links: without it, its neighbours would be two components."""
+    prints = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": (1 << 40) - 1}
+    rows = [(5, "a"), (None, "b"), (9, "c"), (None, "d")]
+    real = simhash_dedup.with_fingerprints
+    monkeypatch.setattr(simhash_dedup, "with_fingerprints", lambda docs, shingle: docs.select("doc_id", F.element_at(F.create_map(*(F.lit(x) for kv in prints.items() for x in kv)), F.col("text")).cast("long").alias("fp")))
+    got = {r.fp: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 5, 0b1111: 5, 0b11111111: 5, (1 << 40) - 1: None} and real is not simhash_dedup.with_fingerprints
+
+
+def test_similar_documents_are_those_of_brute_force(spark, block=3):
     """Near copies of near copies, so that groups have links and pairs that are none, in one block and in many."""
     rng, made = random.Random(5), []
     for base in range(6):
@@ -135,22 +154,60 @@ def test_similar_documents_are_those_of_brute_force(spark, block):
             words = list(words)
             for _ in range(rng.randrange(4)):
                 words[rng.randrange(len(words))] = "new" + str(rng.randrange(1000))
-    rows = [(3 * i, t) for i, t in enumerate(made)] + [(1, made[0].upper()), (1, made[0]), (2, None), (4, " ")]
-    got = simhash_dedup.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block).collect()
-    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t in rows)]
-    prints = [simhash_dedup.fingerprint(t, 2) for _, t in rows]
-    links = [
-        (i, j)
-        for i in range(len(rows))
-        for j in range(i)
-        if rows[i][0] == rows[j][0] or ((prints[i] ^ prints[j]).bit_count() <= 8 and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]))
-    ]
-    root = union_find(len(rows), links)
-    least = {}
-    for (i, _), r in zip(rows, root):
-        least[r] = min(i, least.get(r, i))
+    rows = [(3 * i, t) for i, t in enumerate(made)] + [(1, made[0].upper()), (1, made[0]), (1, made[20]), (2, None), (4, " "), (None, made[40]), (None, "lone"), (None, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("k1", "K2", "grp", "node")})
+    root = similar_roots([t for _, t in rows])
     assert len(set(root)) < len(rows) - 10
-    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, least[r]) for (i, _), r in zip(rows, root))
+    least, first = {}, {}
+    for k, ((i, t), r) in enumerate(zip(rows, root)):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    got = simhash_dedup.similar_documents(df, block_rows=block).collect()
+    key = lambda x: str(x)
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == sorted(((i, least.get(r)) for (i, _), r in zip(rows, root)), key=key)
+    kept = simhash_dedup.deduplicated(df, block_rows=block)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(left) == len(set(root))  # one of each class, and it is one with the class's least id
+    by_text = {t: r for (_, t), r in zip(rows, root)}
+    assert {by_text[t]: i for i, t in left} == {r: least.get(r) for r in set(root)}
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_large_groups_are_settled_by_stars_and_blocks(spark, rounds):
+    """One group of many blocks: copies of a text, chains away from it, and texts of their own; links are those of all pairs."""
+    rng, made = random.Random(rounds), []
+    base = [f"w{k}" for k in range(120)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        made.append(words)
+    for _ in range(3):
+        words = list(base)
+        for _ in range(12):
+            words = list(words)
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            made.append(words)
+    made += [[f"{rng.random()}" for _ in range(40)] for _ in range(10)] + [[]]
+    texts = [" ".join(w) for w in made]
+    sets = [(b"g", b"%03d" % k, simhash_dedup.shingle_set(t).tobytes()) for k, t in enumerate(texts)]
+    sets += [(b"h", b"x", sets[0][2]), (b"h", b"y", sets[1][2])]
+    df = common.keep(spark.createDataFrame(sets, "grp binary, node binary, grams binary"))
+    links = [(int(r.src), int(r.dst)) for r in simhash_dedup.similar_links(df.where("grp = cast('g' as binary)"), 0.8, 8, 1 << 20, rounds).collect()]
+    assert union_find(len(texts), links) == similar_roots(texts)
+    assert simhash_dedup.similar_links(df.limit(0), 0.8, 8, 1 << 20, rounds).count() == 0
+
+
+def test_a_hub_is_spread_over_tasks(spark):
+    """A star of 200,000 edges: no task of the lookup has much more than its share."""
+    edges = common.keep(spark.range(1, 200_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).repartition(16))
+    counted = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+    got = common.lookup(edges, counted, ["src"], 200_000)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 200_000 and max(sizes) < 200_000 / 3 and got.where("m = 1").count() == 200_000
+    assert common.components(edges).groupBy("root").count().collect() == [(0, 200_000)]
 
 
 def test_similar_documents_need_no_near_fingerprint(spark):
@@ -161,8 +218,8 @@ def test_similar_documents_need_no_near_fingerprint(spark):
         for share in (0, 0.12, 0.2, 0.24, 0.3):
             made.append(" ".join([*words, *("new" + str(rng.randrange(10_000)) for _ in range(int(share * len(words))))]))
         made.append(" ".join([*words, *["again"] * 1500]))
-    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), recall=0.9999, block_rows=3).collect()}
-    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in made)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), block_rows=3).collect()}
+    grams = [shingles(t) for t in made]
     links = [(i, j) for i in range(len(made)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
     prints = [simhash_dedup.fingerprint(t, 2) for t in made]
     assert sum((prints[i] ^ prints[j]).bit_count() > 8 for i, j in links) > 50

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch may hold; texts can be long, so this is far below Spark's default of 10,000.
-BATCH_ROWS = 512
+#: Rows and bytes that one Arrow batch may hold; texts can be long, so both are far below Spark's defaults. A longer text is a batch alone.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,54 +21,110 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to `rows` where it is larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lower the session's Arrow batch size to `rows` and BATCH_BYTES where it is larger.
+
+    Spark reads these settings when a plan runs, which is after an operator has returned it, so they stay lowered.
+    """
+    for key, default, most in (("maxRecordsPerBatch", 10_000, rows), ("maxBytesPerBatch", -1, BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        now = int(now) if now and now.lstrip("-").isdigit() else default
+        if now <= 0 or now > most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below the session's checkpoint folder. A temporary folder is set only where none is set, as in tests."""
+    """A new path below the session's checkpoint folder. Only a local master, as in tests, may do without the setting."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(at)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         at = sc.getCheckpointDir()
     return f"{at.rstrip('/')}/tracemill-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared checkpoint folder and read it again: later stages do not depend on any executor's disk."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    if path is None:
+        path = f"{_scratch.get()}/{uuid.uuid4().hex}" if _scratch.get() else shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that keep() wrote."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for all that is kept within, deleted at the end: what is to last is kept at a path of its own."""
+    path = shared_dir(spark)
+    token = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(token)
+        remove(spark, path)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that is not among the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def lookup(df: DataFrame, counted: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """df with the columns of counted(on, n, ...), where n says how many of df's rows have the key, `rows` in all.
+
+    A key with more than a thousandth of the rows would be one task of a join. Such keys, a thousand at most, are looked up in a
+    broadcast table instead, wherever their rows are.
+    """
+    is_hub = F.col("n") > rows // 1000 + 64
+    hubs = counted.where(is_hub).drop("n")
+    others = df.join(F.broadcast(hubs.select(*on)), on, "left_anti").join(counted.where(~is_hub).drop("n"), on)
+    return df.join(F.broadcast(hubs), on).unionByName(others)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list (src, dst: long) -> (node, root), root being the smallest node of each component.
+    """Connected components of an edge list (src, dst) -> (node, root), root being the smallest node of each component.
 
-    Alternating large-star and small-star rounds, O(log n) of them for long chains. Each round is four joins on node ids
-    without pair expansion; edges of a hub are many rows of one key in a sort-merge join, which Spark can split. Only the
-    count and checksum of the edges reach the driver. Null ends and loops are ignored.
+    Nodes are of any type that has an order. Alternating large-star and small-star rounds, O(log n) of them for long chains.
+    Each round looks up the smallest neighbour of every edge's end by `lookup`, so that a hub's edges stay where they are. Only
+    the count and checksum of the edges reach the driver. Each round is a table in the shared folder, deleted when the one
+    after the next is there. Null ends and loops are ignored.
     """
-    e = edges.where("src is not null and dst is not null and src <> dst").select(
-        F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
-    ).distinct()
-    e, before = keep(e), None
+    spark, base = edges.sparkSession, _scratch.get() or shared_dir(edges.sparkSession)
+    base, step = f"{base}/components-{uuid.uuid4().hex}", 0
+
+    def kept(df: DataFrame) -> DataFrame:
+        nonlocal step
+        out = keep(df, f"{base}/{step}")
+        if step > 1:
+            remove(spark, f"{base}/{step - 2}")
+        step += 1
+        return out
+
+    def least(df: DataFrame, m: Column) -> DataFrame:
+        return df.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")).select("src", m.alias("m"), "n")
+
+    e = edges.where("src is not null and dst is not null and src <> dst")
+    e, before = kept(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()), None
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before = now
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        large = keep(large)
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
-        e = keep(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
+        large = lookup(both, least(both, F.least("src", "m")), ["src"], 2 * now[0])
+        large = kept(large.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
+        low = least(large, F.col("m"))
+        small = lookup(large, low, ["src"], now[0]).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        e = kept(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("node"), "root")

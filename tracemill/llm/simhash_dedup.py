@@ -9,26 +9,26 @@ own distance to the node. A shard tree goes to its queries through a shuffle and
 together grow with the data. Shards above `hot_rows` rows are dealt anew as pairs of blocks, a tree of one block and
 queries of another, so that no task holds a whole group. A shard returns a spanning forest of its links, never pairs.
 
-similar_documents() asks for more than near fingerprints: two texts are linked if their fingerprints are within the radius
-and the Jaccard similarity of their word shingle sets is at least `similarity`. Fingerprints first give groups outside
-which there is no link; the texts of a group are then dealt in pairs of blocks of at most about `block_rows` rows, and each
-pair of blocks has a BK-tree for the radius and an exact check of each pair of texts that is not yet connected. A group of
-n distinct texts so makes n * n / block_rows rows; copies of a text count once, and single texts take no part.
-
-With `recall` set, similarity alone decides: fingerprints count words as often as they stand, sets once, so no radius holds
-all similar pairs. Further candidates then come from bands, independent fingerprints of the shingle set: a band is a hash of
-BAND_ROWS min-hashes, equal for two sets with probability similarity ** BAND_ROWS. There are as many bands as a pair that is
-just similar enough needs to share one with probability `recall`. Texts of a group are compared whatever their fingerprints.
+similar_documents() links two texts if the Jaccard similarity of their word shingle sets is at least `similarity`. Texts of
+equal words are one node. Candidates are texts whose fingerprints are within the radius, by BK-trees, and, as fingerprints
+count words as often as they stand and sets once, so that no radius holds all similar pairs, texts that share a band: a hash
+of BAND_ROWS min-hashes of the set, equal for two sets with probability similarity ** BAND_ROWS. There are as many bands as a
+pair that is just similar enough needs to share one with probability `recall`. Candidates' components are groups outside
+which there is no link; within a group sets are compared exactly. A group beyond one block is first compared with a leader
+(star_round), which settles a group of near copies of one text in time proportional to its rows; what is left of it is
+dealt in pairs of blocks of about `block_rows` rows, so n texts that are neither like the leader nor ruled out by it
+make n * n / block_rows rows. The same holds of a hot shard, where n distinct fingerprints make n * n / hot_rows rows.
 
 Nulls and empty texts have fingerprint zero and are linked like any other. Repeated rows each get their row. A null
-doc_id keeps its row, and is ignored in component_id unless its whole component has none. Columns besides doc_id and
-text are ignored by the operator; an empty table gives an empty result.
+doc_id keeps its row and takes part in links; it is the component_id only of a component that has no other. Columns besides
+doc_id and text are ignored by the operator; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, groupby, islice
 from operator import itemgetter
 
@@ -45,8 +45,8 @@ BYTE_AT = np.arange(8, dtype=np.int64) * 256
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose hashes are in memory at once.
 HASH_BLOCK = 1 << 18
-#: Min-hashes in a band, and parts that the texts of one band are joined in.
-BAND_ROWS, BAND_PARTS = 6, 16
+#: Min-hashes in a band.
+BAND_ROWS = 6
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -164,8 +164,22 @@ def shard_keys(fp: Column, radius: int, agree: int) -> Column:
     return F.array(*keys)
 
 
+def pairs_of(blocks: Column, own: Column) -> Column:
+    """The pairs (i, j) of blocks, i <= j, that a row of block `own` takes part in."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+
+
+def edges_of(found: list[tuple], node: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], node) for k in (0, 1)], names=["src", "dst"])
+
+
+def edge_schema(df: DataFrame) -> str:
+    kind = df.schema["node"].dataType.simpleString()
+    return f"src {kind}, dst {kind}"
+
+
 def shard_links(nodes: DataFrame, radius: int, rows: int, shard_rows: int = 64, hot_rows: int = 2048) -> DataFrame:
-    """Links among distinct fingerprints (fp, node) as (src, dst) edges that span every shard's components."""
+    """Links among distinct fingerprints (fp, node) as (src, dst) edges of nodes that span every shard's components."""
     agree, _ = tables_for(rows, radius, shard_rows)
     dealt = nodes.select("fp", "node", F.explode(shard_keys(F.col("fp"), radius, agree)).alias("shard"))
     hot = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
@@ -175,9 +189,9 @@ def shard_links(nodes: DataFrame, radius: int, rows: int, shard_rows: int = 64,
         dealt = dealt.select("shard", "fp", "node", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("b"))
     else:
         block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
         dealt = dealt.join(hot, "shard", "left").withColumn("b", F.coalesce(block, F.lit(0)))
-        dealt = dealt.select("shard", "fp", "node", "b", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(pairs)).alias("p")).select("shard", "fp", "node", "p.i", "p.j", "b")
+        pairs = F.when(F.col("blocks").isNull(), one).otherwise(pairs_of(F.col("blocks"), F.col("b")))
+        dealt = dealt.select("shard", "fp", "node", "b", F.explode(pairs).alias("p")).select("shard", "fp", "node", "p.i", "p.j", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(key, rows):
@@ -188,30 +202,33 @@ def shard_links(nodes: DataFrame, radius: int, rows: int, shard_rows: int = 64,
             mine, other = [x[:2] for x in rows if x[2] == key[1]], [x[:2] for x in rows if x[2] == key[2]]
             return forest(mine, other, radius) if mine and other else []
 
-        now, rows = None, []
+        now, rows, kind = None, [], pa.int64()
         for b in batches:
-            out = []
+            out, kind = [], b.schema.field("node").type
             for shard, fp, node, i, j, side in zip(*(c.to_pylist() for c in b.columns)):
                 if (key := (shard, i, j)) != now:
                     out += solved(now, rows)
                     now, rows = key, []
                 rows.append((fp & 0xFFFFFFFFFFFFFFFF, node, side))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+                yield edges_of(out, kind)
         if out := solved(now, rows):
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+            yield edges_of(out, kind)
 
     by = ["shard", "i", "j"]
-    return dealt.select(*by[:1], "fp", "node", *by[1:], "b").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+    return dealt.select(*by[:1], "fp", "node", *by[1:], "b").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, edge_schema(nodes))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_rows: int = 64, hot_rows: int = 2048) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs(doc_id, text): the component's smallest doc_id."""
     marked = common.keep(with_fingerprints(docs, shingle))
-    nodes = common.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    linked = common.components(shard_links(nodes.where("node is not null"), radius, nodes.count(), shard_rows, hot_rows))
-    classes = nodes.join(linked, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = common.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    rows, distinct = prints.agg(F.sum("n"), F.count("*")).first()
+    linked = common.components(shard_links(prints.select("fp", F.col("fp").alias("node")), radius, distinct, shard_rows, hot_rows))
+    grouped = common.keep(prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("grp")))
+    least = grouped.groupBy("grp").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    classes = common.lookup(grouped.withColumnRenamed("n", "rows"), least, ["grp"], distinct).select("fp", F.col("rows").alias("n"), "component_id")
+    return common.lookup(marked, classes, ["fp"], rows or 0).select("doc_id", "fp", "component_id")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -225,15 +242,18 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams), dtype=np.uint64))
 
 
-def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets have at least this Jaccard similarity; two empty ones are equal."""
+def common_hashes(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
     if len(a) > len(b):
         a, b = b, a
-    if len(a) < similarity * len(b):
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
+def jaccard_reaches(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; two empty ones are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
         return False
-    if not len(a):
-        return True
-    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    both = common_hashes(a, b)
     return both >= similarity * (len(a) + len(b) - both)
 
 
@@ -269,122 +289,223 @@ def band_keys(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
     return keys
 
 
-def band_links(nodes: DataFrame) -> DataFrame:
-    """Each node (node, bands) with the smallest node of each band that it shares, as (src, dst) edges."""
-    dealt = nodes.select("node", F.explode("bands").alias("band")).withColumn("part", F.pmod(F.xxhash64("node"), F.lit(BAND_PARTS)).cast("int"))
+def band_links(nodes: DataFrame, rows: int) -> DataFrame:
+    """Each node (node, bands) with the smallest node of each band that it shares, as (src, dst) edges; `rows` bands in all."""
+    dealt = nodes.select("node", F.explode("bands").alias("band"))
     shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    shared = shared.select("band", "least", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))).alias("part"))
-    return dealt.join(shared, ["band", "part"]).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    return common.lookup(dealt, shared, ["band"], rows).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
 
 
-def similar_forest(rows: list[tuple[int, int, np.ndarray]], others: list[tuple[int, int, np.ndarray]], radius: int | None, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the links among rows (fingerprint, node, shingle set), or of rows with others, as (node, root) edges.
-
-    Without a radius, whatever the fingerprints.
-    """
-    tree, held, parent = BKTree(), [], {}
+def similar_forest(rows: list[tuple[object, np.ndarray]], others: list[tuple[object, np.ndarray]], similarity: float) -> list[tuple]:
+    """Spanning forest of the links among rows (node, shingle set), or of rows with others, as (node, root) edges."""
+    parent: dict = {}
 
-    def find(x: int) -> int:
+    def find(x):
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    def look(fp: int, node: int, grams: np.ndarray) -> None:
+    def look(node, grams: np.ndarray, held: list) -> None:
         mine = find(node)
-        for k in range(len(held)) if radius is None else tree.within(fp, radius):
-            for known, there in held[k]:
-                if (root := find(known)) != mine and jaccard_reaches(grams, there, similarity):
-                    parent[max(root, mine)] = mine = min(root, mine)
-
-    for fp, node, grams in rows:
-        if not others:
-            look(fp, node, grams)
-        if (k := tree.add(fp)) == len(held):
-            held.append([])
-        held[k].append((node, grams))
-    for row in others:
-        look(*row)
+        for known, there in held:
+            if (root := find(known)) != mine and jaccard_reaches(grams, there, similarity):
+                parent[max(root, mine)] = mine = min(root, mine)
+
+    for k, (node, grams) in enumerate(rows if not others else others):
+        look(node, grams, rows if others else rows[:k])
     return [(x, r) for x in list(parent) if (r := find(x)) != x]
 
 
-def with_marks(docs: DataFrame, votes: int, shingle: int = 5, bands: int = 0) -> DataFrame:
-    """(doc_id, fp, words, bands): the fingerprint, a 128-bit hash of the sequence of words, equal for texts of equal words, and band keys."""
+def with_marks(rows: DataFrame, votes: int, shingle: int, bands: int) -> DataFrame:
+    """rows(doc_id, k1, k2, text) without text, but with the fingerprint, a 128-bit hash of the sequence of words, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
+            texts = b.column(3).to_pylist()
             fp = np.array([fingerprint(t, votes) for t in texts], dtype=np.uint64).view(np.int64)
             words = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts]
-            keys = band_keys([shingle_set(t, shingle) for t in texts], bands) if bands else [[]] * len(texts)
-            columns = [b.column(0), pa.array(fp), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "words", "bands"])
+            keys = band_keys([shingle_set(t, shingle) for t in texts], bands)
+            columns = [*b.columns[:3], pa.array(fp), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "fp", "words", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, fp long, words binary, bands array<long>")
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, words binary, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(grp, fp, node, grams) of rows (text, words, grp, fp, node); rows whose text has other words, of a repeated doc_id, go."""
+    """(grp, node, grams) of rows (grp, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, words = b.column(0).to_pylist(), b.column(1).to_pylist()
-            own = [xxhash.xxh3_128_digest(b" ".join(words_of(t))) == w for t, w in zip(texts, words)]
-            grams = pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())
-            found = pa.RecordBatch.from_arrays([*b.columns[2:], grams], names=["grp", "fp", "node", "grams"])
-            yield found.filter(pa.array(own, pa.bool_()))
+            grams = pa.array([shingle_set(t, shingle).tobytes() for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], grams], names=["grp", "node", "grams"])
 
-    return rows.select("text", "words", "grp", "fp", "node").mapInArrow(run, "grp long, fp long, node long, grams binary")
+    return rows.select("grp", "node", "text").mapInArrow(run, "grp binary, node binary, grams binary")
 
 
-def similar_links(sets: DataFrame, radius: int | None, similarity: float, block_rows: int, block_bytes: int) -> DataFrame:
-    """Links among the texts of each group as (src, dst) edges that span each pair of blocks."""
+def blocks_of(sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
+    """(grp, n, blocks, leader): rows of each group, how many blocks they need, and a text of it, the same on every run."""
     needs = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("grams")) / block_bytes))
-    dealt = sets.join(sets.groupBy("grp").agg(needs.cast("int").alias("blocks")), "grp")
-    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("node", "fp"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("b")).alias("i"), F.greatest(x, F.col("b")).alias("j")))
-    dealt = dealt.select("grp", F.explode(pairs).alias("p"), "fp", "node", "b", "grams").select("grp", "p.i", "p.j", "fp", "node", "b", "grams")
+    return sets.groupBy("grp").agg(F.count("*").alias("n"), needs.cast("int").alias("blocks"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("leader"))
+
+
+def block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def star_round(sets: DataFrame, sizes: DataFrame, rows: int, similarity: float, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(links, what is left) of groups of several blocks, by comparing each text with its group's leader.
+
+    Texts like the leader are linked to it and are done with each other. Jaccard distance is a metric, so another text can
+    be like one of them only if it is no further from the leader than the bound plus the farthest of them; only such texts
+    are compared with the leader's, one link being enough. All that are not linked to the leader are left.
+    """
+    dealt = common.lookup(sets, sizes, ["grp"], rows).withColumn("first", F.col("node") == F.col("leader"))
+    places = F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"))))
+    dealt = dealt.select("grp", F.explode(places).alias("b"), "first", "node", "leader", "grams").repartition("grp", "b").sortWithinPartitions("grp", "b", F.desc("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lead = None, None
+        for batch in batches:
+            alike, far = [], []
+            for grp, b, first, grams in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5))):
+                own = np.frombuffer(grams, dtype=np.uint64)
+                if first and (grp, b) != now:
+                    now, lead = (grp, b), own
+                both = common_hashes(own, lead)
+                either = len(own) + len(lead) - both
+                alike.append(both >= similarity * either)
+                far.append(1 - both / either if either else 0.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 2, 3, 4, 5)), pa.array(alike, pa.bool_()), pa.array(far, pa.float64())], names=["grp", "first", "node", "leader", "grams", "alike", "far"])
+
+    seen = common.keep(dealt.mapInArrow(run, "grp binary, first boolean, node binary, leader binary, grams binary, alike boolean, far double"))
+    links = seen.where("alike and not first").select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+    reach = seen.groupBy("grp").agg(F.max(F.when(F.col("alike"), F.col("far"))).alias("reach"), F.count_if("alike").alias("n_like"), F.count("*").alias("n"))
+    placed = common.lookup(seen.where("not first"), reach, ["grp"], rows)
+    near = placed.where(F.col("alike") | (F.col("far") <= F.col("reach") + (1 - similarity) + 1e-9))
+    counts = near.groupBy("grp", "alike").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("grams")) / block_bytes)).cast("int").alias("blocks"))
+    both = counts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.when(F.col("alike"), F.col("blocks"))).alias("likes"), F.max(F.when(~F.col("alike"), F.col("blocks"))).alias("others")).where("likes is not null and others is not null")
+    fringe = common.lookup(near.select("grp", "node", "alike", "grams"), both, ["grp"], rows)
+    own = F.when(F.col("alike"), block(F.col("likes"))).otherwise(block(F.col("others")))
+    across = F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), F.col("others")).otherwise(F.col("likes")) - 1))
+    fringe = fringe.select("grp", "node", "alike", "grams", own.alias("own"), across.alias("across"))
+    i, j = F.when(F.col("alike"), F.col("own")).otherwise(F.col("across")), F.when(F.col("alike"), F.col("across")).otherwise(F.col("own"))
+    fringe = fringe.select("grp", i.alias("i"), j.alias("j"), "node", "alike", "grams").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", F.desc("alike"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for grp, i, j, node, alike, grams in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, i, j) != now:
+                    now, held = (grp, i, j), []
+                own = np.frombuffer(grams, dtype=np.uint64)
+                if alike:
+                    held.append((node, own))
+                elif (hit := next((x for x, there in held if jaccard_reaches(own, there, similarity)), None)) is not None:
+                    out.append((node, hit))
+            if out:
+                yield edges_of(out, pa.binary())
+
+    links = links.unionByName(fringe.mapInArrow(meet, "src binary, dst binary"))
+    return common.keep(links), common.keep(seen.where("not alike").select("grp", "node", "grams"))
+
+
+def similar_links(sets: DataFrame, similarity: float, block_rows: int, block_bytes: int, rounds: int = 4) -> DataFrame:
+    """Links among the texts of each group as (src, dst) edges that span it: stars of large groups first, then pairs of blocks."""
+    links, small, left = [], [], sets
+    for _ in range(rounds):
+        sizes = common.keep(blocks_of(left, block_rows, block_bytes))
+        rows = sizes.agg(F.sum("n")).first()[0]
+        if sizes.where("blocks > 1").isEmpty():
+            break
+        small.append(common.lookup(left, sizes.where("blocks = 1").select("grp", "n"), ["grp"], rows))
+        found, left = star_round(left, sizes.where("blocks > 1"), rows, similarity, block_rows, block_bytes)
+        links.append(found)
+    left = reduce(DataFrame.unionByName, small, left)  # a group is small in one round only, so no group is mixed
+    sizes = common.keep(blocks_of(left, block_rows, block_bytes))
+    dealt = common.lookup(left, sizes, ["grp"], sizes.agg(F.sum("n")).first()[0] or 0).withColumn("b", block(F.col("blocks")))
+    dealt = dealt.select("grp", F.explode(pairs_of(F.col("blocks"), F.col("b"))).alias("p"), "node", "b", "grams").select("grp", "p.i", "p.j", "node", "b", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         for (_, i, j), group in groupby(rows, itemgetter(0, 1, 2)):
             sides = {i: [], j: []}
-            for _, _, _, fp, node, b, grams in group:
-                sides[b].append((fp & 0xFFFFFFFFFFFFFFFF, node, np.frombuffer(grams, dtype=np.uint64)))
+            for _, _, _, node, b, grams in group:
+                sides[b].append((node, np.frombuffer(grams, dtype=np.uint64)))
             if i == j or (sides[i] and sides[j]):
-                out = similar_forest(sides[i], sides[j] if i != j else [], radius, similarity)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["src", "dst"])
+                if out := similar_forest(sides[i], sides[j] if i != j else [], similarity):
+                    yield edges_of(out, pa.binary())
 
     by = ["grp", "i", "j"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+    return reduce(DataFrame.unionByName, links, dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src binary, dst binary"))
 
 
-def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, votes: int = 2, radius: int = 8, shard_rows: int = 256, hot_rows: int = 2048, block_rows: int = 256, block_bytes: int = 8 << 20, recall: float | None = None
-) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text), linked by near fingerprints and exact similarity.
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a row's doc_id and text, which tell other rows apart."""
+    own = [docs["doc_id"].cast("long"), docs["doc_id"].isNull(), docs["text"].cast("string"), docs["text"].isNull()]
+    return F.xxhash64(*own), F.xxhash64(F.lit("other"), *own)
 
-    Fingerprints are over `votes` words. With `recall`, links are by similarity alone, and a pair that has it is found with at
-    least that probability. Nulls and texts without words are equal to each other; fewer than `shingle` words
-    are one shingle. Null doc_ids and repeated rows are as in near_duplicates(); a doc_id that is repeated with another text
-    has a row, and may have a class, for each text.
-    """
+
+def classified(
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, votes: int = 2, radius: int = 8, recall: float = 0.9999, shard_rows: int = 256, hot_rows: int = 2048, block_rows: int = 256, block_bytes: int = 8 << 20
+) -> DataFrame:
+    """(doc_id, k1, k2, fp, grp) for each row of docs(doc_id, text): rows with equal grp are linked, k1 and k2 are row_keys()."""
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = common.keep(with_marks(rows, votes, shingle, bands_for(similarity, recall) if recall else 0))
-    nodes = common.keep(marked.groupBy("fp", "words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    named = nodes.where("node is not null")
-    prints = common.keep(named.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("texts")))
+    k1, k2 = row_keys(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), docs["text"].cast("string").alias("text"))
+    bands = bands_for(similarity, recall)
+    marked = common.keep(with_marks(rows, votes, shingle, bands))
+    row = F.struct("k1", "k2")
+    nodes = common.keep(marked.groupBy("words").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(row).alias("row"), F.count("*").alias("n")).withColumnRenamed("words", "node"))
+    prints = common.keep(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    total, distinct = nodes.agg(F.sum("n"), F.count("*")).first()
     near = shard_links(prints.select("fp", F.col("first").alias("node")), radius, prints.count(), shard_rows, hot_rows)
-    near = near.unionByName(named.join(prints.where("texts > 1"), "fp").select(F.col("node").alias("src"), F.col("first").alias("dst")))
-    near = common.components(near.unionByName(band_links(named)) if recall else near)
-    groups = named.join(near, "node", "left").select("fp", "words", "node", F.coalesce("root", "node").alias("grp"))
-    shared = groups.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    wanted = groups.join(shared, "grp").withColumn("doc_id", F.col("node"))
-    sets = common.keep(shingle_sets(rows.join(wanted, "doc_id"), shingle))
-    linked = common.components(similar_links(sets, None if recall else radius, similarity, block_rows, block_bytes))
-    classes = nodes.join(linked, "node", "left").select("fp", "words", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(classes, ["fp", "words"], "left").select("doc_id", "fp", "component_id")
+    same = common.lookup(nodes.select("fp", "node"), prints, ["fp"], distinct).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    near = common.components(near.unionByName(same).unionByName(band_links(nodes, distinct * bands)))
+    # only texts that have a candidate are read again; others are classes of their own
+    roots = near.select("root").distinct().select(F.col("root").alias("node"), F.col("root"))
+    wanted = near.unionByName(roots).join(nodes.select("node", "row"), "node").select("node", F.col("root").alias("grp"), "row.k1", "row.k2")
+    texts = rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"])
+    if not marked.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # rows that are repeated whole
+        texts = texts.groupBy("node", "grp").agg(F.first("text").alias("text"))
+    linked = common.components(similar_links(common.keep(shingle_sets(texts, shingle)), similarity, block_rows, block_bytes))
+    classes = nodes.join(linked, "node", "left").select(F.col("node").alias("words"), "n", F.coalesce("root", "node").alias("grp"))
+    return common.lookup(marked, classes, ["words"], total or 0).select("doc_id", "k1", "k2", "fp", "grp")
+
+
+def similar_documents(docs: DataFrame, **settings) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs(doc_id, text), linked by similarity; settings are those of classified().
+
+    Two texts without words are equal to each other; fewer than `shingle` words are one shingle. A pair just at the similarity
+    is found with probability `recall` at least. A doc_id that is repeated with another text has a row, and may have a class,
+    for each text.
+    """
+    found = common.keep(classified(docs, **settings))
+    least = found.groupBy("grp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return common.lookup(found, least, ["grp"], found.count()).select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs with all their columns, one of each class of similar documents; settings are those of classified().
+
+    The one with the smallest doc_id stays, one without a doc_id only where none of its class has any; of several texts with
+    that doc_id in the class one stays, and so does one of several rows of that text. Two rows of one doc_id whose texts are
+    not alike are two documents.
+    """
+    found = common.keep(classified(docs, **settings))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    chosen = common.keep(found.groupBy("grp").agg(F.min(order).alias("c")).select("c.k1", "c.k2"))
+    keys = common.keep(found.groupBy("k1", "k2").agg(F.count("*").alias("n")))
+    columns = docs.columns
+    names = [common.free_name(columns, "k1"), common.free_name(columns, "k2")]
+    own = docs.withColumns(dict(zip(names, row_keys(docs))))
+    kept = own.join(keys.join(chosen, ["k1", "k2"], "left_anti").select("k1", "k2").toDF(*names), names, "left_anti")
+    again = common.keep(keys.where("n > 1").join(chosen, ["k1", "k2"]).select("k1", "k2").toDF(*names))
+    if again.isEmpty():
+        return kept.select(*columns)
+    row, by = F.struct(*(docs[c] for c in columns)), F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    several = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by(row, by).alias("row")).select("row.*")
+    return kept.join(again, names, "left_anti").select(*columns).unionByName(several)
 
 
 def hex_of(fp: Column) -> Column:
