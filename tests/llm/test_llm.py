@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -421,6 +422,39 @@ def test_op5_finds_what_brute_force_finds(spark):
         assert kept == {n for n, _ in rows} - {n for n, _ in got}
 
 
+def test_op5_matches_come_through_the_hash_tables(monkeypatch):
+    """Edited passages of short and long items are found, and none is without the tables."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([5, 9, 15, 31, 32, 60, 400, 4000])]
+    texts, want = [], set()
+    for j in range(60):
+        k, item = rng.choice(items)
+        own = item.split()
+        for _ in range(int(0.15 * len(own))):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = [rng.choice(words)] * rng.randrange(2)
+        texts.append(" ".join([rng.choice(words) for _ in range(30)] + own + [rng.choice(words) for _ in range(30)]))
+        want.add((j, k))
+    ready = decontam.Items(items, 0.2, 0.99, None, 5, 11)
+    got = {(m[0], m[1]) for m in decontam.matches(ready, texts)}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    assert sum(p.sorted_keys.nbytes for p in ready.parts) < 1000 * sum(len(t) for _, t in items)
+    monkeypatch.setattr(decontam.Parts, "candidates", lambda self, hashed, starts: set())
+    assert decontam.matches(ready, texts) == []
+
+
+def test_op5_a_very_long_item_needs_little_memory():
+    rng = random.Random(8)
+    item = [f"w{rng.randrange(100_000)}" for _ in range(20_000)]
+    tracemalloc.start()
+    ready = decontam.Items([(1, " ".join(item))], 0.2, 0.99, None, 5, 11)
+    text = ["x"] * 500 + item[:9000] + ["changed"] * 50 + item[9050:] + ["y"] * 500
+    assert decontam.matches(ready, [" ".join(text), None, "", "w1 w2"]) == [(0, 0, 500, 20_000, 50)]
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_op5_exact_passages_are_all_found(spark, texts):
     items = {r.item_id: r.text for r in common.table(spark, SF, "benchmark").collect()}
     got = {(r.doc_id, r.item_id) for r in queries.op5_benchmark_decontamination(spark, SF).collect()}

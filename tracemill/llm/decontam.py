@@ -2,20 +2,24 @@
 
 Texts are words in lower case, split at white space. An item of n words is found in a document where a window of the
 document is within floor(max_edits * n) word edits of it.
-1. Windows: an item within that many edits keeps a run of words unedited, so each match has an anchor, a run of `gram`
-   item words that stands in the document as it is (the run's guaranteed length, at most three words). An anchor gives
-   the item-sized window around it. This loses no match.
-2. Candidates: the CGK random walk embeds windows and items into strings three times as long, whose Hamming distance
-   follows the edit distance. Each repetition has its own walk and its own sample of positions; a window and its item
-   are a candidate if some repetition's samples agree throughout. The number of repetitions follows from `recall`.
+1. Windows: items of 2 * SEGMENT words or more are cut into parts of SEGMENT words or a little more, shorter ones are one
+   part. Of an item within its edits some part is within its share of them. A window is as wide as a part and starts at any
+   word; windows with more words that no item has than the part may have edits are left out, which loses no match.
+2. Candidates: the CGK random walk embeds windows and parts into strings whose Hamming distance follows the edit distance. It
+   gives out the symbol it stands at and then stays or moves on, as a hash of repetition, step and symbol says, so it needs
+   no table. Each repetition has its own walk and its own sample of steps, taken from those in which the walk is still within
+   the part (twice as many as it has words). The sampled symbols are the key of a hash table of the parts; a window and a
+   part with equal keys in some repetition are a candidate. The number of repetitions follows from `recall`, the number of
+   samples from how many parts there are, so that few windows meet a part by chance.
 3. Verification: the exact edit distance of the item to the best substring around the window.
-A window is as far from an item as its offset lets it be, so windows are tried at offsets up to the allowed edits.
 
 Items are a stated query set: they are read in blocks of at most `block_bytes` and each block is one pass over the
-documents, so that what the tasks are sent stays bounded however many items there are.
+documents, so that what the tasks are sent stays bounded however many items there are; a worker's memory is a small
+multiple of the block, whatever an item's length, and a long document is worked on in parts.
 
 Null and empty texts contain nothing; null or empty items match nothing. Null ids are kept in the result. Repeated rows
-are found each. Items of fewer than `least_words` words are only looked for as they are.
+are found each. Items of fewer than `least_words` words are only looked for as they are. Other columns are ignored by
+contaminated() and kept by clean(); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Embedding positions that differ for each edit of words, on average, before the walks of two strings meet again.
-WALK_COST = 5.0
+#: Steps of two walks that differ for each edit of words, on average, before they meet again; of a part's 2 * words steps.
+WALK_COST = 4.0
+#: Words of a part at least, windows that are walked at once, and bits of the table that says whether a key is worth a look.
+SEGMENT, WALKS, TABLE_BITS = 16, 2048, 20
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, edits long"
 
 
@@ -46,53 +53,91 @@ def edits_allowed(n: int, max_edits: float) -> int:
 
 
 def repetitions(length: int, edits: int, samples: int, recall: float) -> int:
-    """Repetitions after which a pair at the allowed edits agrees in some sample, if each edit costs the walk WALK_COST positions."""
-    share = min(0.9, WALK_COST * edits / (3 * length))
+    """Repetitions after which a pair at these edits agrees in all samples of one, if each edit costs the walk WALK_COST steps."""
+    share = min(0.6, WALK_COST * edits / (2 * length))
     hit = (1 - share) ** samples
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit))) if hit < 1 else 1
 
 
+def parts_of(length: int) -> list[tuple[int, int]]:
+    """(start, words) of the parts of an item."""
+    n = max(1, length // SEGMENT)
+    cuts = [length * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+class Parts:
+    """The hash table of all parts of one width: for each repetition, the parts by the symbols that the walk gives at its samples."""
+
+    def __init__(self, width: int, found: list[tuple[int, int]], words: list[np.ndarray], symbols: np.ndarray, edits: int, samples: int, recall: float, seed: int) -> None:
+        self.width, self.edits = width, edits
+        self.items, self.starts = (np.array([f[k] for f in found], dtype=np.int64) for k in (0, 1))
+        rng = np.random.default_rng([seed, width])
+        reps = repetitions(width, edits, samples, recall)
+        self.turns = rng.integers(0, 1 << 63, (2 * width, reps, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.salts = rng.integers(0, 1 << 63, (reps, 1), dtype=np.uint64)
+        # the repetitions that sample each step, and how far there is something to sample
+        chosen = rng.random((reps, 2 * width)).argsort(axis=1)[:, :samples]
+        self.sampled = [np.flatnonzero((chosen == step).any(axis=1)) for step in range(int(chosen.max()) + 1)]
+        flat = np.concatenate([np.append(words[k][at : at + 3 * width], np.zeros(3 * width, dtype=np.int64))[: 3 * width] for k, at in found])
+        keys = self.keys(symbols[flat], np.arange(len(found)) * 3 * width).ravel()
+        owner = np.tile(np.arange(len(found)), reps)
+        order = np.argsort(keys, kind="stable")
+        self.sorted_keys, self.owners = keys[order], owner[order]
+        self.worth = np.zeros(1 << TABLE_BITS, dtype=bool)
+        self.worth[keys >> np.uint64(64 - TABLE_BITS)] = True
+
+    def keys(self, hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(repetition, window) -> key of the symbols that the walk from each start gives at the sampled steps; hashed reaches 2 * width beyond."""
+        at = np.repeat(starts[None, :], len(self.salts), axis=0)
+        found = np.repeat(self.salts, len(starts), axis=1)
+        for turn, sampled in zip(self.turns, self.sampled):
+            there = hashed.take(at)
+            for k in sampled:
+                found[k] = (found[k] ^ there[k]) * np.uint64(0x9E3779B97F4A7C15)
+            there *= turn
+            there >>= np.uint64(63)
+            at += there.view(np.int64)
+        return (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def candidates(self, hashed: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(item, where it would start) of windows whose key is a part's in some repetition."""
+        found: set[tuple[int, int]] = set()
+        for lo in range(0, len(starts), WALKS):
+            own = starts[lo : lo + WALKS]
+            keys = self.keys(hashed, own)
+            rep, window = np.nonzero(self.worth[keys >> np.uint64(64 - TABLE_BITS)])
+            asked = keys[rep, window]
+            first, last = np.searchsorted(self.sorted_keys, asked, "left"), np.searchsorted(self.sorted_keys, asked, "right")
+            times = last - first
+            part = self.owners[np.repeat(first, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            found.update(zip(self.items[part].tolist(), (np.repeat(own[window], times) - self.starts[part]).tolist()))
+        return found
+
+
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], max_edits: float, recall: float, samples: int, least_words: int, seed: int) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], max_edits: float, recall: float, samples: int | None, least_words: int, seed: int) -> None:
         found = [(i, w) for i, t in rows if (w := words_of(t))]
         self.ids = [i for i, _ in found]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({x for _, w in found for x in w}))}
         self.words = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for _, w in found]
         self.edits = [edits_allowed(len(w), max_edits) if len(w) >= least_words else 0 for w in self.words]
-        # anchors: for each gram length, sorted codes of grams and where they stand in which item
-        grams: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        base = self.base = len(self.vocabulary) + 1
+        # hashes of the words; zero is any word that no item has
+        self.symbols = np.random.default_rng(seed).integers(0, 1 << 63, len(self.vocabulary) + 1, dtype=np.uint64) * np.uint64(2)
+        by: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for k, (w, e) in enumerate(zip(self.words, self.edits)):
-            g = min(3, math.ceil((len(w) - e) / (e + 1)))
-            for at in range(len(w) - g + 1):
-                grams[g][int(sum(int(x) * base**j for j, x in enumerate(w[at : at + g])))].append((k, at))
-        self.anchors = {g: (np.array(sorted(by), dtype=np.int64), [by[c] for c in sorted(by)]) for g, by in grams.items()}
-        # walks and samples of every repetition, and the items' sampled embeddings
-        self.longest = max(map(len, self.words), default=0)
-        reps = max((repetitions(len(w), e, samples, recall) for w, e in zip(self.words, self.edits)), default=0)
-        rng = np.random.default_rng(seed)
-        self.walks = [rng.integers(0, 2, (3 * self.longest, base + 1), dtype=np.int8) for _ in range(reps)]
-        self.samples = [rng.random((len(self.words), samples)) for _ in range(reps)]
-        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        padded = np.full((len(self.words), self.longest + 1), base, dtype=np.int64)
-        for k, w in enumerate(self.words):
-            padded[k, : len(w)] = w
-        self.sampled = [self.embed(padded, lengths, np.arange(len(self.words)), r) for r in range(reps)]
-
-    def embed(self, symbols: np.ndarray, lengths: np.ndarray, of_item: np.ndarray, rep: int) -> np.ndarray:
-        """The sampled positions of the CGK embeddings of rows of symbols; positions are those of the item a row is compared with."""
-        walk, at = self.walks[rep], np.zeros(len(symbols), dtype=np.int64)
-        rows = np.arange(len(symbols))
-        long = 3 * lengths
-        out = np.empty((len(symbols), int(long.max(initial=0))), dtype=np.int64)
-        for j in range(out.shape[1]):
-            s = symbols[rows, at]
-            out[:, j] = s
-            at = np.minimum(at + walk[j, s], lengths)
-        picked = (self.samples[rep][of_item] * long[:, None]).astype(np.int64)
-        return out[rows[:, None], picked]
+            cut = parts_of(len(w))
+            for at, width in cut:
+                by[width, e // len(cut)].append((k, at))
+        total = sum(map(len, by.values()))
+        if samples is None and total:
+            counts = np.bincount(np.concatenate(self.words)).astype(float)
+            meet = max(1e-4, min(0.5, ((counts / counts.sum()) ** 2).sum()))  # chance that two words are equal
+            samples = max(3, math.ceil(math.log(20 * total) / -math.log(meet)))
+        self.parts = [Parts(width, f, self.words, self.symbols, e, min(samples, 2 * width), recall, seed) for (width, e), f in sorted(by.items())]
+        self.widest = max((p.width for p in self.parts), default=0)
 
 
 def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -110,51 +155,42 @@ def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
     """(index of text, index of item, first word of the window, words of the item, edits) of the best match of each item in each text."""
     known = items.vocabulary
-    coded = [np.fromiter((known.get(w, 0) for w in ws), dtype=np.int64, count=len(ws)) for ws in map(words_of, texts)]
+    coded = [np.fromiter(map(known.get, ws, repeat(0)), dtype=np.int64, count=len(ws)) for ws in map(words_of, texts)]
     if not coded or not items.words:
         return []
-    # all texts in one row of codes, kept apart by more zeros than any window is wide
-    gap = np.zeros(2 * items.longest + 4, dtype=np.int64)
+    # all texts in one row of codes, kept apart by more zeros than any walk is long
+    gap = np.zeros(3 * items.widest, dtype=np.int64)
     starts, at, joined = [], len(gap), [gap]
     for c in coded:
         starts.append(at)
         joined += [c, gap]
         at += len(c) + len(gap)
     flat, starts = np.concatenate(joined), np.array(starts)
-    windows: set[tuple[int, int]] = set()
-    for g, (codes, places) in items.anchors.items():
-        there = np.flatnonzero(np.logical_and.reduce([flat[j : len(flat) - g + 1 + j] > 0 for j in range(g)]))
-        value = sum(flat[there + j] * items.base**j for j in range(g))
-        spot = np.minimum(np.searchsorted(codes, value), len(codes) - 1)
-        hit = codes[spot] == value
-        for p, s in zip(there[hit].tolist(), spot[hit].tolist()):
-            windows.update((k, p - a) for k, a in places[s])
-    if not windows:
-        return []
-    near = sorted({(k, p + d) for k, p in windows for d in range(-(items.edits[k] // 2), items.edits[k] // 2 + 1)})
-    of_item, first = np.array([k for k, _ in near]), np.array([p for _, p in near])
-    lengths = np.array([len(w) for w in items.words])[of_item]
-    columns = np.arange(items.longest + 1)
-    candidate = np.zeros(len(near), dtype=bool)
-    for lo in range(0, len(near), 20_000):
-        part = slice(lo, lo + 20_000)
-        inside = columns < lengths[part, None]
-        symbols = np.where(inside, flat[np.clip(first[part, None] + columns, 0, len(flat) - 1)], items.base)
-        for rep in range(len(items.walks)):
-            left = np.flatnonzero(~candidate[part])
-            got = items.embed(symbols[left], lengths[part][left], of_item[part][left], rep)
-            candidate[lo + left] |= (got == items.sampled[rep][of_item[part][left]]).all(axis=1)
+    before = np.concatenate([[0], np.cumsum(flat > 0)])
+    hashed, near = items.symbols[flat], set()
+    for p in items.parts:
+        there = np.flatnonzero(before[p.width : -2 * p.width] - before[: -3 * p.width] >= p.width - p.edits)
+        near |= p.candidates(hashed, there)
+    seen = np.zeros(len(known) + 1, dtype=bool)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     done: dict[tuple[int, int], int] = {}
-    for k, p in zip(of_item[candidate].tolist(), first[candidate].tolist()):
-        doc, e = int(np.searchsorted(starts, p + len(items.words[k]) // 2, side="right")) - 1, items.edits[k]
-        if doc < 0 or best.get((doc, k), (1, 0))[0] == 0 or p - done.get((doc, k), -(1 << 60)) < max(1, e // 2):
+    for k, p in sorted(near):
+        n, e = len(items.words[k]), items.edits[k]
+        doc = max(0, int(np.searchsorted(starts, p + n // 2, side="right")) - 1)
+        if best.get((doc, k), (1, 0))[0] == 0 or p - done.get((doc, k), -(1 << 60)) < max(1, e // 2):
             continue  # found as it is already, or verified with what lies around a moment ago
         done[doc, k] = p
-        lo = max(p - e, int(starts[doc]))
-        edits, end = best_substring(items.words[k], flat[lo : min(p + len(items.words[k]) + 2 * e, int(starts[doc]) + len(coded[doc]))])
+        low, high = int(starts[doc]), int(starts[doc]) + len(coded[doc])
+        lo = max(p - 2 * e, low)
+        around = flat[lo : max(lo, min(p + n + 3 * e, high))]
+        seen[around] = True
+        lacks = n - int(seen[items.words[k]].sum())  # words of the item that are nowhere around are an edit each
+        seen[around] = False
+        if lacks > e:
+            continue
+        edits, end = best_substring(items.words[k], around)
         if edits <= e and edits < best.get((doc, k), (1 << 60, 0))[0]:
-            best[doc, k] = edits, max(0, lo + end - len(items.words[k]) - int(starts[doc]))
+            best[doc, k] = edits, max(0, lo + end - n - low)
     return [(doc, k, at, len(items.words[k]), edits) for (doc, k), (edits, at) in sorted(best.items())]
 
 
@@ -169,7 +205,7 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[i
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, samples: int = 3, least_words: int = 5, block_bytes: int = 4 << 20, seed: int = 11
+    docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, samples: int | None = None, least_words: int = 5, block_bytes: int = 4 << 20, seed: int = 11
 ) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, edits): one row for each row of docs(doc_id, text) and item found in it."""
     spark = docs.sparkSession
@@ -193,7 +229,7 @@ def contaminated(
 
 
 def clean(
-    docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, samples: int = 3, least_words: int = 5, block_bytes: int = 4 << 20, seed: int = 11
+    docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, samples: int | None = None, least_words: int = 5, block_bytes: int = 4 << 20, seed: int = 11
 ) -> DataFrame:
     """The rows of docs whose text has no item in it, with all their columns. No shuffle: each block of items is a filter."""
     spark = docs.sparkSession
