@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -357,6 +358,49 @@ def test_op4_without_article():
     assert html_extract.Page(PAGE).text(WEIGHTS) == "Title & more\nPara one is here with several words é to be read.\nAnother paragraph with text.\nThird para that also has text."
 
 
+def test_op4_drops_only_what_is_boilerplate():
+    page = """<html><body class="page-with-sidebar"><div class="sidebar-layout has-menu"><nav>Home</nav><article><header><h1>Headline</h1></header>
+    <p>The area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> as drawn <svg><text>label</text></svg> here.</p><section class="related-work"><p>Earlier studies say so.</p></section>
+    <div id="notice-board"><p>On the board it says more.</p></div><div class="search-engine"><p>Engines find it.</p></div><object><p>Fallback words.</p></object>
+    <div class="share-buttons"><p>Tweet this</p></div><div class="ad-slot"><p>Buy it</p></div><ul class="related"><li>Other story</ul><aside>Side</aside><select><option>Pick</select>
+    <p>The end <a href="x">with a link</a>.</p></article><section id="comments"><p>I disagree with all of this and more, says a reader.</p></section>
+    <div class="cookie-notice">We use cookies</div><footer>Imprint</footer></div></body></html>"""
+    for text in (page, page.replace("<article>", "<div>").replace("</article>", "</div>").replace("<header>", "").replace("</header>", "")):
+        got = html_extract.Page(text).text({"word prose": 4.0, "word link": 2.0, "word bad": -1.0})
+        assert got == "Headline\nThe area is x+1 as drawn label here.\nEarlier studies say so.\nOn the board it says more.\nEngines find it.\nFallback words.\nThe end with a link."
+
+
+def test_op4_a_container_with_a_misleading_name_is_kept():
+    prose = "<p>Words of the story go on and on in this paragraph.</p>" * 5
+    page = f"<body><div class='menu'><a>Home</a></div><div class='content widget'>{prose}</div><div class='footer'>Imprint</div></body>"
+    assert html_extract.Page(page).text(WEIGHTS) == "\n".join(["Words of the story go on and on in this paragraph."] * 5)
+
+
+def test_op4_learned_runs_find_what_no_element_marks(spark):
+    """Weights from the even pages; on odd ones the article is a div, so only the run tells it, with a headline and lede before the element too."""
+    pages = common.table(spark, SF.replace("0.001", "0.01"), "pages")
+    weights = html_extract.learn(pages.where("page_id % 2 = 0"))
+    for r in pages.where("page_id % 2 = 1").limit(60).collect():
+        want = plain_article(r.html)
+        assert html_extract.Page(r.html.replace("<article>", "<div>").replace("</article>", "</div>")).text(weights) == want
+        lede = "<h1>A headline of its own</h1><p>And a lede of a dozen words or so that stands before the article.</p>"
+        got = html_extract.Page(r.html.replace("<article>", lede + "<article>")).text(weights)
+        assert got == "A headline of its own\nAnd a lede of a dozen words or so that stands before the article.\n" + want
+
+
+@pytest.mark.parametrize(
+    "unit", ["<div><span>", "<p><object><span>", "<span><table><div>", "</span>", "<hr>", "<a <a ", "<a b='", "<b>", "<li>", "<td>x", "<a>y", "<div class=ad>", "<!-- ", "&amp", "<article>", "</p>z", '<a b="', "=' "]
+)
+def test_op4_hostile_pages_take_linear_time(unit):
+    took = []
+    for size in (250_000, 1_000_000):
+        page = "<p><span><table>" + unit * (size // len(unit)) + '=">"' + "</span><hr>" * 10_000
+        began = time.process_time()
+        html_extract.Page(page).text(WEIGHTS)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * max(took[0], 0.1)
+
+
 @pytest.mark.parametrize("page", ["", "<", "a<b", "<p", "<!-- x", "<script>abc", "<div " * 20_000, "<" * 50_000, "<p>" * 5000, "</p>" * 5000, "<div>" * 3000 + "</p>" * 3000, "<a href='" + "y" * 50_000])
 def test_op4_broken_pages(page):
     html_extract.Page(page).text(WEIGHTS)
@@ -366,6 +410,7 @@ def test_op4_rows(spark):
     rows = [(1, "u", None), (1, None, "<article><p>a  b</p><p>c</p></article>"), (None, "u", "")]
     got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("a b\nc", 5)]
+    assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @settings(max_examples=100, deadline=None)

@@ -7,11 +7,14 @@ score above zero and tags, and words of boilerplate, below. A linear scan (runni
 finds the run with the greatest sum: the content region. Boilerplate elements inside the region are left out, and what
 is left is cut into blocks at block-level tags.
 
-Where an article or main element holds nearly all words of the best run, the region is that whole element, the smallest
-such: the run says which.
-
-Null and empty pages give an empty text. Repeated rows each get their row. Unclosed tags, broken comments and stray
-brackets are read as browsers do, as far as this needs.
+Boilerplate is told by tag or role (menus, footers, asides, forms, ...), or by class or id, where a whole name must say so:
+`related` or `comment-list`, but not `related-work` or `notice-board`. An element whose class says so is none
+if it holds more than half of the page's words and no article or main element stands outside it. Where an article or main element holds nearly all words of the best run,
+the region is widened to the whole element, the smallest such; it is never cut.
+
+Null and empty pages give an empty text. Repeated rows each get their row, other columns are ignored, and an empty table
+gives no rows. Unclosed tags, broken comments and stray brackets are read as browsers do, as far as this needs; the time
+is linear in the page's length, however tags are nested.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,44 +33,74 @@ from pyspark.sql import functions as F
 from . import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|[^<]+|<", re.S)
-RAW = frozenset("script style noscript template textarea iframe svg math object select title head".split())
+#: Elements whose text is no text of the page; of the first ones the content is no markup either.
+RAW = frozenset("script style noscript template textarea iframe".split())
+UNSEEN = RAW | frozenset("select title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements and words in class, id or role that mark boilerplate.
-DROPPED = frozenset("nav footer aside form button dialog menu".split()) | RAW
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|footer|side-?bar|aside|ads?|adverts?|advertisement|banner|promo(?:tion)?|sponsor(?:ed)?|cookies?|consent|notice|popup|modal|newsletter|"
-    r"subscribe|share|sharing|social|comments?|replies|disqus|respond|related|recommended|breadcrumbs?|pagination|pager|widget|toolbar|masthead|copyright|disclaimer|login|search|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+INLINE = frozenset("b i em strong a span font u small code".split())
+#: Elements that end tags of other elements do not close.
+BARRIERS = frozenset("article main table body".split())
+#: Elements and roles that are boilerplate, and names in class or id that are when they stand alone or with qualifiers only.
+DROPPED = frozenset("nav footer aside form button dialog menu search".split()) | UNSEEN
+ROLES = frozenset("navigation banner complementary contentinfo search menu menubar dialog alertdialog form".split())
+NAMES = frozenset(
+    "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent notice popup modal "
+    "newsletter subscribe share sharing social comment comments replies disqus respond related recommended breadcrumb breadcrumbs pagination pager widget toolbar masthead "
+    "copyright disclaimer login search".split()
+)
+QUALIFIERS = frozenset(
+    "site page top bottom left right main primary secondary global header mobile desktop box block list bar section area wrapper wrap container inner outer content button "
+    "buttons link links icon icons form signup slot unit posts articles stories items item thread count author text body reader user google media policy privacy".split()
 )
-ATTRIBUTES = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTES = re.compile(r"(?<![\w-])(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])", re.I)
 CLOSES_P = BLOCKS - {"br", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "option", "optgroup", "legend", "li", "dd", "dt"}
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\S+")
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
+def says_boilerplate(names: str) -> bool:
+    """Whether one of the names of a class or id attribute is a boilerplate name with nothing but qualifiers beside it."""
+    for name in names.lower().split():
+        words = [w.rstrip("0123456789") for w in re.split(r"[-_]+", name)]
+        words = [w for w in words if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in QUALIFIERS for w in words):
+            return True
+    return False
+
+
+def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its tag, role or being hidden, and whether its class or id says so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, *value in ATTRIBUTES.findall(attributes):
-        text = "".join(value)
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and text.lower() == "true":
-            return True
-        if name.lower() in ("class", "id", "role") and MARKS.search(text):
-            return True
-    return False
+        name, text = name.lower(), "".join(value)
+        if name == "hidden" or name == "role" and text.strip().lower() in ROLES:
+            return True, False
+        named = named or name in ("class", "id") and says_boilerplate(text)
+    return False, named
+
+
+class Open(NamedTuple):
+    """An open element: its tag, whether it is boilerplate or within such, its first token, and where a p is that a block closes, or -1."""
+
+    tag: str
+    drop: bool
+    first: int
+    p: int
 
 
 class Page:
     """Tokens of a page: `kinds` are what weights are for, `texts` the words of text tokens, `drop` whether a token is in boilerplate.
 
     Tokens are tags and pieces of text between tags; a piece counts for its words. `elements` lists each article or main
-    element as (first token, end), `blocks` the tokens that end a block.
+    element as (first token, end), `block` the tokens that end a block.
     """
 
     def __init__(self, page: str) -> None:
@@ -76,42 +110,49 @@ class Page:
         self.drop: list[bool] = []
         self.block: list[bool] = []
         self.elements: list[tuple[int, int]] = []
-        stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, first token
-        self.open: Counter = Counter()
-        at, low, last = 0, None, page.rfind(">")
+        self.named: list[tuple[int, int]] = []  # outermost elements whose class says boilerplate, as (first token, end)
+        self.stack: list[Open] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
+        self.barriers: list[int] = []
+        self.named_at = -1  # where in the stack the outermost element named boilerplate is
+        stack, at, low, last = self.stack, 0, None, page.rfind(">")
         while m := TOKEN.match(page, at):
-            if at > last and m.group()[:1] == "<" and not m.group().startswith("<!--"):
-                self.add_text(page[at:], stack)  # no tag ends any more
+            if m.group() == "<" and page[at + 1 : at + 2].isalpha() or at > last and m.group()[:1] == "<" and not m.group().startswith("<!--"):
+                self.add_text(page[at:])  # no tag ends any more
                 break
             at = m.end()
             tag = m.group(2)
             if tag is None:
-                if m.group().startswith(("<!", "<?")):
-                    continue
-                self.add_text(m.group(), stack)
+                if not m.group().startswith(("<!", "<?")):
+                    self.add_text(m.group())
                 continue
             tag = tag.lower()
             if m.group(1):
-                self.close(tag, stack)
+                self.close(tag)
                 continue
-            bad = is_boilerplate(tag, m.group(3)) or tag == "header" and not self.open["article"] and not self.open["main"]
-            if tag in CLOSES_P:
-                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "a", "span", "font") and any(t == "p" for t, _, _ in stack):
-                    self.pop(stack)
-            elif tag in ("li", "td", "th", "tr", "option", "dd", "dt") and stack and stack[-1][0] == tag:
-                self.pop(stack)
-            inside = bool(stack) and stack[-1][1]
-            self.add(f"<{tag}{' bad' if bad and tag not in DROPPED else ''}", 1, None, bad or inside, tag in BLOCKS)
+            bad, named = boilerplate(tag, m.group(3))
+            bad = bad or tag == "header" and not self.places["article"] and not self.places["main"]
+            if tag in CLOSES_P and stack and stack[-1].p >= 0:
+                self.pop_to(stack[-1].p)
+            elif tag in ("li", "td", "th", "tr", "option", "dd", "dt", "a") and self.places[tag] and (tag == "a" and self.in_link() or stack[-1].tag == tag):
+                self.pop_to(self.places[tag][-1])
+            inside = bool(stack) and stack[-1].drop
+            self.add(f"<{tag}{' bad' if (bad or named) and tag not in DROPPED else ''}", 1, None, bad or inside, tag in BLOCKS)
             if tag in VOID or m.group(3).endswith("/") and tag not in BLOCKS:
                 continue
-            stack.append((tag, bad or inside, len(self.kinds) - 1))
-            self.open[tag] += 1
-            if tag in RAW and tag not in ("head", "select", "object", "svg", "math"):
+            here = len(stack)
+            if named and self.named_at < 0 and not (bad or inside):
+                self.named_at = here
+            if tag in BARRIERS:
+                self.barriers.append(here)
+            self.places[tag].append(here)
+            stack.append(Open(tag, bad or inside, len(self.kinds) - 1, here if tag == "p" else stack[-1].p if tag in INLINE and stack else -1))
+            if tag in RAW or tag == "title" and self.places["head"]:
                 low = low or page.lower() if page.isascii() else low or re.sub(r"[A-Z]+", lambda x: x.group().lower(), page)
                 end = low.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
-        while stack:
-            self.pop(stack)
+        self.pop_to(0)
+        self.drop_named()
 
     def add(self, kind: str, size: int, text: str | None, drop: bool, block: bool) -> None:
         self.kinds.append(kind)
@@ -120,32 +161,51 @@ class Page:
         self.drop.append(drop)
         self.block.append(block)
 
-    def add_text(self, text: str, stack: list) -> None:
+    def in_link(self) -> bool:
+        return bool(self.places["a"]) and (not self.barriers or self.places["a"][-1] > self.barriers[-1])
+
+    def add_text(self, text: str) -> None:
         n = len(WORD.findall(text))
+        drop = bool(self.stack) and self.stack[-1].drop
         if n == 0:
             if self.texts and text:
-                self.add("space", 0, text, bool(stack) and stack[-1][1], False)
+                self.add("space", 0, text, drop, False)
             return
-        where = "bad" if stack and stack[-1][1] else "link" if any(t == "a" for t, _, _ in stack[-3:]) else "list" if stack and stack[-1][0] in ("li", "td", "th") else "prose"
-        self.add(f"word {where}", n, text, where == "bad", False)
-
-    def pop(self, stack: list) -> None:
-        tag, drop, first = stack.pop()
-        self.open[tag] -= 1
-        self.add(f"</{tag}", 1, None, drop, tag in BLOCKS)
-        if tag in ("article", "main"):
-            self.elements.append((first, len(self.kinds)))
-
-    def close(self, tag: str, stack: list) -> None:
-        if not self.open[tag]:
+        where = "bad" if drop else "link" if self.in_link() else "list" if self.stack and self.stack[-1].tag in ("li", "td", "th") else "prose"
+        self.add(f"word {where}", n, text, drop, False)
+
+    def pop_to(self, depth: int) -> None:
+        """Close open elements until only `depth` are left."""
+        while len(self.stack) > depth:
+            tag, drop, first, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BARRIERS:
+                self.barriers.pop()
+            self.add(f"</{tag}", 1, None, drop, tag in BLOCKS)
+            if tag in ("article", "main"):
+                self.elements.append((first, len(self.kinds)))
+            if len(self.stack) == self.named_at:
+                self.named.append((first, len(self.kinds)))
+                self.named_at = -1
+
+    def close(self, tag: str) -> None:
+        places = self.places.get(tag)
+        if not places:
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                while len(stack) > k:
-                    self.pop(stack)
-                return
-            if stack[k][0] in ("article", "main", "table", "body") and tag not in ("html", "body", "article", "main", "table", "div", "section"):
-                return  # a stray end tag doesn't close what holds it
+        if tag not in ("html", "body", "article", "main", "table", "div", "section") and self.barriers and self.barriers[-1] > places[-1]:
+            return  # a stray end tag doesn't close what holds it
+        self.pop_to(places[-1])
+
+    def drop_named(self) -> None:
+        """Mark what is in elements named boilerplate, but for one that holds more than half of the words and any article there is."""
+        words = [size * (text is not None and not drop) for size, text, drop in zip(self.sizes, self.texts, self.drop)]
+        total = sum(words)
+        for first, end in self.named:
+            if 2 * sum(words[first:end]) <= total or any(not (first <= a and b <= end) for a, b in self.elements):
+                for k in range(first, end):
+                    self.drop[k] = True
+                    if self.sizes[k] and self.texts[k] is not None:
+                        self.kinds[k] = "word bad"
 
     def best_run(self, weights: dict[str, float]) -> tuple[int, int]:
         """First token and end of the run with the greatest sum; the first such run, empty if none is above zero."""
@@ -168,7 +228,8 @@ class Page:
             words.append(words[-1] + size * (kind[0] == "w" and not drop))
         held = [e for e in self.elements if words[min(end, e[1])] - words[min(max(first, e[0]), min(end, e[1]))] >= HELD * (words[end] - words[first])]
         if held and first < end:
-            first, end = min(held, key=lambda e: e[1] - e[0])
+            whole = min(held, key=lambda e: e[1] - e[0])
+            first, end = min(first, whole[0]), max(end, whole[1])
         out, block = [], []
 
         def flush() -> None:
@@ -211,7 +272,7 @@ def learn(pages: DataFrame, sample_rows: int = 2000, smoothing: float = 5.0) ->
     Kinds are tag names and a few kinds of word, so what reaches the driver is small. Weights are held within
     WORD_LIMIT and TAG_LIMIT; words in boilerplate are never above zero, words of prose at least 0.1, and no tag is above zero.
     """
-    common.small_batches(pages.sparkSession, 64)
+    common.small_batches(pages.sparkSession)
     labelled = pages.where(F.col("html").contains("<article") | F.col("html").contains("<main"))
     # ids first: only the chosen pages' html moves, however many tasks there are
     chosen = labelled.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample_rows)
@@ -241,7 +302,7 @@ def learn(pages: DataFrame, sample_rows: int = 2000, smoothing: float = 5.0) ->
 
 def main_texts(pages: DataFrame, weights: dict[str, float] | None = None, sample_rows: int = 2000) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages(page_id, url, html)."""
-    common.small_batches(pages.sparkSession, 64)
+    common.small_batches(pages.sparkSession)
     weights = learn(pages, sample_rows) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
