@@ -5,7 +5,8 @@ or an identity number. Digit runs anchor addresses of hosts and cards. From an a
 the characters its kind allows, bounded by the end of the span before, and validates: octets, the Luhn checksum, digit
 counts, the IBAN checksum. Each parser is linear in what it walks over, also in hostile texts.
 
-Null and empty texts give no spans. A null doc_id stays null, repeated rows each get their row, other columns are ignored.
+Null and empty texts give no spans. A null doc_id stays null, repeated rows each get their row, other columns are ignored,
+and an empty table gives no rows. Spans of one kind never overlap, those of different kinds may.
 """
 
 from __future__ import annotations
@@ -117,12 +118,12 @@ def urls(text: str, ends: list[int]) -> Iterator[tuple[int, int]]:
     floor = 0
     for end in ends:  # of a scheme separator
         m = SCHEME.search(text, max(floor, end - 8), end - 3) if end - 3 >= floor else None
-        rest = URL_REST.match(text, end)
+        rest = URL_REST.match(text, end) if m else None
         if m and rest:
             stop = end + len(rest.group().rstrip(".,;:!?'()"))
             if stop > end:
                 yield m.start(), stop
-                floor = stop
+            floor = stop  # what a scheme has been read for is not read again
 
 
 def accounts(text: str, ends: list[int]) -> Iterator[tuple[int, int]]:

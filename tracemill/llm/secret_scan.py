@@ -1,6 +1,6 @@
 """Secrets: known shapes by pattern, and unknown ones by their zstandard novelty against what surrounds them.
 
-Beside the base patterns, a string of 16 or more key characters close to a sensitive cue, before or behind it, is a
+Beside the base patterns, a string of 16 or more key characters within REACH characters of a sensitive cue, before or behind it, is a
 candidate, and so is one on the line after or before such a secret, and on from there; a cue within a string parts it. Its novelty
 is what it adds to the compressed size of its surroundings, per character: the compressor is primed with a dictionary of
 identifiers and common code, and the text before and after the candidate comes first, so a name that is spelled out of
@@ -12,7 +12,9 @@ bound on novelty tells them apart), and strings without a letter are not reporte
 itself ending in =),
 and all lines of key characters in a PEM private key that has a novel one.
 
-Null and empty texts give no spans. A null doc_id stays null, repeated rows each get their row, other columns are ignored.
+Null and empty texts give no spans. A null doc_id stays null, repeated rows each get their row, other columns are ignored by
+secrets() and kept by redact(); an empty table gives no rows. Spans of one kind never overlap, those of different kinds may
+(both are listed); masks cover their union once. The time is linear in the text's length.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ REACH, AROUND = 48, 256
 GAP = re.compile(r"""[ \t"',;+\\]{0,8}(?:\r?\n|\\r|\\n)[ \t"'>*#\\]{0,32}""")
 TAIL = re.compile(GAP.pattern + r"(?!-----)([A-Za-z0-9+/_=-]{1,15})(?![A-Za-z0-9+/_=-])")
 ALONE = re.compile(r"""["',;\\]*[ \t]*(?:\r?\n|\\r|\\n|\Z)|["']""")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(.*?)-----END", re.DOTALL)
+PEM_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,32}PRIVATE KEY[A-Z ]{0,32}-----")
 PEM_LINE = re.compile(r"""^[ \t"'>*#]*([A-Za-z0-9+/=]+)[ \t"',;+\\]*\r?$""", re.MULTILINE)
 #: Identifiers and common code, as they stand around secrets without being any.
 IDENTIFIERS = (
@@ -109,6 +111,27 @@ def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], boo
         yield s, e, cues[at:stop], close
 
 
+def pem_bodies(text: str) -> Iterator[tuple[int, int]]:
+    """Where the bodies of PEM private keys start and stop, each from a BEGIN to the next END."""
+    at = 0
+    while m := PEM_BEGIN.search(text, at):
+        stop = text.find("-----END", m.end())
+        if stop < 0:
+            return
+        yield m.end(), stop
+        at = stop + 8
+
+
+def meet(spans: list[tuple[int, int]], others: list[tuple[int, int]], whole: bool = False) -> list[bool]:
+    """For each of the spans whether one of the others overlaps it, or holds it whole; both are sorted and disjoint in themselves."""
+    found, k = [], 0
+    for s, e in spans:
+        while k < len(others) and others[k][1] <= s:
+            k += 1
+        found.append(k < len(others) and (others[k][0] <= s and e <= others[k][1] if whole else others[k][0] < e))
+    return found
+
+
 def next_line(text: str, end: int, start: int) -> bool:
     """Whether a string that ends at `end` is followed by one that starts the next line at `start`; the n of an escaped end of line is a key character."""
     return GAP.fullmatch(text, end, start) is not None or (text[start - 1] == "\\" and text[start] in "nr" and GAP.fullmatch(text, end, start + 1) is not None)
@@ -166,10 +189,13 @@ def find(text: str, least: float = 0.7, wordlike: float = 0.65) -> dict[str, lis
                 letters = not any("0" <= c <= "9" for c in m[1]) and word_pairs(m[1]) >= wordlike
                 if (again and not letters) or m[1][-1] == "=" or "-----END" in text[m.end(1) : m.end(1) + 32]:
                     novel.append(m.span(1))
-    for m in PEM.finditer(text) if "PRIVATE KEY" in text else ():
-        own = [x.span(1) for x in PEM_LINE.finditer(text, m.start(1), m.end(1)) if free(*x.span(1))]
-        if any(a < e and s < b for a, b in novel for s, e in own) or any(is_novel(*x) for x in own):
-            novel = [x for x in novel if not any(s <= x[0] and x[1] <= e for s, e in own)] + own
+    novel.sort()
+    for start, stop in pem_bodies(text) if "PRIVATE KEY" in text else ():
+        own = [x.span(1) for x in PEM_LINE.finditer(text, start, stop) if free(*x.span(1))]
+        first, last = bisect_left(novel, (start, -1)), bisect_left(novel, (stop, -1))
+        if any(meet(own, novel[first:last])) or any(is_novel(*x) for x in own):
+            inside = {x for x, hit in zip(novel[first:last], meet(novel[first:last], own, whole=True)) if hit}
+            novel[first:last] = sorted([x for x in novel[first:last] if x not in inside] + own)
     found["novel"] = sorted(novel)
     return found
 
