@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -271,6 +272,9 @@ def test_op2(spark, texts):
         same = 1 - (int(r.fingerprint, 16) ^ int(pair_fingerprint(after), 16)).bit_count() / 128
         assert r.near_next == pytest.approx(same)
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
+    prints = {int(r.fingerprint, 16) for r in got.values()}
+    for i, r in got.items():
+        assert r.n_near == (None if i % 100 else sum((int(r.fingerprint, 16) ^ p).bit_count() <= 6 for p in prints))
 
 
 @pytest.mark.parametrize("per_bucket", [256, 2])
@@ -285,6 +289,20 @@ def test_op2_awkward(spark, odd, per_bucket):
     assert fingerprints.edited_likeness(odd.limit(0)).count() == 0
 
 
+def test_op2_one_id_may_hold_most_rows(spark):
+    """Ids that many rows share, and nulls, have several ranges; all rows still follow each other in one circle."""
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k}") for k in range(600)] + [(9, "again")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, tied = fingerprints.range_splits([5] * 40 + [700], -1)
+    assert tied
+    got = fingerprints.with_next_text(df, rows_per_bucket=8).collect()
+    assert len(got) == 640
+    order = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert Counter((r.next_doc_id, r.next_text) for r in got) == Counter((r.doc_id, r.text) for r in got)
+    ids = [r.next_doc_id for r in order if r.doc_id is not None and r.doc_id > 9]
+    assert ids[:-1] == sorted(ids[:-1]) and ids[-1] is None
+
+
 def test_op2_long_text_is_counted_whole(spark):
     text = "a b " * 40_000 + "c d " * 45_000
     row = fingerprints.with_fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "fp").select(fingerprints.hex_of("fp")).first()
@@ -297,9 +315,10 @@ def test_op2_long_text_is_counted_whole(spark):
     assert int(row[0][16:], 16) == sum(1 << i for i in range(64) if votes[i] > 0)
 
 
-def test_op2_block_tables(docs):
+@pytest.mark.parametrize("agree", [None, 2])
+def test_op2_block_tables(docs, agree):
     marked = fingerprints.with_fingerprint(docs, "text", "fp").select("doc_id", "fp").cache()
-    got = {(tuple(r.query), tuple(r.fp)): r.bits for r in fingerprints.near(marked, marked.where("doc_id % 10 = 0"), radius=8).collect()}
+    got = {(tuple(r.query), tuple(r.fp)): r.bits for r in fingerprints.near(marked, marked.where("doc_id % 10 = 0"), radius=8, agree=agree).collect()}
     rows = {tuple(r.fp): r.doc_id for r in marked.collect()}
     asked = {tuple(r.fp) for r in marked.where("doc_id % 10 = 0").collect()}
 
@@ -332,6 +351,46 @@ def test_op3_evidence(spark):
     assert none.count() == 0
 
 
+def test_op3_held_out_documents(spark):
+    docs = common.table(spark, SF.replace("0.001", "0.01"), "documents")
+    texts = langid.learn(docs.where("doc_id % 2 = 0"))
+    found = {r.doc_id: r for r in langid.identify_documents(docs.where("doc_id % 2 = 1"), texts).collect()}
+    rows = docs.where("doc_id % 2 = 1 and length(text) > 20").select("doc_id", "lang").collect()
+    assert np.mean([found[r.doc_id].lang == r.lang for r in rows]) > 0.97
+    assert np.mean([found[r.doc_id].text_lang == r.lang for r in rows]) > 0.97
+
+
+def plain_bayes(rows, kinds, weight=5.0):
+    """Posteriors of rows (host, domain, suffix, declared, text posterior): shares of each level without the row's own part, and Bayes' rule."""
+    found = []
+    for k, (host, domain, suffix, declared, p) in enumerate(rows):
+        others = [r for j, r in enumerate(rows) if j != k]
+        share = np.full(len(p), 1 / len(p))
+        for of in (lambda r: True, lambda r: r[2] == suffix, lambda r: r[1:3] == (domain, suffix), lambda r: r[:3] == (host, domain, suffix)):
+            own = np.sum([r[4] for r in others if of(r)], axis=0) if any(map(of, others)) else np.zeros(len(p))
+            share = (own + weight * share) / (own.sum() + weight)
+        said = np.ones(len(p))
+        if declared:
+            said = (np.sum([r[4] for r in others if r[3] == declared] or [np.zeros(len(p))], axis=0) + 1) / (np.sum([r[4] for r in others] or [np.zeros(len(p))], axis=0) + kinds)
+        score = np.array(p) * share * said
+        found.append(score / score.sum())
+    return found
+
+
+def test_op3_fuses_as_plain_bayes_does(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(80):
+        suffix, domain = rng.choice(["fr", "de", "com"]), rng.choice(["a", "b"])
+        rows.append((f"{rng.choice(['x', 'y'])}.{domain}.{suffix}", f"{domain}.{suffix}", str(suffix), str(rng.choice(["", "fr", "de", "other"])), rng.dirichlet([0.5, 0.5, 0.5])))
+    languages = ["de", "en", "fr"]
+    seen = spark.createDataFrame([(k, "u", *r[:4], *map(float, r[4])) for k, r in enumerate(rows)], "id long, address string, host string, domain string, suffix string, declared string, p0 double, p1 double, p2 double")
+    got = {r.id: r for r in langid.fuse(seen, languages).collect()}
+    for k, want in enumerate(plain_bayes(rows, len(languages) + 2)):
+        assert got[k].lang == languages[int(want.argmax())] and got[k].confidence == pytest.approx(want.max())
+    assert langid.address("https://news.bbc.co.uk/x")[1:] == ("bbc.co.uk", "uk") and langid.address("http://10.0.0.1/") == ("10.0.0.1", "10.0.0.1", "")
+
+
 # op4
 
 
@@ -607,8 +666,9 @@ def test_sweep_places_every_rank_once(have):
     assert len(bins) <= len(gaps) + 1
 
 
-def test_op9_awkward(odd):
-    got = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json")).collect()
+@pytest.mark.parametrize("part_rows", [250_000, 2])
+def test_op9_awkward(odd, part_rows):
+    got = packing.pack(odd, public_tokenizers.path("byte_bpe_50k.json"), part_rows=part_rows).collect()
     check_packing(got, 1024)
     assert sum(r.piece == 0 for r in got) == len(AWKWARD) and sum(r.length == 1 for r in got) >= 2
     assert packing.pack(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
@@ -772,6 +832,55 @@ def test_machine_scores_all_pairs():
         assert margin == pytest.approx(0.3 + m.linear @ row + pairs)
 
 
+def plain_features(text):
+    """The vector, word by word, as the docstring has it."""
+    lines = [line.split() for line in text.split("\n") if line.split()]
+    words = [w for line in lines for w in line]
+    hashes = [zlib.crc32(w.lower().encode()) for w in words]
+    again = [k > 0 and hashes[k] == hashes[k - 1] for k in range(len(words))]
+    marks = "#$%&*!|~^<>{}[]=+\\/@_"
+
+    def flags(w):
+        letters = sum(c.isalpha() for c in w)
+        return [w.isupper() and letters > 1, any(c in marks for c in w), w == "|", any(c.isdigit() for c in w), len(w) > 14, len(w) < 3, letters >= len(w) - 1]
+
+    x = [0.0] * quality.WORD_BINS
+    stats = [0.0] * quality.STATS
+    if words:
+        n = len(words)
+        for h in hashes:
+            x[h % quality.WORD_BINS] += 1 / n
+        stats[:7] = [sum(flags(w)[k] for w in words) / n for k in range(7)]
+        stats[7], stats[8] = sum(again) / n, len(set(hashes)) / n**0.8
+        at, worst = 0, [0.0] * 5
+        for line in lines:
+            own = [[flags(w)[k] for w in line] for k in range(4)] + [again[at : at + len(line)]]
+            worst = [max(a, sum(b) / (len(line) + 4)) for a, b in zip(worst, own)]
+            at += len(line)
+        stats[9:14] = worst
+        stats[14] = 1 - len({" ".join(x) for x in lines}) / len(lines)
+        stats[15], stats[16], stats[17] = math.log(1 + n) / 12, math.log(1 + len(lines)) / 10, len(text) / n / 20
+    stats = [min(1.0, max(0.0, v)) for v in stats]
+    bins = [[float(k == min(int(math.sqrt(v) * quality.STAT_BINS), quality.STAT_BINS - 1)) for k in range(quality.STAT_BINS)] for v in stats]
+    return np.array([*x, *stats, *(v for b in bins for v in b)])
+
+
+def test_op10_features_are_the_plain_ones(texts):
+    for text in [*list(texts.values())[:40], "", " \n", "WORD word Word a1 | {x} averyverylongwordindeed\n\nWORD\nWORD"]:
+        assert np.allclose(quality.features(text), plain_features(text), atol=1e-6)
+
+
+def test_op10_learns_interactions():
+    """A label that is the product of two signs: no linear score tells it, pairs do."""
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.choice([-1.0, 1.0], (900, 2)), rng.normal(size=(900, 4)) * 0.1], axis=1)
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = quality.fit(x[:600], y[:600])
+    assert ((m.scores(x[600:]) >= 0.5) == y[600:]).mean() > 0.95
+    flat = quality.Machine(m.bias, m.linear, np.zeros_like(m.factors))
+    assert ((flat.scores(x[600:]) >= 0.5) == y[600:]).mean() < 0.7
+
+
 def test_op10_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r.doc_id: r.quality for r in common.table(spark, sf, "labels").collect()}

@@ -6,13 +6,17 @@ and against it elsewhere, so a term's weight is its frequency; the sign of a bit
 packed counters, four 16-bit fields to a long, over blocks of at most BLOCK terms so that no field overflows; blocks are
 then added up field by field, so a text of any length is counted whole. Everything happens inside a row: no shuffle.
 
-`near` finds all fingerprints within a Hamming radius of given ones through permuted block tables.
+`near` finds all fingerprints within a Hamming radius of given ones through permuted block tables: the bits are cut into
+blocks, each table has some of them in front, and two fingerprints within the radius have equal front blocks in some table.
+How many blocks a table has in front follows from the number of fingerprints.
 
-Nulls are empty texts; a text without words has fingerprint zero. Equal texts have equal fingerprints.
+Nulls are empty texts; a text without words has fingerprint zero. Equal texts have equal fingerprints. Repeated rows each get
+their row, a null doc_id stays null, other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 from itertools import combinations
 
@@ -95,62 +99,99 @@ def block_keys(fp: Column, radius: int, agree: int) -> Column:
     return F.array(*(F.struct(*(c.alias(f"k{i}") for i, c in enumerate([*(x for b in chosen for x in blocks[b]), *[F.lit(0).cast("long")] * (2 * agree)][: 2 * agree]))) for chosen in combinations(range(n), agree)))
 
 
-def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 6, agree: int = 2) -> DataFrame:
+def agreeing(rows: int, radius: int, most: int = 64) -> int:
+    """Blocks in front of a table: the fewest for which equal front blocks of random fingerprints are shared by `most` rows or less."""
+    for agree in (1, 2, 3):
+        if rows >> 64 * WORDS // (radius + agree) * agree <= most:
+            break
+    return agree
+
+
+def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 6, agree: int | None = None, salts: int = 16) -> DataFrame:
     """(query, fp, bits): the distinct fingerprints (column fp) within the radius of each distinct query fingerprint.
 
     A pair is made in the first table in which its keys agree and in no other, so equal keys in many tables cost no more rows.
+    Keys that many fingerprints share are dealt over `salts` parts; the queries, a small set, go to each.
     """
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        keys = common.keep(df.select(F.col("fp").alias(name)).distinct()).withColumn(f"{name}_keys", block_keys(F.col(name), radius, agree))
-        return keys.select(name, f"{name}_keys", F.posexplode(f"{name}_keys").alias("table", "key"))
+    there, asked = (common.keep(df.select("fp").distinct()) for df in (fingerprints, queries))
+    agree = agree or agreeing(there.count(), radius)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+
+    def dealt(df: DataFrame, name: str, salt: Column) -> DataFrame:
+        return df.select(F.col("fp").alias(name), salt.alias("salt"), F.posexplode(block_keys(F.col("fp"), radius, agree)).alias("table", "key"))
 
-    met = dealt(fingerprints, "there").join(dealt(queries, "asked"), ["table", "key"])
-    first = ~F.exists(F.slice(F.zip_with("there_keys", "asked_keys", lambda a, b: a == b), 1, F.col("table")), lambda same: same)
+    met = dealt(there, "there", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(dealt(asked.select("fp", every.alias("salt")), "asked", F.col("salt")), ["table", "key", "salt"])
+    differs = F.array(*(F.col("there")[k].bitwiseXOR(F.col("asked")[k]) for k in range(WORDS)))
     bits = distance(F.col("there"), F.col("asked"))
-    return met.where(first & (bits <= radius)).select(F.col("asked").alias("query"), F.col("there").alias("fp"), bits.cast("int").alias("bits"))
+    found = met.where(bits <= radius).withColumn("keys", block_keys(differs, radius, agree))
+    first = F.array_position(F.transform("keys", lambda k: F.forall(F.array(*(k[f"k{i}"] for i in range(2 * agree))), lambda x: x == 0)), True) - 1
+    return found.where(first == F.col("table")).select(F.col("asked").alias("query"), F.col("there").alias("fp"), bits.cast("int").alias("bits"))
 
 
-def with_bucket(df: DataFrame, key: str, splits: list[int], name: str) -> DataFrame:
-    """df with how many of the sorted splits are at most the key, less one: binary search steps over a literal array."""
+def with_bucket(df: DataFrame, splits: list[tuple[int, int]], name: str) -> DataFrame:
+    """df with how many of the sorted splits are at most (_key, _tie), less one: binary search steps over literal arrays."""
     step = 1 << max(0, (len(splits) - 1).bit_length())
-    padded = F.lit(splits + [(1 << 63) - 1] * (step - len(splits)))
+    key, tie = (F.lit([s[k] for s in splits] + [(1 << 63) - 1] * (step - len(splits))) for k in (0, 1))
     df = df.withColumn(name, F.lit(0))
     while step > 1:
         step //= 2
-        df = df.withColumn(name, F.when((F.col(name) + step < len(splits)) & (F.get(padded, F.col(name) + step) <= F.col(key)), F.col(name) + step).otherwise(F.col(name)))
+        at = F.col(name) + step
+        reached = (F.get(key, at) < F.col("_key")) | (F.get(key, at) == F.col("_key")) & (F.get(tie, at) <= F.col("_tie"))
+        df = df.withColumn(name, F.when((at < len(splits)) & reached, at).otherwise(F.col(name)))
     return df
 
 
-def with_next_text(docs: DataFrame, rows_per_bucket: int = 256, max_buckets: int = 16_384) -> DataFrame:
+def range_splits(cuts: list[int], low: int) -> tuple[list[tuple[int, int]], bool]:
+    """Where ranges begin, as (key, tie), and whether some key has several ranges, by its ties, as it holds several quantiles."""
+    lowest, splits = -(1 << 63), []
+    for key, times in sorted(Counter([low, *cuts]).items()):
+        splits += [(key, lowest + (1 << 64) // times * i) for i in range(times if key != low else max(1, times - 1))]
+    return splits, len({k for k, _ in splits}) < len(splits)
+
+
+def with_next_text(docs: DataFrame, rows_per_bucket: int = 256, max_buckets: int = 65_536) -> DataFrame:
     """docs(doc_id, text, ...) with `next_...` columns of the document that follows by ascending doc_id, after the last the first.
 
     Rows are dealt to ranges of doc_id by quantiles, so that a range is a window of its own whatever the ids are like. The
-    first document of each range is also dealt to the range before, where it follows the last one. Repeated ids follow each
-    other in an order fixed by their text; null ids come first.
+    quantiles are of a sample of about 64 ids a range, which bounds what they are made from; they only say where ranges
+    begin. There are at most max_buckets of them, as their bounds stand in the plan. A doc_id (or null) that many rows share
+    has several ranges, by hashes of the texts. The first document of each range is also dealt to the range before, where
+    it follows the last one. Repeated ids follow each other in an order fixed by their text; null ids come first.
     """
     columns = docs.columns
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    docs = docs.withColumn("_key", key)
+    docs = docs.withColumns({"_key": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_tie": F.xxhash64("text")})
     n = docs.count()
     buckets = max(1, min(max_buckets, n // rows_per_bucket))
     fractions = [i / buckets for i in range(1, buckets)]
-    low, cuts = docs.agg(F.min("_key"), F.percentile_approx("_key", fractions or [0.5], max(10_000, 4 * buckets))).first() if n else (0, [])
-    splits = sorted({low, *(cuts if fractions else [])})
+    chosen = docs.where(F.rand(1) < 64.0 * buckets / n) if n > 64 * buckets else docs
+    low = docs.agg(F.min("_key")).first()[0]
+    cuts = chosen.agg(F.percentile_approx("_key", fractions, max(10_000, 4 * buckets))).first()[0] if fractions else []
+    splits, tied = range_splits(cuts or [], low) if n else ([(0, 0)], False)
     last = len(splits) - 1
-    docs = with_bucket(docs, "_key", splits, "_bucket")
-    head = F.get(F.lit(splits), F.col("_bucket")) == F.col("_key")
+    docs = with_bucket(docs, splits, "_bucket")
+    if tied:  # a range need not begin with a row at its bound
+        firsts = docs.groupBy("_bucket").agg(F.min(F.struct("_key", "_tie")).alias("_first"))  # at most max_buckets rows
+        docs = docs.join(F.broadcast(firsts), "_bucket")
+        head = (F.col("_first._key") == F.col("_key")) & (F.col("_first._tie") == F.col("_tie"))
+        present = [r[0] for r in firsts.select("_bucket").orderBy("_bucket").collect()]
+        previous = F.get(F.lit([present[present.index(b) - 1] if b in set(present) else 0 for b in range(last + 1)]), F.col("_bucket"))
+    else:
+        head = F.get(F.lit([k for k, _ in splits]), F.col("_bucket")) == F.col("_key")
+        previous = F.when(F.col("_bucket") == 0, last).otherwise(F.col("_bucket") - 1)
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
-    before = F.struct(F.when(F.col("_bucket") == 0, last).otherwise(F.col("_bucket") - 1).alias("bucket"), F.lit(1).alias("guest"))
-    dealt = docs.withColumn("_at", F.explode(F.when(head, F.array(own, before)).otherwise(F.array(own)))).withColumn("_tie", F.xxhash64("text"))
+    before = F.struct(previous.cast("int").alias("bucket"), F.lit(1).alias("guest"))
+    dealt = docs.withColumn("_at", F.explode(F.when(head, F.array(own, before)).otherwise(F.array(own))))
     order = Window.partitionBy("_at.bucket").orderBy("_at.guest", "_key", "_tie")
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_at.guest = 0").drop("_key", "_bucket", "_at", "_tie")
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).where("_at.guest = 0").select(*columns, *(f"next_{c}" for c in columns))
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
+def edited_likeness(docs: DataFrame, radius: int = 6, every: int = 100) -> DataFrame:
     """For each row of docs(doc_id, text), its fingerprint, its edited text's, and how like they and the next document's are.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many first ones of the next document, or by
-    all it has. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    all it has. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and n_near:
+    for doc_ids divisible by `every`, the query set, how many distinct fingerprints of all rows, its own among them, are within
+    the radius; null for others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next_text(with_fingerprint(rows, "text", "fp"))
@@ -159,7 +200,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = rows.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
     rows = with_fingerprint(rows, "edited", "efp")
-    return rows.select(
+    rows = common.keep(rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), hex_of("fp").alias("fingerprint"), hex_of("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
+        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "fp",
+    ))
+    asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    counts = near(rows, rows.where(asked), radius).groupBy(F.col("query").alias("fp")).agg(F.count("*").alias("n_near"))
+    others = rows.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
+    return rows.where(asked).join(counts, "fp").select(*others.columns).unionByName(others).drop("fp")

@@ -4,12 +4,12 @@ The text gives a likelihood by character trigrams, tempered so that a long text
 observations. What a page declares is a second observation, with a confusion table estimated from all pages. The prior
 comes from the address: language shares of the host, smoothed towards those of its domain, these towards those of its
 suffix, these towards the global ones, so that a host with few pages says little. All shares are grouped sums of the text
-posteriors, without the page's own part. Hosts' tables are joined by host, so a host with a third of all pages is rows of
-one key in a join that Spark can split; they are never broadcast or collected.
+posteriors, without the page's own part. Hosts' tables are joined by host; a host, domain or suffix with a large part of all
+rows is looked up where its rows are (common.lookup).
 
 Trigrams are counted over a sample of at most `sample_rows` labelled documents. A null or empty text is as likely in each
 language, and the other evidence decides; a missing or malformed declaration and a missing address are values of their
-own. Repeated rows each get their row. Null ids stay null.
+own. Repeated rows each get their row. Null ids stay null. Other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BINS, TEMPER, ADDED = 1 << 13, 60.0, 0.5
 DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|nav|footer|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 TAG = re.compile(r"<[^>]*>")
+#: Labels below a country's suffix under which names are registered.
+GENERAL = frozenset("ac co com edu gob gov ltd me mil ne net nom or org plc sch".split())
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -47,13 +49,19 @@ def text_of(page: str) -> str:
 
 
 def address(url: str | None) -> tuple[str, str, str]:
-    """(host, domain, suffix) of a URL; the domain is the last two labels of the host. Empty strings where there is none."""
+    """(host, domain, suffix) of a URL. Empty strings where there is none.
+
+    The domain is the last two labels of the host, or three where a country's suffix has a general label before it (co.uk); a
+    host that is an IP address is its own domain and has no suffix.
+    """
     try:
         host = (urlsplit(url or "").hostname or "").rstrip(".")
     except ValueError:
         host = ""
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1]
+    if ":" in host or len(labels) == 4 and all(x.isdigit() for x in labels):
+        return host, host, ""
+    return host, ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in GENERAL else -2 :]), labels[-1]
 
 
 class Texts:
@@ -121,16 +129,19 @@ def fuse(seen: DataFrame, languages: list[str], weight: float = 5.0) -> DataFram
     ps = [f"p{j}" for j in range(len(languages))]
 
     def sums(df: DataFrame, by: list[str], name: str, of: list[str]) -> DataFrame:
-        return df.groupBy(*by).agg(*(F.sum(c).alias(f"{name}{j}") for j, c in enumerate(of)))
+        return df.groupBy(*by).agg(*(F.sum(c).alias(f"{name}{j}") for j, c in enumerate(of)), F.count("*").alias("n"))
 
     cols = {n: [f"{n}{j}" for j in range(len(ps))] for n in ("h", "d", "s", "g", "c")}
     hosts = common.keep(sums(seen, ["suffix", "domain", "host"], "h", ps))
     domains = sums(hosts, ["suffix", "domain"], "d", cols["h"])
-    suffixes = sums(domains, ["suffix"], "s", cols["d"])
+    suffixes = common.keep(sums(domains, ["suffix"], "s", cols["d"]).withColumnRenamed("n", "domains"))
     world = suffixes.agg(*(F.sum(f"s{j}").alias(f"g{j}") for j in range(len(ps))))
-    table = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").crossJoin(F.broadcast(world))  # world is one row
-    declared = sums(seen, ["declared"], "c", ps)  # at most languages + 2 rows
-    rows = seen.join(table, ["suffix", "domain", "host"]).join(F.broadcast(declared), "declared")
+    domains = common.keep(common.lookup(domains.withColumnRenamed("n", "hosts"), suffixes.withColumnRenamed("domains", "n"), ["suffix"], suffixes.agg(F.sum("domains")).first()[0] or 0))
+    total_rows, total_hosts = hosts.agg(F.sum("n"), F.count("*")).first()
+    table = common.keep(common.lookup(hosts.withColumnRenamed("n", "rows"), domains.withColumnRenamed("hosts", "n"), ["suffix", "domain"], total_hosts))
+    declared = sums(seen, ["declared"], "c", ps).drop("n")  # at most languages + 2 rows
+    rows = common.lookup(seen, table.withColumnRenamed("rows", "n"), ["suffix", "domain", "host"], total_rows or 0)
+    rows = rows.crossJoin(F.broadcast(world)).join(F.broadcast(declared), "declared")  # world is one row
 
     def total(xs: list[Column]) -> Column:
         return reduce(Column.__add__, xs)

@@ -10,7 +10,8 @@ labelled rows, chosen by a hash of doc_id, whose feature vectors (not texts) rea
 WIDTH floats. Labels, lang, source and doc_id are never features.
 
 Null and empty texts get the score of a text without words. With no labelled rows every score is 0.5. A null doc_id stays
-null and is not held out; repeated rows each get their row; a doc_id with several labels is learned with each of them.
+null and is not held out; repeated rows each get their row; a doc_id with several labels is learned with each of them. An empty
+table gives no rows; other columns are ignored by quality() and kept by with_scores(), whose column's name must be free.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Both tokenizers used here never let a token cross certain boundaries, so a text
 encoded once by the library: `word_chunks` cuts at ASCII white space (the word vocabulary drops white space), and
 `space_parts` at a single space between two other characters (the byte vocabulary puts that space in front of the
 word). What the library gives for the chunks, in order, is what it gives for the text. Encoded chunks are kept in a
-bounded memory of the Python worker; Arrow batches are cut again by bytes before the library sees them.
+bounded memory of the Python worker. Batches are balanced by bytes: Arrow delivers at most common.BATCH_BYTES at once (a longer
+text alone), and these are cut again to BLOCK_BYTES before the library sees them.
 """
 
 from __future__ import annotations
