@@ -78,25 +78,24 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def lookup(df: DataFrame, counted: DataFrame, on: list[str], rows: int) -> DataFrame:
-    """df with the columns of counted(on, n, ...), where n says how many of df's rows have the key, `rows` in all.
+def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 16) -> DataFrame:
+    """df joined with small(on, ...), each key's rows being dealt to `salts` parts by the columns `spread`, so no key is one task.
 
-    A key with more than a thousandth of the rows would be one task of a join. Such keys, a thousand at most, are looked up in a
-    broadcast table instead, wherever their rows are.
+    small's rows go to every part, so it should have far fewer rows than df. A part that is still large is split by Spark.
     """
-    is_hub = F.col("n") > rows // 1000 + 64
-    hubs = counted.where(is_hub).drop("n")
-    others = df.join(F.broadcast(hubs.select(*on)), on, "left_anti").join(counted.where(~is_hub).drop("n"), on)
-    return df.join(F.broadcast(hubs), on).unionByName(others)
+    salt = free_name([*df.columns, *small.columns], "salt")
+    parts = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(parts, [*on, salt]).drop(salt)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list (src, dst) -> (node, root), root being the smallest node of each component.
 
     Nodes are of any type that has an order. Alternating large-star and small-star rounds, O(log n) of them for long chains.
-    Each round looks up the smallest neighbour of every edge's end by `lookup`, so that a hub's edges stay where they are. Only
-    the count and checksum of the edges reach the driver. Each round is a table in the shared folder, deleted when the one
-    after the next is there. Null ends and loops are ignored.
+    Each round looks up the smallest neighbour of every edge's end in a join on that end. A hub, a node with more than a
+    hundredth of all edges (and 1000), would be one task there, so hubs, of which there are at most two hundred, are looked up
+    in a broadcast table wherever their edges are. Only a count, a checksum and the hubs reach the driver. Each round is a
+    table in the shared folder, deleted when the one after the next is there. Null ends and loops are ignored.
     """
     spark, base = edges.sparkSession, _scratch.get() or shared_dir(edges.sparkSession)
     base, step = f"{base}/components-{uuid.uuid4().hex}", 0
@@ -109,21 +108,27 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         step += 1
         return out
 
-    def least(df: DataFrame, m: Column) -> DataFrame:
-        return df.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")).select("src", m.alias("m"), "n")
+    def with_least(df: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
+        if not hubs:
+            return df.join(low, "src")
+        ids = F.broadcast(spark.createDataFrame([(h,) for h in hubs], f"src {df.schema['src'].dataType.simpleString()}"))
+        known = df.join(ids, "src", "left_semi").join(F.broadcast(low.join(ids, "src", "left_semi")), "src")
+        return known.unionByName(df.join(ids, "src", "left_anti").join(low, "src"))
 
     e = edges.where("src is not null and dst is not null and src <> dst")
     e, before = kept(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()), None
     for _ in range(max_rounds):
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before = now
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = lookup(both, least(both, F.least("src", "m")), ["src"], 2 * now[0])
+        low = both.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum"))
+        n, total, most = low.agg(F.sum("n"), F.sum("sum"), F.max("n")).first()
+        if (n, total) == before or not n:
+            break
+        before, bound = (n, total), max(1000, n // 200)
+        hubs = [r[0] for r in low.where(F.col("n") > bound).select("src").collect()] if most > bound else []
+        large = with_least(both, low.select("src", F.least("src", "m").alias("m")), hubs)
         large = kept(large.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
-        low = least(large, F.col("m"))
-        small = lookup(large, low, ["src"], now[0]).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        low = large.groupBy("src").agg(F.min("dst").alias("m"))  # no node has more edges than it had
+        small = with_least(large, low, hubs).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
         e = kept(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

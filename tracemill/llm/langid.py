@@ -129,18 +129,16 @@ def fuse(seen: DataFrame, languages: list[str], weight: float = 5.0) -> DataFram
     ps = [f"p{j}" for j in range(len(languages))]
 
     def sums(df: DataFrame, by: list[str], name: str, of: list[str]) -> DataFrame:
-        return df.groupBy(*by).agg(*(F.sum(c).alias(f"{name}{j}") for j, c in enumerate(of)), F.count("*").alias("n"))
+        return df.groupBy(*by).agg(*(F.sum(c).alias(f"{name}{j}") for j, c in enumerate(of)))
 
     cols = {n: [f"{n}{j}" for j in range(len(ps))] for n in ("h", "d", "s", "g", "c")}
     hosts = common.keep(sums(seen, ["suffix", "domain", "host"], "h", ps))
     domains = sums(hosts, ["suffix", "domain"], "d", cols["h"])
-    suffixes = common.keep(sums(domains, ["suffix"], "s", cols["d"]).withColumnRenamed("n", "domains"))
+    suffixes = sums(domains, ["suffix"], "s", cols["d"])
     world = suffixes.agg(*(F.sum(f"s{j}").alias(f"g{j}") for j in range(len(ps))))
-    domains = common.keep(common.lookup(domains.withColumnRenamed("n", "hosts"), suffixes.withColumnRenamed("domains", "n"), ["suffix"], suffixes.agg(F.sum("domains")).first()[0] or 0))
-    total_rows, total_hosts = hosts.agg(F.sum("n"), F.count("*")).first()
-    table = common.keep(common.lookup(hosts.withColumnRenamed("n", "rows"), domains.withColumnRenamed("hosts", "n"), ["suffix", "domain"], total_hosts))
-    declared = sums(seen, ["declared"], "c", ps).drop("n")  # at most languages + 2 rows
-    rows = common.lookup(seen, table.withColumnRenamed("rows", "n"), ["suffix", "domain", "host"], total_rows or 0)
+    table = common.lookup(common.lookup(hosts, domains, ["suffix", "domain"], ["host"]), suffixes, ["suffix"], ["host"])
+    declared = sums(seen, ["declared"], "c", ps)  # at most languages + 2 rows
+    rows = common.lookup(seen, table, ["suffix", "domain", "host"], ["id", "address"])
     rows = rows.crossJoin(F.broadcast(world)).join(F.broadcast(declared), "declared")  # world is one row
 
     def total(xs: list[Column]) -> Column:

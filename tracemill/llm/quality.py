@@ -33,7 +33,7 @@ UPPER, MARKED, BAR, DIGIT, LONG, SHORT, PLAIN = range(7)
 FLAGS = 7
 STATS = FLAGS + 2 + 5 + 4  # shares of words; repeated and distinct; worst lines; size and lines
 WIDTH = WORD_BINS + STATS * (1 + STAT_BINS)
-KEEP_WORDS = 500_000
+KEEP_WORDS = 150_000
 MARKS = frozenset("#$%&*!|~^<>{}[]=+\\/@_")
 
 

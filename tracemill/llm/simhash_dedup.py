@@ -222,13 +222,11 @@ def shard_links(nodes: DataFrame, radius: int, rows: int, shard_rows: int = 64,
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, shard_rows: int = 64, hot_rows: int = 2048) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs(doc_id, text): the component's smallest doc_id."""
     marked = common.keep(with_fingerprints(docs, shingle))
-    prints = common.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    rows, distinct = prints.agg(F.sum("n"), F.count("*")).first()
-    linked = common.components(shard_links(prints.select("fp", F.col("fp").alias("node")), radius, distinct, shard_rows, hot_rows))
-    grouped = common.keep(prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("grp")))
-    least = grouped.groupBy("grp").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    classes = common.lookup(grouped.withColumnRenamed("n", "rows"), least, ["grp"], distinct).select("fp", F.col("rows").alias("n"), "component_id")
-    return common.lookup(marked, classes, ["fp"], rows or 0).select("doc_id", "fp", "component_id")
+    prints = common.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    linked = common.components(shard_links(prints.select("fp", F.col("fp").alias("node")), radius, prints.count(), shard_rows, hot_rows))
+    grouped = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("grp"))
+    least = grouped.groupBy("grp").agg(F.min("first").alias("component_id"))
+    return marked.join(grouped.join(least, "grp"), "fp").select("doc_id", "fp", "component_id")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -289,11 +287,11 @@ def band_keys(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
     return keys
 
 
-def band_links(nodes: DataFrame, rows: int) -> DataFrame:
-    """Each node (node, bands) with the smallest node of each band that it shares, as (src, dst) edges; `rows` bands in all."""
+def band_links(nodes: DataFrame) -> DataFrame:
+    """Each node (node, bands) with the smallest node of each band that it shares, as (src, dst) edges."""
     dealt = nodes.select("node", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return common.lookup(dealt, shared, ["band"], rows).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    shared = dealt.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    return common.lookup(dealt, shared, ["band"], ["node"]).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))
 
 
 def similar_forest(rows: list[tuple[object, np.ndarray]], others: list[tuple[object, np.ndarray]], similarity: float) -> list[tuple]:
@@ -343,23 +341,23 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def blocks_of(sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
-    """(grp, n, blocks, leader): rows of each group, how many blocks they need, and a text of it, the same on every run."""
+    """(grp, blocks, leader): how many blocks each group needs, and a text of it, the same on every run."""
     needs = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("grams")) / block_bytes))
-    return sets.groupBy("grp").agg(F.count("*").alias("n"), needs.cast("int").alias("blocks"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("leader"))
+    return sets.groupBy("grp").agg(needs.cast("int").alias("blocks"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("leader"))
 
 
 def block(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("node"), blocks).cast("int")
 
 
-def star_round(sets: DataFrame, sizes: DataFrame, rows: int, similarity: float, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def star_round(sets: DataFrame, sizes: DataFrame, similarity: float, block_rows: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(links, what is left) of groups of several blocks, by comparing each text with its group's leader.
 
     Texts like the leader are linked to it and are done with each other. Jaccard distance is a metric, so another text can
     be like one of them only if it is no further from the leader than the bound plus the farthest of them; only such texts
     are compared with the leader's, one link being enough. All that are not linked to the leader are left.
     """
-    dealt = common.lookup(sets, sizes, ["grp"], rows).withColumn("first", F.col("node") == F.col("leader"))
+    dealt = common.lookup(sets, sizes, ["grp"], ["node"]).withColumn("first", F.col("node") == F.col("leader"))
     places = F.when(F.col("first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block(F.col("blocks"))))
     dealt = dealt.select("grp", F.explode(places).alias("b"), "first", "node", "leader", "grams").repartition("grp", "b").sortWithinPartitions("grp", "b", F.desc("first"))
 
@@ -379,12 +377,12 @@ def star_round(sets: DataFrame, sizes: DataFrame, rows: int, similarity: float,
 
     seen = common.keep(dealt.mapInArrow(run, "grp binary, first boolean, node binary, leader binary, grams binary, alike boolean, far double"))
     links = seen.where("alike and not first").select(F.col("node").alias("src"), F.col("leader").alias("dst"))
-    reach = seen.groupBy("grp").agg(F.max(F.when(F.col("alike"), F.col("far"))).alias("reach"), F.count_if("alike").alias("n_like"), F.count("*").alias("n"))
-    placed = common.lookup(seen.where("not first"), reach, ["grp"], rows)
+    reach = seen.groupBy("grp").agg(F.max(F.when(F.col("alike"), F.col("far"))).alias("reach"))
+    placed = common.lookup(seen.where("not first"), reach, ["grp"], ["node"])
     near = placed.where(F.col("alike") | (F.col("far") <= F.col("reach") + (1 - similarity) + 1e-9))
-    counts = near.groupBy("grp", "alike").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("grams")) / block_bytes)).cast("int").alias("blocks"))
-    both = counts.groupBy("grp").agg(F.sum("n").alias("n"), F.max(F.when(F.col("alike"), F.col("blocks"))).alias("likes"), F.max(F.when(~F.col("alike"), F.col("blocks"))).alias("others")).where("likes is not null and others is not null")
-    fringe = common.lookup(near.select("grp", "node", "alike", "grams"), both, ["grp"], rows)
+    counts = near.groupBy("grp", "alike").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum(F.octet_length("grams")) / block_bytes)).cast("int").alias("blocks"))
+    both = counts.groupBy("grp").agg(F.max(F.when(F.col("alike"), F.col("blocks"))).alias("likes"), F.max(F.when(~F.col("alike"), F.col("blocks"))).alias("others")).where("likes is not null and others is not null")
+    fringe = common.lookup(near.select("grp", "node", "alike", "grams"), both, ["grp"], ["node"])
     own = F.when(F.col("alike"), block(F.col("likes"))).otherwise(block(F.col("others")))
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("alike"), F.col("others")).otherwise(F.col("likes")) - 1))
     fringe = fringe.select("grp", "node", "alike", "grams", own.alias("own"), across.alias("across"))
@@ -415,15 +413,13 @@ def similar_links(sets: DataFrame, similarity: float, block_rows: int, block_byt
     links, small, left = [], [], sets
     for _ in range(rounds):
         sizes = common.keep(blocks_of(left, block_rows, block_bytes))
-        rows = sizes.agg(F.sum("n")).first()[0]
         if sizes.where("blocks > 1").isEmpty():
             break
-        small.append(common.lookup(left, sizes.where("blocks = 1").select("grp", "n"), ["grp"], rows))
-        found, left = star_round(left, sizes.where("blocks > 1"), rows, similarity, block_rows, block_bytes)
+        small.append(common.lookup(left, sizes.where("blocks = 1").select("grp"), ["grp"], ["node"]))
+        found, left = star_round(left, sizes.where("blocks > 1"), similarity, block_rows, block_bytes)
         links.append(found)
     left = reduce(DataFrame.unionByName, small, left)  # a group is small in one round only, so no group is mixed
-    sizes = common.keep(blocks_of(left, block_rows, block_bytes))
-    dealt = common.lookup(left, sizes, ["grp"], sizes.agg(F.sum("n")).first()[0] or 0).withColumn("b", block(F.col("blocks")))
+    dealt = common.lookup(left, blocks_of(left, block_rows, block_bytes), ["grp"], ["node"]).withColumn("b", block(F.col("blocks")))
     dealt = dealt.select("grp", F.explode(pairs_of(F.col("blocks"), F.col("b"))).alias("p"), "node", "b", "grams").select("grp", "p.i", "p.j", "node", "b", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,15 +449,13 @@ def classified(
     common.small_batches(docs.sparkSession)
     k1, k2 = row_keys(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), docs["text"].cast("string").alias("text"))
-    bands = bands_for(similarity, recall)
-    marked = common.keep(with_marks(rows, votes, shingle, bands))
+    marked = common.keep(with_marks(rows, votes, shingle, bands_for(similarity, recall)))
     row = F.struct("k1", "k2")
-    nodes = common.keep(marked.groupBy("words").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(row).alias("row"), F.count("*").alias("n")).withColumnRenamed("words", "node"))
+    nodes = common.keep(marked.groupBy("words").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(row).alias("row")).withColumnRenamed("words", "node"))
     prints = common.keep(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    total, distinct = nodes.agg(F.sum("n"), F.count("*")).first()
     near = shard_links(prints.select("fp", F.col("first").alias("node")), radius, prints.count(), shard_rows, hot_rows)
-    same = common.lookup(nodes.select("fp", "node"), prints, ["fp"], distinct).where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
-    near = common.components(near.unionByName(same).unionByName(band_links(nodes, distinct * bands)))
+    same = nodes.select("fp", "node").join(prints.where("n > 1"), "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    near = common.components(near.unionByName(same).unionByName(band_links(nodes)))
     # only texts that have a candidate are read again; others are classes of their own
     roots = near.select("root").distinct().select(F.col("root").alias("node"), F.col("root"))
     wanted = near.unionByName(roots).join(nodes.select("node", "row"), "node").select("node", F.col("root").alias("grp"), "row.k1", "row.k2")
@@ -469,8 +463,8 @@ def classified(
     if not marked.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # rows that are repeated whole
         texts = texts.groupBy("node", "grp").agg(F.first("text").alias("text"))
     linked = common.components(similar_links(common.keep(shingle_sets(texts, shingle)), similarity, block_rows, block_bytes))
-    classes = nodes.join(linked, "node", "left").select(F.col("node").alias("words"), "n", F.coalesce("root", "node").alias("grp"))
-    return common.lookup(marked, classes, ["words"], total or 0).select("doc_id", "k1", "k2", "fp", "grp")
+    classes = nodes.join(linked, "node", "left").select(F.col("node").alias("words"), F.coalesce("root", "node").alias("grp"))
+    return marked.join(classes, "words").select("doc_id", "k1", "k2", "fp", "grp")
 
 
 def similar_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -481,8 +475,8 @@ def similar_documents(docs: DataFrame, **settings) -> DataFrame:
     for each text.
     """
     found = common.keep(classified(docs, **settings))
-    least = found.groupBy("grp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    return common.lookup(found, least, ["grp"], found.count()).select("doc_id", "fp", "component_id")
+    least = found.groupBy("grp").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "grp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that a worker remembers in each of two generations, the longest chunk it remembers, and bytes of text that are worked on at once.
-KEEP_CHUNKS, KEEP_BYTES, BLOCK_BYTES = 600_000, 80, 1 << 20
+KEEP_CHUNKS, KEEP_BYTES, BLOCK_BYTES = 400_000, 80, 1 << 20
 #: White space as the tokenizers' patterns have it (Unicode White_Space) and the few other characters that Python counts.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
