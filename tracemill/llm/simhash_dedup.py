@@ -263,7 +263,7 @@ def bands_for(similarity: float, recall: float) -> int:
 def band_keys(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
     """For each shingle set a key for each band; none for an empty set."""
     keys = [np.empty(0, dtype=np.int64)] * len(sets)
-    at, mix = 0, [np.uint64(xxhash.xxh64_intdigest(str(k).encode(), 42) | 1) for k in range(2 * BAND_ROWS * bands)]
+    at, mix = 0, [np.uint32(xxhash.xxh32_intdigest(str(k).encode(), 42) | 1) for k in range(2 * BAND_ROWS * bands)]
     while at < len(sets):
         chosen, size = [], 0
         while at < len(sets) and (not chosen or size + len(sets[at]) <= HASH_BLOCK):
@@ -273,13 +273,15 @@ def band_keys(sets: list[np.ndarray], bands: int) -> list[np.ndarray]:
             at += 1
         if not chosen:
             break
-        flat = np.concatenate([sets[k] for k in chosen])
-        starts = np.cumsum([0, *(len(sets[k]) for k in chosen[:-1])])
+        flat = (np.concatenate([sets[k] for k in chosen]) >> np.uint64(32)).astype(np.uint32)
+        starts, mixed = np.cumsum([0, *(len(sets[k]) for k in chosen[:-1])]), np.empty_like(flat)
         found = np.empty((len(chosen), bands), dtype=np.uint64)
         for band in range(bands):
             key = np.full(len(chosen), band, dtype=np.uint64)
             for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-                key = (key ^ np.minimum.reduceat((flat ^ mix[2 * k]) * mix[2 * k + 1], starts)) * np.uint64(0x9E3779B97F4A7C15)
+                np.bitwise_xor(flat, mix[2 * k], out=mixed)
+                np.multiply(mixed, mix[2 * k + 1], out=mixed)
+                key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(31)
             found[:, band] = key
         for k, row in zip(chosen, found.view(np.int64)):
