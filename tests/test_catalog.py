@@ -1,9 +1,17 @@
 """Every registered query of the library against its SQL, and against what must hold where there is none."""
 
+import random
+from dataclasses import replace
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill import catalog
+from tracemill.config import AuditConfig
+from tracemill.operators import metrics, prep, sampling, synthesis
+from tracemill.plans import audit
+from tracemill.stages import keep
 
 from .conftest import SF
 
@@ -32,7 +40,8 @@ def test_procedural(spark):
     near = {(r.roi, r.nbr) for r in catalog.QUERIES["adjacency_edges"](spark, SF).collect()}
     assert all((b, a) in near and a != b for a, b in near)
     assert len(near) / 2 <= 3 * 75 - 6
-    ok = {(r.roi, r.nbr) for r in catalog._adjacent(spark).collect()}
+    ok = {(r.roi, r.nbr) for r in catalog._adjacent(spark, 100).collect()}
+    assert len(ok) == 2 * 2 * 9 * 10 and all((b, a) in ok for a, b in ok)
     for r in catalog.QUERIES["synth_cluster"](spark, SF).collect():
         assert len(set(r.cluster)) == 10
         assert all(any((a, b) in ok for a in r.cluster[:k]) for k, b in enumerate(r.cluster) if k)
@@ -44,16 +53,95 @@ def test_synthetic_traces(spark):
         assert r.user_id < 0 and 0 <= r.epoch < 30
         users.setdefault((r.agg_id, r.user_id), set()).add(r.roi)
     assert users and all(len(v) <= 10 for v in users.values())
+    assert all(r["mean"] >= 0 for r in catalog.QUERIES["mean_fixed_point"](spark, SF).collect())
 
 
-@pytest.mark.parametrize("name", ["audit_reference_prior", "audit_marginal_prior_reuse", "audit_marginal_prior"])
+@pytest.mark.parametrize("name", ["audit_reference_prior", "audit_reference_prior_unpaired", "audit_marginal_prior_reuse", "audit_marginal_prior_true_activity"])
 def test_audits(spark, name):
     found = catalog.QUERIES[name](spark, SF).collect()
-    assert len(found) == catalog.TARGETS * catalog.BUILD.test
+    assert len(found) == (catalog.TARGETS * 8 if "unpaired" not in name else (catalog.TARGETS - 1) * 4)
     assert all(0 <= r.p <= 1 and r.pred in (0, 1) and r.y in (0, 1) for r in found)
 
 
-def test_noisy_audit_and_mean(spark):
-    assert all(0 <= r.acc <= 1 and 0 <= r.auc <= 1 for r in catalog.QUERIES["audit_reference_prior_noisy"](spark, SF).collect())
-    assert all(r["mean"] >= 0 for r in catalog.QUERIES["mean_fixed_point"](spark, SF).collect())
-    assert catalog.QUERIES["bundle_meta"](spark, SF).count() == 18
+def test_configs_grow_with_the_users():
+    assert catalog.build_config(60).group_size == catalog.M and catalog.build_config(10**8) == catalog.BuildConfig(1000, 50, 10, 2500, 16, 8, 8, 42)
+    assert catalog.audit_config(10**8).n_targets == 50
+
+
+# Audits of a planted bundle: every setting changes what it says it changes
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Two targets. Target 1 visits cells of its own, so every aggregate tells; target 2 visits what others do."""
+    rng = random.Random(4)
+    cells = [(u, rng.randrange(6), rng.randrange(4)) for u in range(3, 63) for _ in range(6)] + [(1, 6 + k, 4) for k in range(4)] + [(2, k, 1) for k in range(6)]
+    traces = spark.createDataFrame(cells, "user_id long, roi int, epoch int").distinct()
+    pool = spark.range(3, 63).select(F.col("id").alias("user_id")).crossJoin(spark.createDataFrame([(1,), (2,)], "target long"))
+    pool = pool.unionByName(pool.select(F.col("target").alias("user_id"), "target").distinct())
+    pairs = sampling.members(sampling.groups_paired(pool, "train", 6, 40))
+    singles = sampling.groups(pool, "validation", 6, 20).unionByName(sampling.groups(pool, "test", 6, 20)).withColumn("pair_id", F.col("agg_id"))
+    members = pairs.unionByName(singles.select(*pairs.columns))
+    keys = audit.PAIR_KEYS
+    groups = keep(members.select(*keys).distinct())
+    counts = keep(members.join(traces, "user_id").groupBy(*keys, "roi", "epoch").agg(F.count("*").alias("cnt")))
+    own = keep(traces.where("user_id <= 2").select(F.col("user_id").alias("target"), "roi", "epoch"))
+    return groups, counts, own, traces
+
+
+BASE = AuditConfig(group_size=6, train_size=40, validation_size=20, n_groups=20, n_synthetic=40, cluster_size=5)
+
+
+def scores(planted, config):
+    groups, counts, own, _ = planted
+    found = audit.reference_prior(groups, counts, own, 10, 5, config.coupled())
+    return {r.target: r for r in metrics.scores(found).collect()}
+
+
+@pytest.mark.parametrize("changed", [{}, {"classifier": "RF", "pca": 0.9}, {"classifier": "MLP", "scaler": "MinMax"}, {"paired": False}])
+def test_a_planted_trace_is_told(planted, changed):
+    got = scores(planted, replace(BASE, partial="random", partial_fraction=1.0, **changed))  # partial: without the contradiction rule
+    assert got[1].auc >= (0.999 if changed.get("classifier") != "MLP" else 0.8)
+
+
+def test_noise_beyond_all_counts_hides_it(planted):
+    got = scores(planted, replace(BASE, dp_eps=0.001, dp_sens=1))
+    assert all(0.2 <= r.auc <= 0.8 for r in got.values())
+
+
+def test_settings_of_an_audit_have_effects(spark, planted):
+    groups, counts, own, traces = planted
+    some = audit.chosen(groups, replace(BASE, n_targets=1, n_groups=6, train_size=10, validation_size=4))
+    sizes = {(r.split, r.label): r["count"] for r in some.groupBy("split", "label").count().collect()}
+    assert sizes == {("test", 0): 3, ("test", 1): 3, ("train", 0): 5, ("train", 1): 5, ("validation", 0): 2, ("validation", 1): 2}
+    assert {r.n for r in some.where("split = 'train'").groupBy("pair_id").agg(F.count("*").alias("n")).collect()} == {2}
+    loose = audit.chosen(groups, replace(BASE, train_size=10, paired=False)).where("split = 'train'")
+    assert loose.groupBy("pair_id").count().where("count = 1").count() > 0
+    for wrong in ({"n_targets": 3}, {"n_groups": 22}, {"train_size": 42}):
+        with pytest.raises(ValueError):
+            audit.chosen(groups, replace(BASE, **wrong))
+    noisy = replace(BASE, dp_eps=0.5, dp_sens=1)
+    train = groups.where("split = 'train'")
+    empty = counts.where("false")
+    alike = {p: audit.released(train, empty, 3, 3, replace(noisy, paired=p)).groupBy("pair_id", "roi", "epoch").agg(F.count_distinct("cnt").alias("n"), F.count("*").alias("both")).where("n > 1 or both = 1").count() for p in (True, False)}
+    assert alike[True] == 0 and alike[False] > 0
+    population = prep.activity(traces)
+    near = catalog._adjacent(spark, 10)
+    base = replace(BASE, mode="marginal_prior", reuse_synthetic=True)
+    with pytest.raises(ValueError):
+        audit.marginal_prior(groups, counts, own, near, 10, 5, replace(base, true_mean=True))
+    with pytest.raises(ValueError):
+        AuditConfig(activity="true")
+    for changed in ({"true_mean": True}, {"true_mean": True, "activity": "true"}, {"paired": False}):
+        got = audit.marginal_prior(groups, counts, own, near, 10, 5, replace(base, **changed), population)
+        assert {r.target: r for r in metrics.scores(got).collect()}[1].auc >= 0.999
+
+
+def test_true_activity_and_heavy_users(spark):
+    rois = spark.createDataFrame([(1, r, 0.25 if r < 4 else 0.0, 3.0) for r in range(6)], "k long, roi int, p double, mean double")
+    times = spark.createDataFrame([(1, e, 0.5) for e in range(2)], "k long, epoch int, p double")
+    near = catalog._adjacent(spark, 6)
+    some = spark.createDataFrame([(1, 3), (10**12, 1)], "n_visits long, n_users long")
+    got = synthesis.traces_at(rois, times, near, ["k"], 200, "true", 6, population=some)
+    sizes = sorted(r["count"] for r in got.groupBy("user_id").count().collect())
+    assert set(sizes) == {1, 8} and 100 < sizes.count(1) < 190 and len(sizes) == 200  # one visit, or every cell there is

@@ -201,6 +201,18 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.summary(scores).first()["mean_auc"] == 0.75
 
 
+def test_published_windows_and_neighbours_of_a_place(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=k // 3), k % 2) for k in range(30)]
+    spark.createDataFrame(rows, "ts timestamp, roi int").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, roi int").parquet(str(tmp_path / "in"))
+    q = release.publish(release.windowed(stream, "1 hour", 0, "0 seconds"), str(tmp_path / "out"), str(tmp_path / "at")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert 0 < out.count() == out.distinct().count() and out.columns == ["day", "roi", "cnt"]
+    near = spark.createDataFrame([(0, 1), (0, 2), (1, 0)], schema.ROI_ADJ)
+    assert sorted(r.nbr for r in adjacency.of_roi(near, 0).collect()) == [1, 2]
+
+
 def test_stream(spark, tmp_path):
     rows = [(k, datetime(2024, 1, 1) + timedelta(minutes=20 * k), k % 2) for k in range(30)]
     spark.createDataFrame(rows, "user_id long, ts timestamp, roi int").coalesce(1).write.parquet(str(tmp_path / "in"))

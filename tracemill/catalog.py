@@ -1,36 +1,54 @@
 """The registered queries over the `events` table, and the SQL that gives the same rows.
 
-Visits are events with the ROI from their property and epochs of a day; groups are small, so that the smallest table has
-enough users. Numbers that come from different arithmetic are rounded the same way on both sides.
+Visits are events with the ROI from their property and epochs of a day; ROIs and epochs are as many as the data has. Groups of
+single queries are small, so that the smallest table has enough users; bundles and audits grow with the number of users, up to
+the published sizes. Numbers that come from different arithmetic are rounded the same way on both sides.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import AuditConfig, BuildConfig
+from .config import AuditConfig, BuildConfig, sweep
 from .functions import draws
 from .functions.spatial import Box, haversine
 from .functions.temporal import as_text, observation_window
 from .operators import adjacency, aggregates, classify, marginals, metrics, partial, prep, privacy, rules, sampling, synthesis
 from .plans import audit, build
-from .sources import readers
-from .stages import keep
+from .sources import readers, sinks
+from .stages import keep, new_path
 from .streaming import release as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-DAY, ROIS, EPOCHS = 86400, 100, 30
+DAY = 86400
 M, TARGETS, PAIRS = 8, 3, 4  # group size, targets, groups
 STOP = 1705276800
 BOX = Box(9.1, 9.27, 45.4, 45.53, 1.6)
-BUILD = BuildConfig(group_size=M, n_targets=TARGETS, min_visits=10, reference_size=12, train=16, test=8, validation=8, seed=42)
-AUDIT = AuditConfig(group_size=M, n_targets=TARGETS, train_size=16, validation_size=8, n_groups=8, n_synthetic=40, cluster_size=5, seed=2023)
+
+
+
+def build_config(n_users: int) -> BuildConfig:
+    """A bundle for so many users: the published sizes, or what the users suffice for."""
+    m = max(M, min(1000, n_users // 40))
+    return BuildConfig(group_size=m, n_targets=max(TARGETS, min(50, n_users // 300)), min_visits=10, reference_size=max(12, min(2500, n_users // 10)), train=16, test=8, validation=8, seed=42)
+
+
+def audit_config(n_users: int, **changed: object) -> AuditConfig:
+    """An audit of that bundle."""
+    b = build_config(n_users)
+    return AuditConfig(group_size=b.group_size, n_targets=b.n_targets, train_size=b.train, validation_size=b.validation, n_groups=b.test, n_synthetic=5 * b.group_size, cluster_size=5, seed=2023, **changed)
+
+
+#: An audit of single groups of size M.
+SMALL = AuditConfig(group_size=M, n_targets=None, train_size=16, validation_size=8, n_groups=8, n_synthetic=40, cluster_size=5, seed=2023)
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -53,6 +71,7 @@ POINTS_SQL = """points AS (SELECT event_id, user_id + 1 AS user_id, epoch_us(ts)
   45.39::DOUBLE + 0.0015::DOUBLE * CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) + 0.00001::DOUBLE * value AS lat FROM events)"""
 VISITS_SQL = POINTS_SQL + """, w AS (SELECT min(ts) AS t0 FROM points),
 visits AS (SELECT event_id, user_id, ts, k AS roi, CAST(trunc((86400.0::DOUBLE * floor(ts / 86400.0::DOUBLE) - t0) / 86400.0::DOUBLE) AS INT) AS epoch FROM points, w)"""
+ROIS_SQL, EPOCHS_SQL = ("(SELECT unnest(range(CAST(max(roi) + 1 AS BIGINT))) AS r FROM traces)", "(SELECT unnest(range(CAST(max(epoch) + 1 AS BIGINT))) AS e FROM traces)")
 TRACES_SQL = VISITS_SQL + ", traces AS (SELECT DISTINCT user_id, roi, epoch FROM visits), sizes AS (SELECT user_id, count(*) AS n_visits FROM traces GROUP BY 1)"
 TARGETS_SQL = TRACES_SQL + f", targets AS (SELECT user_id AS target FROM sizes WHERE n_visits >= 10 ORDER BY {u(chr(39) + 'target' + chr(39), '42', 'user_id')}, user_id LIMIT {TARGETS})"
 POOL_SQL = TARGETS_SQL + ", pool AS (SELECT target, user_id FROM targets, sizes), others AS (SELECT * FROM pool WHERE user_id <> target)"
@@ -67,6 +86,12 @@ grouped AS (SELECT target, target || '-test-' || grp AS agg_id, CASE WHEN grp <
 cnts AS (SELECT target, agg_id, label, roi, epoch, count(*) AS cnt FROM grouped JOIN traces USING (user_id) GROUP BY ALL)"""
 
 
+def grid_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """How many ROIs and epochs the visits have, from one row."""
+    d = readers.dims(cells(spark, sf_dir)).first()
+    return int(d["n_rois"] or 0), int(d["n_epochs"] or 0)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.event_points(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -340,7 +365,7 @@ def privacy_suppress(spark, sf_dir):
 
 def noisy_sql(source: str, keys: str, noise: list[str], scale: float, k: int) -> str:
     x = u("'noise'", "42", *noise, "roi", "epoch")
-    return f""", ids AS (SELECT DISTINCT {keys} FROM {source}), full_grid AS (SELECT {keys}, CAST(r AS INT) AS roi, CAST(e AS INT) AS epoch FROM ids, range({ROIS}) t1(r), range({EPOCHS}) t2(e)),
+    return f""", ids AS (SELECT DISTINCT {keys} FROM {source}), full_grid AS (SELECT {keys}, CAST(r AS INT) AS roi, CAST(e AS INT) AS epoch FROM ids, {ROIS_SQL} t1, {EPOCHS_SQL} t2),
  dr AS (SELECT {keys}, roi, epoch, coalesce(cnt, 0) AS cnt, {x} AS u FROM full_grid LEFT JOIN {source} USING ({keys}, roi, epoch)),
  rel AS (SELECT {keys}, roi, epoch, CAST(greatest(0, least({M}, cnt + CAST(trunc(-{scale}::DOUBLE * sign(u - 0.5::DOUBLE) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(u - 0.5::DOUBLE))) AS BIGINT))) AS BIGINT) AS cnt FROM dr)
  SELECT {keys}, roi, epoch, cnt FROM rel WHERE cnt > {k}"""
@@ -349,19 +374,19 @@ def noisy_sql(source: str, keys: str, noise: list[str], scale: float, k: int) ->
 @query("WITH " + GROUPS_SQL + noisy_sql("cnts", "target, agg_id, label", ["agg_id"], 1.0, 0))
 def privacy_laplace(spark, sf_dir):
     c = keep(counts(spark, sf_dir))
-    return privacy.release(c, c, ["target", "agg_id", "label"], ["agg_id"], ROIS, EPOCHS, M, 1.0, 1.0)
+    return privacy.release(c, c, ["target", "agg_id", "label"], ["agg_id"], *grid_size(spark, sf_dir), M, 1.0, 1.0)
 
 
 @query("WITH " + PAIRCNT_SQL + noisy_sql("paircnt", "target, pair_id, label", ["pair_id"], 2.0, 0))
 def privacy_pair(spark, sf_dir):
     c = keep(aggregates.pair_counts(paired(spark, sf_dir), cells(spark, sf_dir)))
-    return privacy.release(c, c, ["target", "pair_id", "label"], ["pair_id"], ROIS, EPOCHS, M, 0.5, 1.0)
+    return privacy.release(c, c, ["target", "pair_id", "label"], ["pair_id"], *grid_size(spark, sf_dir), M, 0.5, 1.0)
 
 
 @query("WITH " + GROUPS_SQL + noisy_sql("cnts", "target, agg_id, label", ["agg_id"], 2.0, 2))
 def privacy_full(spark, sf_dir):
     c = keep(counts(spark, sf_dir))
-    return privacy.release(c, c, ["target", "agg_id", "label"], ["agg_id"], ROIS, EPOCHS, M, 0.5, 1.0, k=2)
+    return privacy.release(c, c, ["target", "agg_id", "label"], ["agg_id"], *grid_size(spark, sf_dir), M, 0.5, 1.0, k=2)
 
 
 # Marginals and activity
@@ -398,11 +423,11 @@ def marg_power(spark, sf_dir):
     return marginals.powered(shares, ["agg_id"], 0.001).withColumn("p", F.round("p", 9))
 
 
-@query("WITH " + GROUPS_SQL + MARG + f""", rd AS (SELECT {u("'power'", '42', "'roi'", 'i')} AS x FROM range({ROIS}) t(i)), rv AS (SELECT var_pop(x / s) AS v FROM rd, (SELECT sum(x) AS s FROM rd)), vs AS (SELECT agg_id, var_pop(p) AS variance FROM mg GROUP BY 1)
+@query("WITH " + GROUPS_SQL + MARG + f""", rd AS (SELECT {u("'power'", '42', "'roi'", 'i')} AS x FROM (SELECT r AS i FROM {ROIS_SQL}) t), rv AS (SELECT var_pop(x / s) AS v FROM rd, (SELECT sum(x) AS s FROM rd)), vs AS (SELECT agg_id, var_pop(p) AS variance FROM mg GROUP BY 1)
  SELECT agg_id, round(variance, 9) AS variance, CASE WHEN variance > 2.0::DOUBLE * v THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END AS exponent FROM vs, rv""")
 def power_exponent(spark, sf_dir):
     shares = marginals.marginal(counts(spark, sf_dir), "roi", ["agg_id"])
-    return marginals.power_exponent(shares, ["agg_id"], marginals.reference_variance(ROIS, 42, "roi")).withColumn("variance", F.round("variance", 9))
+    return marginals.power_exponent(shares, ["agg_id"], marginals.reference_variance(grid_size(spark, sf_dir)[0], 42, "roi")).withColumn("variance", F.round("variance", 9))
 
 
 USER_U = u("'activity'", "42", "user_id")
@@ -461,7 +486,7 @@ def inv_cdf_draw(spark, sf_dir):
 
 @query("WITH " + TARGETS_SQL + ", " + TCELLS + ", " + RANDOM_PART + " SELECT target, roi, epoch FROM kn")
 def partial_random(spark, sf_dir):
-    return partial.known(target_cells(spark, sf_dir), "random", EPOCHS, share=0.25)
+    return partial.known(target_cells(spark, sf_dir), "random", 0, share=0.25)
 
 
 TOPK = "tops AS (SELECT target, roi, count(*) AS cnt FROM tc GROUP BY ALL), top AS (SELECT target, roi, cnt FROM tops QUALIFY row_number() OVER (PARTITION BY target ORDER BY cnt DESC, roi) <= 5)"
@@ -469,17 +494,17 @@ TOPK = "tops AS (SELECT target, roi, count(*) AS cnt FROM tc GROUP BY ALL), top
 
 @query("WITH " + TARGETS_SQL + ", " + TCELLS + ", " + TOPK + " SELECT target, roi, epoch FROM tc SEMI JOIN top USING (target, roi)")
 def partial_topk(spark, sf_dir):
-    return partial.known(target_cells(spark, sf_dir), "time_and_top_k_locations", EPOCHS, k=5)
+    return partial.known(target_cells(spark, sf_dir), "time_and_top_k_locations", 0, k=5)
 
 
-@query("WITH " + TARGETS_SQL + ", " + TCELLS + f" SELECT DISTINCT target, roi, CAST(e AS INT) AS epoch FROM tc, range({EPOCHS}) t(e)")
+@query("WITH " + TARGETS_SQL + ", " + TCELLS + f" SELECT DISTINCT target, roi, CAST(e AS INT) AS epoch FROM tc, {EPOCHS_SQL} t")
 def partial_roi_greedy(spark, sf_dir):
-    return partial.known(target_cells(spark, sf_dir), "only_rois_greedy", EPOCHS)
+    return partial.known(target_cells(spark, sf_dir), "only_rois_greedy", grid_size(spark, sf_dir)[1])
 
 
-@query("WITH " + TARGETS_SQL + ", " + TCELLS + ", " + TOPK + f" SELECT target, roi, CAST(e AS INT) AS epoch FROM top, range({EPOCHS}) t(e)")
+@query("WITH " + TARGETS_SQL + ", " + TCELLS + ", " + TOPK + f" SELECT target, roi, CAST(e AS INT) AS epoch FROM top, {EPOCHS_SQL} t")
 def partial_roi_topk(spark, sf_dir):
-    return partial.known(target_cells(spark, sf_dir), "only_rois_top_k", EPOCHS, k=5)
+    return partial.known(target_cells(spark, sf_dir), "only_rois_top_k_locations", grid_size(spark, sf_dir)[1], k=5)
 
 
 # Rule and metrics
@@ -489,8 +514,8 @@ def partial_roi_topk(spark, sf_dir):
  everyone AS (SELECT target, agg_id, roi, epoch FROM cnts WHERE cnt = {M}), absent AS (SELECT target, agg_id FROM everyone ANTI JOIN tc USING (target, roi, epoch)), hit AS (SELECT * FROM miss UNION SELECT * FROM absent)
  SELECT target, agg_id, (target, agg_id) IN (SELECT (target, agg_id) FROM hit) AS contradiction FROM gs""")
 def contradiction_rule(spark, sf_dir):
-    groups = grouped(spark, sf_dir).select("target", "agg_id").distinct()
-    return rules.contradicted(groups, counts(spark, sf_dir), target_cells(spark, sf_dir), M)
+    groups = keep(grouped(spark, sf_dir).select("target", "agg_id").distinct())
+    return rules.contradicted(groups, keep(counts(spark, sf_dir)), target_cells(spark, sf_dir), M)
 
 
 PRED = f"""pr AS (SELECT user_id % 7 AS target, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS y, round({u("'score'", 'event_id')} + CASE WHEN event_type = 'view' THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END, 2) AS p FROM events)"""
@@ -520,24 +545,66 @@ def youden(spark, sf_dir):
     return metrics.youden(_predictions(spark, sf_dir), ["target"]).withColumn("j", F.round("j", 9))
 
 
+@query("WITH " + PRED + " SELECT target, round(avg(1.0::DOUBLE / (1.0::DOUBLE + exp(-p))), 9) AS mean FROM pr GROUP BY 1")
+def mean_sigmoid(spark, sf_dir):
+    p = _predictions(spark, sf_dir).withColumn("s", metrics.sigmoid(F.col("p")))
+    return p.groupBy("target").agg(F.round(F.avg("s"), 9).alias("mean"))
+
+
 # Features
 
 
-def _features(spark, sf_dir):
-    members = grouped(spark, sf_dir)
-    return classify.features(counts(spark, sf_dir), members.select("target", "split", "agg_id", "label").distinct(), EPOCHS)
+FEATURES_SQL = "WITH " + GROUPS_SQL + """, ids AS (SELECT DISTINCT target, agg_id FROM grouped), n AS (SELECT max(epoch) + 1 AS n FROM traces), have AS (SELECT target, agg_id, roi * n + epoch AS idx, cnt FROM cnts, n),
+ x AS (SELECT f.target, f.agg_id, f.idx, coalesce(cnt, 0)::DOUBLE AS x FROM (SELECT ids.target, ids.agg_id, c.idx FROM ids JOIN (SELECT DISTINCT target, idx FROM have) c USING (target)) f LEFT JOIN have USING (target, agg_id, idx)),
+ s AS (SELECT target, agg_id, idx, x, avg(x) OVER w AS mean, stddev_pop(x) OVER w AS sd, min(x) OVER w AS lo, max(x) OVER w AS hi FROM x WINDOW w AS (PARTITION BY target, idx))
+ SELECT target, agg_id, CAST(idx AS INT) AS idx, """
+
+
+def _scaled(spark, sf_dir, kind):
+    members = grouped(spark, sf_dir).select("target", "split", "agg_id", "label").distinct()
+    rows = classify.features(counts(spark, sf_dir), members, grid_size(spark, sf_dir)[1])
+    return classify.scaled(rows, kind).withColumn("z", F.round("z", 6) + 0.0)
 
 
-@query("WITH " + GROUPS_SQL + f", f AS (SELECT agg_id, label, unnest(range({ROIS * EPOCHS})) AS idx FROM (SELECT DISTINCT agg_id, label FROM grouped)), x AS (SELECT f.agg_id, f.idx, coalesce(cnt, 0)::DOUBLE AS x FROM f LEFT JOIN (SELECT agg_id, roi * {EPOCHS} + epoch AS idx, cnt FROM cnts) USING (agg_id, idx)), s AS (SELECT agg_id, idx, x, avg(x) OVER (PARTITION BY idx) AS mean, stddev_pop(x) OVER (PARTITION BY idx) AS sd FROM x) SELECT agg_id, CAST(idx AS INT) AS idx, round((x - mean) / CASE WHEN sd > 0 THEN sd ELSE 1.0::DOUBLE END, 6) + 0.0 AS z FROM s WHERE sd > 0")
+@query(FEATURES_SQL + "round((x - mean) / CASE WHEN sd > 1e-12 THEN sd ELSE 1.0::DOUBLE END, 6) + 0.0 AS z FROM s")
 def features_scaled(spark, sf_dir):
-    """Standardised cells over all groups; zeros count, cells that never differ are left out. Sums are over the non-zero cells only."""
-    c = counts(spark, sf_dir).select("agg_id", (F.col("roi") * EPOCHS + F.col("epoch")).alias("idx"), F.col("cnt").cast("double").alias("x"))
-    ids = grouped(spark, sf_dir).select("agg_id").distinct()
-    stats = c.groupBy("idx").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")).crossJoin(F.broadcast(ids.agg(F.count("*").alias("n"))))
-    mean, var = F.col("s") / F.col("n"), F.col("ss") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2.0)
-    stats = stats.select("idx", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd")).where("sd > 1e-9")
-    full = ids.crossJoin(F.broadcast(stats)).join(c, ["agg_id", "idx"], "left")
-    return full.select("agg_id", "idx", (F.round((F.coalesce("x", F.lit(0.0)) - F.col("mean")) / F.col("sd"), 6) + 0.0).alias("z"))
+    """Each target's cells over its groups, standardised; zeros count."""
+    return _scaled(spark, sf_dir, "Standard")
+
+
+@query(FEATURES_SQL + "round((x - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1.0::DOUBLE END, 6) + 0.0 AS z FROM s")
+def features_minmax(spark, sf_dir):
+    return _scaled(spark, sf_dir, "MinMax")
+
+
+# Sources and sinks, by writing and reading again
+
+
+@query("WITH " + POINTS_SQL + " SELECT CAST(user_id AS VARCHAR) AS user_id, ts, lon, lat FROM points")
+def geojson_round_trip(spark, sf_dir):
+    """Points as one GeoJSON feature a line, with a line feature beside each that the reader leaves out."""
+    geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geomPoint.geom")
+    point = points(spark, sf_dir).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"), geom)).alias("value"))
+    path = new_path(spark)
+    point.withColumn("value", F.explode(F.array("value", F.replace("value", F.lit('"Point"'), F.lit('"LineString"'))))).write.text(path)
+    return readers.geojson(spark, path, lines=True)
+
+
+@query("WITH " + POINTS_SQL + " SELECT k AS site_id, k AS arr_id, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM points WHERE k <= 40 GROUP BY k")
+def sites_round_trip(spark, sf_dir):
+    path = new_path(spark)
+    at = points(spark, sf_dir).groupBy("k").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"))
+    at.select(F.col("k").alias("site_id"), F.col("k").alias("arr_id"), "lon", "lat").write.csv(path, header=True)
+    return readers.sites(spark, path, 40)
+
+
+@query("WITH " + GROUPS_SQL + " SELECT target, agg_id, label, roi, epoch, cnt FROM cnts WHERE target = (SELECT min(target) FROM targets)")
+def bundle_round_trip(spark, sf_dir):
+    """Aggregates written by split and target, and one target's read again, which reads its folder only."""
+    path = new_path(spark)
+    sinks.bundle(counts(spark, sf_dir).withColumn("split", F.lit("test")), path)
+    first = targets(spark, sf_dir).agg(F.min("target")).first()[0]
+    return readers.table(spark, path).where((F.col("split") == "test") & (F.col("target") == first)).select("target", "agg_id", "label", "roi", "epoch", "cnt")
 
 
 # Procedural operators: rows only
@@ -548,83 +615,109 @@ def adjacency_edges(spark, sf_dir):
     return adjacency.neighbours(BOX.centroids(spark, 75))
 
 
-def _adjacent(spark):
-    """ROIs of a 10 x 10 grid with their four neighbours."""
-    ids = spark.range(ROIS).select(F.col("id").cast("int").alias("roi"))
-    near = ids.withColumn("nbr", F.explode(F.array(F.col("roi") - 10, F.col("roi") + 10, F.when(F.col("roi") % 10 > 0, F.col("roi") - 1), F.when(F.col("roi") % 10 < 9, F.col("roi") + 1))))
-    return near.where("nbr >= 0 and nbr < 100")
+def _adjacent(spark, n_rois):
+    """ROIs of a square grid, row by row, with their four neighbours."""
+    width = max(1, math.isqrt(max(0, n_rois - 1)) + 1)
+    ids = spark.range(n_rois).select(F.col("id").cast("int").alias("roi"))
+    near = ids.withColumn("nbr", F.explode(F.array(F.col("roi") - width, F.col("roi") + width, F.when(F.col("roi") % width > 0, F.col("roi") - 1), F.when(F.col("roi") % width < width - 1, F.col("roi") + 1))))
+    return near.where(f"nbr >= 0 and nbr < {n_rois}")
 
 
 @query()
 def synth_cluster(spark, sf_dir):
-    starts = spark.range(1, 41).select(F.col("id").alias("user_id"), (F.col("id") * 7 % ROIS).cast("int").alias("start"))
-    return synthesis.clusters(starts, _adjacent(spark), 10)
-
-
-def _release(spark, sf_dir):
-    c = keep(privacy.suppress(counts(spark, sf_dir), 1).join(targets(spark, sf_dir), "target"))
-    groups = grouped(spark, sf_dir).select("target", "agg_id").distinct()
-    return c, groups
+    n_rois = grid_size(spark, sf_dir)[0]
+    starts = spark.range(1, 41).select(F.col("id").alias("user_id"), (F.col("id") * 7 % n_rois).cast("int").alias("start"))
+    return synthesis.clusters(starts, _adjacent(spark, n_rois), 10)
 
 
 @query()
 def synth_traces(spark, sf_dir):
+    n_rois, n_epochs = grid_size(spark, sf_dir)
     c = keep(counts(spark, sf_dir).select("agg_id", "roi", "epoch", "cnt"))
-    config = AUDIT
-    return synthesis.traces(audit.shares(c, "roi", ROIS, ["agg_id"], config), audit.shares(c, "epoch", EPOCHS, ["agg_id"], config), _adjacent(spark), ["agg_id"], 20, 12.0)
+    return synthesis.traces(audit.shares(c, "roi", n_rois, ["agg_id"], SMALL), audit.shares(c, "epoch", n_epochs, ["agg_id"], SMALL), _adjacent(spark, n_rois), ["agg_id"], 20, 12.0)
+
+
+def _means(spark, sf_dir, **changed):
+    n_rois, n_epochs = grid_size(spark, sf_dir)
+    config, keys = replace(SMALL, **changed).coupled(), ["target", "agg_id"]
+    c = keep(privacy.suppress(counts(spark, sf_dir), config.suppress))
+    groups = grouped(spark, sf_dir).select(*keys).distinct()
+    return audit.mean_visits(c, groups, keep(audit.shares(c, "roi", n_rois, keys, config)), keep(audit.shares(c, "epoch", n_epochs, keys, config)), _adjacent(spark, n_rois), keys, n_rois, n_epochs, config, rounds=2)
 
 
 @query()
 def mean_fixed_point(spark, sf_dir):
-    from dataclasses import replace
+    return _means(spark, sf_dir, suppress=1)
 
-    config = replace(AUDIT, suppress=1).coupled()
-    c, groups = _release(spark, sf_dir)
-    keys = ["target", "agg_id"]
-    return audit.mean_visits(c, groups, keep(audit.shares(c, "roi", ROIS, keys, config)), keep(audit.shares(c, "epoch", EPOCHS, keys, config)), _adjacent(spark), keys, ROIS, EPOCHS, config, rounds=2)
 
+@query("WITH " + GROUPS_SQL + f" SELECT target, agg_id, round(sum(cnt) / {M}::DOUBLE, 9) AS mean FROM cnts GROUP BY ALL")
+def mean_of_raw_release(spark, sf_dir):
+    return _means(spark, sf_dir).withColumn("mean", F.round("mean", 9))
 
-def _bundle(spark, sf_dir):
-    c = keep(cells(spark, sf_dir))
-    groups, counted = build.bundle(c, BUILD)
-    groups, counted = keep(groups), keep(counted)
-    return groups, counted, build.target_cells(c, groups)
 
+class _Bundle:
+    """A bundle for as many users as there are, its targets' traces, and what audits of it need to know."""
 
-@query()
+    def __init__(self, spark, sf_dir):
+        c = keep(cells(spark, sf_dir))
+        self.n_rois, self.n_epochs, n_users = (int(x or 0) for x in readers.dims(c).first())
+        self.build, self.audit = build_config(n_users), audit_config(n_users)
+        groups, counted = build.bundle(c, self.build)
+        self.groups, self.counts = keep(groups), keep(counted)
+        self.own, self.population = build.target_cells(c, self.groups), keep(prep.activity(c))
+
+    def reference(self, **changed):
+        return audit.reference_prior(self.groups, self.counts, self.own, self.n_rois, self.n_epochs, replace(self.audit, **changed).coupled())
+
+    def marginal(self, spark, **changed):
+        config = replace(self.audit, mode="marginal_prior", **changed).coupled()
+        return audit.marginal_prior(self.groups, self.counts, self.own, _adjacent(spark, self.n_rois), self.n_rois, self.n_epochs, config, self.population)
+
+
+@query("WITH " + TRACES_SQL + f""", nu AS (SELECT count(*) AS n FROM sizes), tg AS (SELECT user_id AS target, row_number() OVER (ORDER BY {u(chr(39) + 'target' + chr(39), '42', 'user_id')}, user_id) AS r FROM sizes WHERE n_visits >= 10)
+ SELECT target, split, label, n_aggregates FROM tg, nu, (VALUES ('train', 8::BIGINT), ('validation', 4::BIGINT), ('test', 4::BIGINT)) s(split, n_aggregates), (VALUES (0), (1)) l(label) WHERE r <= greatest({TARGETS}, least(50, n // 300))""")
 def bundle_meta(spark, sf_dir):
-    return readers.bundle_meta(_bundle(spark, sf_dir)[1])
+    return readers.bundle_meta(_Bundle(spark, sf_dir).counts)
 
 
 @query()
 def audit_reference_prior(spark, sf_dir):
-    groups, counted, own = _bundle(spark, sf_dir)
-    return audit.reference_prior(groups, counted, own, ROIS, EPOCHS, AUDIT)
+    return _Bundle(spark, sf_dir).reference()
 
 
 @query()
 def audit_reference_prior_noisy(spark, sf_dir):
-    from dataclasses import replace
+    return metrics.scores(_Bundle(spark, sf_dir).reference(dp_eps=1.0, dp_sens=1, suppress=1, partial="random", partial_fraction=0.5, pca=0.9, scaler="MinMax"))
 
-    groups, counted, own = _bundle(spark, sf_dir)
-    config = replace(AUDIT, dp_eps=1.0, dp_sens=1, suppress=1, partial="random", partial_fraction=0.5, pca=0.9, scaler="MinMax").coupled()
-    return metrics.scores(audit.reference_prior(groups, counted, own, ROIS, EPOCHS, config))
+
+@query()
+def audit_reference_prior_unpaired(spark, sf_dir):
+    """Training groups of their own instead of pairs, half of the groups, and all but one of the targets."""
+    b = _Bundle(spark, sf_dir)
+    return b.reference(paired=False, train_size=8, validation_size=4, n_groups=4, n_targets=b.audit.n_targets - 1)
 
 
 @query()
 def audit_marginal_prior_reuse(spark, sf_dir):
-    from dataclasses import replace
-
-    groups, counted, own = _bundle(spark, sf_dir)
-    return audit.marginal_prior(groups, counted, own, _adjacent(spark), ROIS, EPOCHS, replace(AUDIT, mode="marginal_prior", reuse_synthetic=True))
+    return _Bundle(spark, sf_dir).marginal(spark, reuse_synthetic=True)
 
 
 @query()
 def audit_marginal_prior(spark, sf_dir):
-    from dataclasses import replace
+    return _Bundle(spark, sf_dir).marginal(spark)
 
-    groups, counted, own = _bundle(spark, sf_dir)
-    return audit.marginal_prior(groups, counted, own, _adjacent(spark), ROIS, EPOCHS, replace(AUDIT, mode="marginal_prior"))
+
+@query()
+def audit_marginal_prior_true_activity(spark, sf_dir):
+    return _Bundle(spark, sf_dir).marginal(spark, reuse_synthetic=True, true_mean=True, activity="true")
+
+
+@query()
+def audit_sweep(spark, sf_dir):
+    """The suppression sweep's first thresholds, scored by run."""
+    b = _Bundle(spark, sf_dir)
+    found = audit.sweep(sweep(b.audit, "suppression")[:3], b.groups, b.counts, b.own, b.n_rois, b.n_epochs)
+    return metrics.accuracy(found, ["tag"])
 
 
 # Labelled extension: a stream has no counterpart in the published tool

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
-from typing import Literal
+from typing import Literal, get_args
 
 # The named setting that the published experiments use.
 PERIODS = {"November 2013": (1383284733, 1383861599)}
 REGIONS = {"Milano": (9.07954122975, 9.27899377165, 45.394252415050005, 45.541507186800004)}  # min lon, max lon, min lat, max lat
 
 
+# The names by which settings are chosen.
+Mode = Literal["reference_prior", "marginal_prior"]
+Classifier = Literal["LR", "RF", "MLP"]
+Activity = Literal["constant", "true", "lognormal", "exp", "powerlaw"]
+PartialTrace = Literal["random", "time_and_top_k_locations", "only_rois_greedy", "only_rois_top_k_locations"]
+
+
 def period(name: str) -> tuple[int, int]:
     if name not in PERIODS:
         raise ValueError(f"unknown period {name!r}; known: {sorted(PERIODS)}")
@@ -56,7 +63,7 @@ class BuildConfig:
 class AuditConfig:
     """Auditing a bundle. Use `coupled()` for the settings that follow from others."""
 
-    mode: Literal["reference_prior", "marginal_prior"] = "reference_prior"
+    mode: Mode = "reference_prior"
     dataset: str = ""
     experiment: str | None = None
     seed: int = 2023
@@ -69,7 +76,7 @@ class AuditConfig:
     suppress: int = 0
     dp_eps: float | None = None
     dp_sens: int | None = None
-    classifier: Literal["LR", "RF", "MLP"] = "LR"
+    classifier: Classifier = "LR"
     lr_max_iter: int = 100
     lr_tol: float = 1e-4
     lr_c: float = 1.0
@@ -81,22 +88,28 @@ class AuditConfig:
     reuse_from: Literal["first", "random"] = "first"
     n_synthetic: int = 5000
     cluster_size: int = 10
-    activity: Literal["constant", "true", "lognormal", "exp", "powerlaw"] = "exp"
+    activity: Activity = "exp"
     log_compression: bool = False
     power_transform: bool = False
     true_mean: bool = False
     skew: float = 3.0
-    partial: Literal["random", "time_and_top_k_locations", "only_rois_greedy", "only_rois_top_k"] | None = None
+    partial: PartialTrace | None = None
     partial_fraction: float | None = 1.0
     top_k: int | None = None
 
     def __post_init__(self) -> None:
-        if self.mode not in ("reference_prior", "marginal_prior"):
-            raise ValueError(f"unknown mode {self.mode!r}")
-        if self.partial not in (None, "random", "time_and_top_k_locations", "only_rois_greedy", "only_rois_top_k"):
-            raise ValueError(f"unknown partial trace mode {self.partial!r}")
-        if self.classifier not in ("LR", "RF", "MLP"):
-            raise ValueError(f"unknown classifier {self.classifier!r}")
+        for name, kind in (("mode", Mode), ("classifier", Classifier), ("activity", Activity), ("partial", PartialTrace)):
+            if (value := getattr(self, name)) not in get_args(kind) and not (value is None and name == "partial"):
+                raise ValueError(f"unknown {name} {value!r}")
+        for name in ("n_groups", "train_size", "validation_size"):
+            if getattr(self, name) % 2:
+                raise ValueError(f"{name} must be even: half of the groups have the target")
+        if self.partial in ("time_and_top_k_locations", "only_rois_top_k_locations") and not self.top_k:
+            raise ValueError(f"{self.partial} needs top_k")
+        if self.activity == "true" and not self.true_mean:
+            raise ValueError("users' own numbers of visits are known only together with their mean: set true_mean")
+        if not 0 <= self.pca < 1:
+            raise ValueError("pca is a share of the variance, 0 for none")
         if self.suppress < 0:
             raise ValueError("the suppression threshold cannot be negative")
 

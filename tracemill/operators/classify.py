@@ -6,16 +6,17 @@ regularised logistic regression is fitted in numpy. Forests and perceptrons are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..stages import keep
 
 PREDICTIONS = "target long, agg_id string, y int, p double, pred int, thr double"
 
@@ -107,14 +108,29 @@ def youden_threshold(y: np.ndarray, p: np.ndarray) -> float:
     return float(p[order][best]) if j[best] > 1e-12 else float("inf")
 
 
+def prepared(rows: pd.DataFrame, config: AuditConfig) -> np.ndarray:
+    """A target's rows as a matrix: scaled by its training and validation rows, then in components of the training rows."""
+    x, _ = dense(rows)
+    train = (rows["split"] == "train").to_numpy()
+    x = Scaler(config.scaler, x[train | (rows["split"] == "validation").to_numpy()])(x)
+    return Components(config.pca, x[train])(x) if config.pca else x
+
+
+def scaled(rows: DataFrame, kind: str | None) -> DataFrame:
+    """(target, agg_id, idx, z) for features() rows: each target's cells that any of its rows has, scaled over all its rows."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        x, cells = dense(f)
+        z = Scaler(kind, x)(x)
+        return pd.DataFrame({"target": np.repeat(f["target"].to_numpy(), len(cells)), "agg_id": np.repeat(f["agg_id"].to_numpy(), len(cells)), "idx": np.tile(cells, len(f)), "z": z.ravel()})
+
+    return rows.groupBy("target").applyInPandas(run, "target long, agg_id string, idx int, z double")
+
+
 def attack(rows: pd.DataFrame, config: AuditConfig) -> pd.DataFrame:
     """Train on a target's `train` rows, choose the threshold on `validation`, predict `test`."""
-    x, _ = dense(rows)
-    y = rows["label"].to_numpy(dtype=float)
+    x, y = prepared(rows, config), rows["label"].to_numpy(dtype=float)
     of = {s: (rows["split"] == s).to_numpy() for s in ("train", "validation", "test")}
-    x = Scaler(config.scaler, x[of["train"] | of["validation"]])(x)
-    if config.pca:
-        x = Components(config.pca, x[of["train"]])(x)
     model = Logistic(config.lr_c, config.lr_max_iter, config.lr_tol).fit(x[of["train"]], y[of["train"]])
     p = model.scores(x)
     thr = youden_threshold(y[of["validation"]], p[of["validation"]]) if of["validation"].any() else 0.5
@@ -123,39 +139,32 @@ def attack(rows: pd.DataFrame, config: AuditConfig) -> pd.DataFrame:
 
 
 def predict(rows: DataFrame, config: AuditConfig) -> DataFrame:
-    """Predictions for all targets' `test` rows of features()."""
+    """Predictions for all targets' `test` rows of features().
+
+    Logistic regressions are fitted in tasks, all targets at once. A forest or perceptron is one Spark ML fit after another
+    on the driver's call, so these are for tens of targets (the default is 50), each with a few hundred rows.
+    """
     if config.classifier == "LR":
         return rows.groupBy("target").applyInPandas(lambda f: attack(f, config), PREDICTIONS)
-    parts = [predict_ml(rows.where(F.col("target") == t.target), config) for t in rows.select("target").distinct().orderBy("target").collect()]  # one fit for each target
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def ml_pipeline(config: AuditConfig, width: int, components: int | None = None) -> Pipeline:
-    """Spark ML stages: scaler, principal components, forest or perceptron."""
-    stages, last = [], "x"
-    if config.scaler:
-        scaler = StandardScaler(inputCol=last, outputCol="scaled", withMean=True) if config.scaler == "Standard" else MinMaxScaler(inputCol=last, outputCol="scaled")
-        stages, last = [scaler], "scaled"
-    if components:
-        stages.append(PCA(k=components, inputCol=last, outputCol="components"))
-        last, width = "components", components
-    if config.classifier == "RF":
-        stages.append(RandomForestClassifier(featuresCol=last, labelCol="label", numTrees=config.rf_trees or 100, maxDepth=config.rf_depth or 5, seed=42))
-    else:
-        stages.append(MultilayerPerceptronClassifier(featuresCol=last, labelCol="label", layers=[width, 200, 2], solver="gd", maxIter=100, seed=42))
-    return Pipeline(stages=stages)
 
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        return f[["target", "split", "agg_id", "label"]].assign(x=list(prepared(f, config)))
 
-def predict_ml(rows: DataFrame, config: AuditConfig) -> DataFrame:
-    """The same with Spark ML for the rows of one target."""
-    width = (rows.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
-    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(F.map_from_arrays("idx", "cnt"), i.cast("int")), F.lit(0.0)))
-    data = rows.withColumn("x", array_to_vector(filled)).select("target", "split", "agg_id", F.col("label").cast("double").alias("label"), "x").cache()
-    model = ml_pipeline(config, width).fit(data.where("split = 'train'"))
-    scored = model.transform(data).select("target", "split", "agg_id", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
+    ready = keep(rows.groupBy("target").applyInPandas(run, "target long, split string, agg_id string, label int, x array<double>"))
+    ids = [t.target for t in ready.select("target").distinct().orderBy("target").collect()]
+    return reduce(DataFrame.unionByName, (predict_ml(ready.where(F.col("target") == t), config) for t in ids))
+
+
+def predict_ml(ready: DataFrame, config: AuditConfig) -> DataFrame:
+    """The same with Spark ML for the prepared rows of one target."""
+    data = ready.select("target", "split", "agg_id", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("x"))
+    if config.classifier == "RF":
+        learner = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=config.rf_trees or 100, maxDepth=config.rf_depth or 5, seed=42)
+    else:
+        width = ready.agg(F.max(F.size("x"))).first()[0]
+        learner = MultilayerPerceptronClassifier(featuresCol="x", labelCol="label", layers=[width, 200, 2], solver="gd", maxIter=100, seed=42)
+    scored = learner.fit(data.where("split = 'train'")).transform(data)
+    scored = scored.select("target", "split", "agg_id", F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
     held = scored.where("split = 'validation'").select("y", "p").toPandas()
     thr = youden_threshold(held["y"].to_numpy(), held["p"].to_numpy()) if len(held) else 0.5
     return scored.where("split = 'test'").select("target", "agg_id", "y", "p", (F.col("p") >= thr).cast("int").alias("pred"), F.lit(thr).alias("thr"))

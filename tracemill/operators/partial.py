@@ -51,6 +51,6 @@ def known(cells: DataFrame, mode: str | None, n_epochs: int, share: float | None
         return top_part(cells, k)
     if mode == "only_rois_greedy":
         return all_rois(cells, n_epochs)
-    if mode == "only_rois_top_k":
+    if mode == "only_rois_top_k_locations":
         return top_rois_always(cells, k, n_epochs)
     raise ValueError(f"unknown partial trace mode {mode!r}")

@@ -80,16 +80,23 @@ def clusters(starts: DataFrame, adjacency: DataFrame, size: int, seed: int = 42,
     return starts.mapInPandas(run, schema)
 
 
+#: Visits of a synthetic user above which cells are drawn instead of visits.
+HEAVY = 4096
+
+
 def traces(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, mean: float, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42) -> DataFrame:
     """traces_at with one mean for all keys."""
     return traces_at(roi_shares.withColumn("mean", F.lit(float(mean))), epoch_shares, adjacency, keys, n, activity, cluster_size, skew, seed)
 
 
-def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42) -> DataFrame:
+def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42, population: DataFrame | None = None) -> DataFrame:
     """(keys, user_id, roi, epoch): cells of n synthetic users (ids below zero) for each key of roi_shares(keys, roi, p, mean).
 
     A user starts at an ROI drawn from the place marginal, a cluster is grown around it, and visits are drawn with
     replacement: the ROI from the place marginal within the cluster, the epoch from the time marginal. Repeats count once.
+    With the activity `true`, numbers of visits are drawn from those of population(n_visits, n_users) and `mean` is not used.
+    A power law asks some users for any number of visits: beyond HEAVY, each cell of the cluster is visited with the probability
+    that it is in so many visits, so a user has no more rows than there are cells.
     """
     key_cols = [F.col(c) for c in keys]
     users = roi_shares.select(*keys, "mean").distinct().withColumn("user_id", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(-n).cast("long"), F.lit(-1).cast("long"))))
@@ -98,9 +105,22 @@ def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFra
     grown = clusters(starts, adjacency, cluster_size, seed)
     inside = grown.select(*keys, "user_id", F.explode("cluster").alias("roi")).join(roi_shares.select(*keys, "roi", "p"), [*keys, "roi"])
     inside = inside.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(*keys, "user_id"))).where("p is not null")
-    n_visits = activity_draw(activity, F.col("mean"), uniform("activity", seed, *key_cols, F.col("user_id")), uniform("activity2", seed, *key_cols, F.col("user_id")), skew)
-    visits = grown.select(*keys, "user_id", n_visits.alias("_n")).where("_n > 0").withColumn("visit", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    u = uniform("activity", seed, *key_cols, F.col("user_id"))
+    if activity == "true":
+        if population is None:
+            raise ValueError("the activity `true` needs the population's numbers of visits")
+        known = population.select("n_visits", (F.col("n_users") / F.sum("n_users").over(Window.partitionBy())).alias("p"))
+        active = draw(grown.select(*keys, "user_id", u.alias("u")), cumulative(known, "n_visits", []), "n_visits", []).select(*keys, "user_id", F.col("n_visits").alias("_n"))
+    else:
+        n_visits = activity_draw(activity, F.col("mean"), u, uniform("activity2", seed, *key_cols, F.col("user_id")), skew)
+        active = grown.select(*keys, "user_id", n_visits.alias("_n"))
+    visits = active.where(f"_n between 1 and {HEAVY}").withColumn("visit", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     visits = visits.select(*keys, "user_id", "visit", uniform("roi", seed, *key_cols, F.col("user_id"), F.col("visit")).alias("u"))
     placed = draw(visits, cumulative(inside, "roi", [*keys, "user_id"]), "roi", [*keys, "user_id"])
     timed = placed.withColumn("u", uniform("epoch", seed, *key_cols, F.col("user_id"), F.col("visit")))
-    return draw(timed, cumulative(epoch_shares, "epoch", keys), "epoch", keys).select(*keys, "user_id", "roi", "epoch").distinct()
+    light = draw(timed, cumulative(epoch_shares, "epoch", keys), "epoch", keys).select(*keys, "user_id", "roi", "epoch").distinct()
+    times = epoch_shares.select(*keys, "epoch", F.col("p").alias("q"))
+    cells = active.where(f"_n > {HEAVY}").join(inside.where("p > 0"), [*keys, "user_id"]).join(times.where("q > 0"), keys)
+    missed = F.pow(1.0 - F.col("p") * F.col("q"), F.col("_n").cast("double"))
+    heavy = cells.where(uniform("heavy", seed, *key_cols, F.col("user_id"), F.col("roi"), F.col("epoch")) >= missed)
+    return light.unionByName(heavy.select(*keys, "user_id", "roi", "epoch"))

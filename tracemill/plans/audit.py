@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..functions.draws import uniform
 from ..operators import aggregates as agg
 from ..operators import classify, marginals, partial, privacy, rules, sampling, synthesis
 from ..stages import keep
@@ -15,9 +17,33 @@ from ..stages import keep
 PAIR_KEYS = ["target", "split", "agg_id", "pair_id", "label"]
 
 
+def chosen(groups: DataFrame, config: AuditConfig) -> DataFrame:
+    """The groups of a bundle that an audit uses: n_targets of its targets, and of each of these n_groups test groups, train_size
+    training groups (whole pairs, the first ones, if `paired`, else any) and validation_size validation groups, half with the target.
+
+    Asking for more than the bundle has raises. With the marginal prior only test groups matter, the others may be fewer.
+    """
+    if config.n_targets is not None:
+        ids = groups.select("target").distinct().withColumn("_u", uniform("audit", config.seed, F.col("target"))).orderBy("_u", "target").limit(config.n_targets)
+        groups = groups.join(F.broadcast(ids.select("target")), "target", "left_semi")
+    wanted = {"test": config.n_groups} | ({"train": config.train_size, "validation": config.validation_size} if config.mode == "reference_prior" else {})
+    picked = []
+    for split, n in wanted.items():
+        own = groups.where(F.col("split") == split)
+        some = sampling.first_pairs(own, n // 2) if split == "train" and config.paired else sampling.subsample(own, n // 2, config.seed)
+        picked.append(own.join(some.select("target", "agg_id"), ["target", "agg_id"], "left_semi").select(*PAIR_KEYS))
+    out = keep(reduce(DataFrame.unionByName, picked))
+    there = {(r.target, r.split): r["count"] for r in out.groupBy("target", "split").count().collect()}
+    ids = {t for t, _ in there}
+    short = [(t, s) for t in ids for s, n in wanted.items() if there.get((t, s), 0) < n]
+    if short or config.n_targets is not None and len(ids) < config.n_targets:
+        raise ValueError(f"the bundle has fewer targets or groups than asked for: {len(ids)} targets, short of {sorted(short)[:5]}")
+    return out
+
+
 def released(groups: DataFrame, counts: DataFrame, n_rois: int, n_epochs: int, config: AuditConfig) -> DataFrame:
-    """Aggregates after the disclosure controls; pairs share their noise."""
-    return privacy.release(counts, groups, PAIR_KEYS, ["pair_id"], n_rois, n_epochs, config.group_size, config.dp_eps, config.dp_sens, config.suppress, config.seed)
+    """Aggregates after the disclosure controls; pairs share their noise if the audit pairs them."""
+    return privacy.release(counts, groups, PAIR_KEYS, ["pair_id"] if config.paired else ["agg_id"], n_rois, n_epochs, config.group_size, config.dp_eps, config.dp_sens, config.suppress, config.seed)
 
 
 def apply_rule(predictions: DataFrame, groups: DataFrame, counts: DataFrame, cells: DataFrame, config: AuditConfig) -> DataFrame:
@@ -36,6 +62,8 @@ def reference_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, n_ro
     groups and counts: a bundle; cells: the targets' traces. With a partial trace, the observer's training IN groups have
     that part of the target's trace in place of the whole; the test groups are as they are.
     """
+    groups = chosen(groups, config)
+    counts = counts.join(groups.select("target", "agg_id"), ["target", "agg_id"], "left_semi")
     if config.partial:
         known = partial.known(cells, config.partial, n_epochs, config.partial_fraction, config.top_k, config.seed)
         train = counts.where("split = 'train'")
@@ -85,18 +113,23 @@ def mean_visits(counts: DataFrame, groups: DataFrame, roi_shares: DataFrame, epo
     return keep(now).select(*keys, "mean")
 
 
-def _members_at(means: DataFrame, roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, config: AuditConfig, step: int) -> DataFrame:
+def _members_at(means: DataFrame, roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, config: AuditConfig, step: int, population: DataFrame | None = None) -> DataFrame:
     """Synthetic members of each key at its own mean."""
     rois = roi_shares.join(means, keys)
-    return synthesis.traces_at(rois, epoch_shares, adjacency, keys, n, config.activity if config.activity != "true" else "exp", config.cluster_size, config.skew, config.seed + step)
+    return synthesis.traces_at(rois, epoch_shares, adjacency, keys, n, config.activity, config.cluster_size, config.skew, config.seed + step, population)
 
 
-def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjacency: DataFrame, n_rois: int, n_epochs: int, config: AuditConfig, means: DataFrame | None = None) -> DataFrame:
+def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjacency: DataFrame, n_rois: int, n_epochs: int, config: AuditConfig, population: DataFrame | None = None) -> DataFrame:
     """Predictions of an observer who has only a release: trains on aggregates of users synthesised from it.
 
     With reuse_synthetic, one set of users for each target, from its first (or a random) test aggregate, serves all its
-    test aggregates; else every test aggregate has its own. means: (target, agg_id, mean) if the true mean is known.
+    test aggregates; else every test aggregate has its own. population(n_visits, n_users) is what prep.activity() gives for
+    all users; it is needed, and used, if the observer knows the true mean of visits (true_mean), and instead of estimates.
     """
+    if config.true_mean and population is None:
+        raise ValueError("true_mean needs the population's numbers of visits")
+    groups = chosen(groups, config)
+    counts = counts.join(groups.select("target", "agg_id"), ["target", "agg_id"], "left_semi")
     test = groups.where("split = 'test'")
     out = keep(released(test, counts.where("split = 'test'"), n_rois, n_epochs, config))
     if config.reuse_synthetic:
@@ -108,18 +141,26 @@ def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjac
     base = out.join(source, ["target", "agg_id"], "left_semi")
     keys = ["target", "agg_id"]
     roi_shares, epoch_shares = keep(shares(base, "roi", n_rois, keys, config)), keep(shares(base, "epoch", n_epochs, keys, config))
-    if means is None:
+    if config.true_mean:
+        mean = population.agg((F.sum(F.col("n_visits") * F.col("n_users")) / F.sum("n_users")).alias("mean"))
+        means = source.crossJoin(F.broadcast(mean))
+    else:
         means = mean_visits(base, source, roi_shares, epoch_shares, adjacency, keys, n_rois, n_epochs, config)
-    users = keep(_members_at(means.where("mean > 0"), roi_shares, epoch_shares, adjacency, keys, config.n_synthetic, config, 77))
+    users = keep(_members_at(means.where("mean > 0"), roi_shares, epoch_shares, adjacency, keys, config.n_synthetic, config, 77, population))
     # groups of synthetic users with the target's known part, for each source aggregate as a "target" of its own
     known = partial.known(cells, config.partial, n_epochs, config.partial_fraction, config.top_k, config.seed)
     sources = source.withColumn("_key", F.xxhash64("target", "agg_id"))
     pool = users.join(sources, keys).select(F.col("_key").alias("target"), "user_id").distinct()
     tagged = users.join(sources, keys).select(F.col("_key").alias("target"), "user_id", "roi", "epoch")
     own = known.join(sources, "target").select(F.col("_key").alias("target"), F.col("_key").alias("user_id"), "roi", "epoch")
-    train = sampling.groups_paired(pool, "train", config.group_size, config.train_size, config.seed)
-    validation = sampling.groups(pool, "validation", config.group_size, config.validation_size, config.seed)
-    members = sampling.members(train).unionByName(validation.withColumn("pair_id", F.col("agg_id")).select("target", "split", "pair_id", "agg_id", "label", "user_id"))
+    singles = sampling.groups(pool, "validation", config.group_size, config.validation_size, config.seed)
+    if config.paired:
+        pairs = sampling.members(sampling.groups_paired(pool, "train", config.group_size, config.train_size, config.seed))
+    else:
+        singles = singles.unionByName(sampling.groups(pool, "train", config.group_size, config.train_size, config.seed))
+    members = singles.withColumn("pair_id", F.col("agg_id")).select("target", "split", "pair_id", "agg_id", "label", "user_id")
+    if config.paired:
+        members = members.unionByName(pairs)
     made = members.join(tagged.unionByName(own), ["target", "user_id"]).groupBy(*PAIR_KEYS, "roi", "epoch").agg(F.count("*").alias("cnt"))
     made_groups = keep(members.select(*PAIR_KEYS).distinct())
     made = keep(released(made_groups, made, n_rois, n_epochs, config))

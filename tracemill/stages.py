@@ -5,16 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it again. Where that is unset, as in tests, a temporary folder is set."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+def new_path(spark: SparkSession) -> str:
+    """A new path below spark.checkpoint.dir. Where that is unset, a temporary folder is set, but only for a local master, as in tests."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         at = sc.getCheckpointDir()
-    path = f"{at.rstrip('/')}/stage-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/stage-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write df below spark.checkpoint.dir and read it again."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
