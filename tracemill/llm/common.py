@@ -94,42 +94,43 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes are of any type that has an order. Alternating large-star and small-star rounds, O(log n) of them for long chains.
     Each round looks up the smallest neighbour of every edge's end in a join on that end. A hub, a node with more than a
     hundredth of all edges (and 1000), would be one task there, so hubs, of which there are at most two hundred, are looked up
-    in a broadcast table wherever their edges are. Only a count, a checksum and the hubs reach the driver. Each round is a
-    table in the shared folder, deleted when the one after the next is there. Null ends and loops are ignored.
+    in a broadcast table wherever their edges are. Only a count and a checksum reach the driver. Each round writes three tables
+    in the shared folder, deleted when they are no longer needed. Null ends and loops are ignored.
     """
     spark, base = edges.sparkSession, _scratch.get() or shared_dir(edges.sparkSession)
     base, step = f"{base}/components-{uuid.uuid4().hex}", 0
 
-    def kept(df: DataFrame) -> DataFrame:
+    def kept(df: DataFrame, needed: int) -> DataFrame:
+        """df as the next table; of those before it, the last `needed` - 1 stay."""
         nonlocal step
         out = keep(df, f"{base}/{step}")
-        if step > 1:
-            remove(spark, f"{base}/{step - 2}")
+        if step >= needed:
+            remove(spark, f"{base}/{step - needed}")
         step += 1
         return out
 
-    def with_least(df: DataFrame, low: DataFrame, hubs: list) -> DataFrame:
-        if not hubs:
+    def with_least(df: DataFrame, low: DataFrame, hubs: DataFrame | None) -> DataFrame:
+        if hubs is None:
             return df.join(low, "src")
-        ids = F.broadcast(spark.createDataFrame([(h,) for h in hubs], f"src {df.schema['src'].dataType.simpleString()}"))
-        known = df.join(ids, "src", "left_semi").join(F.broadcast(low.join(ids, "src", "left_semi")), "src")
-        return known.unionByName(df.join(ids, "src", "left_anti").join(low, "src"))
+        own = F.broadcast(low.join(F.broadcast(hubs), "src", "left_semi"))
+        return df.join(own, "src").unionByName(df.join(F.broadcast(hubs), "src", "left_anti").join(low, "src"))
 
     e = edges.where("src is not null and dst is not null and src <> dst")
-    e, before = kept(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()), None
+    e, before = kept(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), 3), None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum"))
+        low = kept(low, 3)
         n, total, most = low.agg(F.sum("n"), F.sum("sum"), F.max("n")).first()
         if (n, total) == before or not n:
             break
         before, bound = (n, total), max(1000, n // 200)
-        hubs = [r[0] for r in low.where(F.col("n") > bound).select("src").collect()] if most > bound else []
+        hubs = low.where(F.col("n") > bound).select("src") if most > bound else None
         large = with_least(both, low.select("src", F.least("src", "m").alias("m")), hubs)
-        large = kept(large.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))  # no node has more edges than it had
-        small = with_least(large, low, hubs).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
-        e = kept(small.unionByName(low.select("src", F.col("m").alias("dst"))).distinct())
+        large = kept(large.where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct(), 3)
+        least = large.groupBy("src").agg(F.min("dst").alias("m"))  # no node has more edges than it had
+        small = with_least(large, least, hubs).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        e = kept(small.unionByName(least.select("src", F.col("m").alias("dst"))).distinct(), 3)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.groupBy("src").agg(F.min("dst").alias("root")).select(F.col("src").alias("node"), "root")

@@ -6,7 +6,7 @@ them (the successor in the sorted gaps), as many pieces to a gap as fit; pieces
 their rank, so the k-th piece takes the k-th gap and no two pieces want the same one; the gaps shrink and the sweep goes
 on with the next. As lengths are at most `size`, sorted pieces and gaps are runs of (length, count): the sweep works on
 those runs, at most `size` of them, and its outcome is a table of runs (length, ranks -> sequences, offset) that is
-joined to the pieces. Ranks are dealt in parts of about `part_rows` pieces of a length, so a length that a third of all
+joined to the pieces. Ranks are dealt in 64 parts of a length, or more of about `part_rows` pieces each, so a length that a third of all
 pieces have is no single task, however many they are. A piece's place follows from its length and rank alone.
 
 Null texts are empty documents, which have one token, the end id. Repeated rows are packed each. Null doc_ids stay null.
@@ -140,24 +140,24 @@ def sweep(have: dict[int, int], size: int) -> list[tuple[int, int, int, int, int
     return runs
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, part_rows: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, part_rows: int = 250_000, parts: int = 64) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
 
-    The driver has a count for each length (`size` rows at most) and the sweep's runs; broadcast are these, and a row for each
-    part_rows pieces or length.
+    The driver has a count for each length (`size` rows at most) and the sweep's runs; broadcast are these, and a row for each part
+    of a length: `parts` of them, or one for each part_rows pieces if that is more.
     """
     spark = docs.sparkSession
     cut = common.keep(pieces(docs, path, size, end_id))
     counts = cut.groupBy("length").agg(F.count("*").alias("n"))
     have = {r.length: r.n for r in counts.collect()}
-    salts = spark.createDataFrame([(k, -(-n // part_rows)) for k, n in have.items()], "length long, salts int")
+    salts = spark.createDataFrame([(k, max(parts, -(-n // part_rows))) for k, n in have.items()], "length long, salts int")
     salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
-    parts = common.keep(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    counted = common.keep(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     plan = spark.createDataFrame([list(r) for r in sweep(have, size)], "length long, rank_from long, ranks long, sequence_from long, offset long")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(parts), ["length", "salt"])
+    ranked = salted.withColumn("k", F.row_number().over(within) - 1).join(F.broadcast(bases), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k")).alias("rank"))
     there = (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_from") + F.col("ranks"))
     placed = ranked.join(F.broadcast(plan), "length").where(there)

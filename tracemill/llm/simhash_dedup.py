@@ -343,9 +343,9 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def blocks_of(sets: DataFrame, block_rows: int, block_bytes: int) -> DataFrame:
-    """(grp, blocks, leader): how many blocks each group needs, and a text of it, the same on every run."""
+    """(grp, texts, blocks, leader): how many texts a group has, how many blocks it needs, and one of its texts, the same on every run."""
     needs = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("grams")) / block_bytes))
-    return sets.groupBy("grp").agg(needs.cast("int").alias("blocks"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("leader"))
+    return sets.groupBy("grp").agg(F.count("*").alias("texts"), needs.cast("int").alias("blocks"), F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("leader"))
 
 
 def block(blocks: Column) -> Column:
@@ -411,17 +411,22 @@ def star_round(sets: DataFrame, sizes: DataFrame, similarity: float, block_rows:
 
 
 def similar_links(sets: DataFrame, similarity: float, block_rows: int, block_bytes: int, rounds: int = 4) -> DataFrame:
-    """Links among the texts of each group as (src, dst) edges that span it: stars of large groups first, then pairs of blocks."""
-    links, small, left = [], [], sets
+    """Links among the texts of each group as (src, dst) edges that span it: stars of large groups first, then pairs of blocks.
+
+    Stars go on for `rounds` rounds at most, and only while a round settles half of the texts of large groups.
+    """
+    links, small, left, before = [], [], sets, None
     for _ in range(rounds):
         sizes = common.keep(blocks_of(left, block_rows, block_bytes))
-        if sizes.where("blocks > 1").isEmpty():
+        now = sizes.where("blocks > 1").agg(F.sum("texts")).first()[0]
+        if not now or before and 2 * now > before:
             break
+        before = now
         small.append(common.lookup(left, sizes.where("blocks = 1").select("grp"), ["grp"], ["node"]))
-        found, left = star_round(left, sizes.where("blocks > 1"), similarity, block_rows, block_bytes)
+        found, left = star_round(left, sizes.where("blocks > 1").drop("texts"), similarity, block_rows, block_bytes)
         links.append(found)
     left = reduce(DataFrame.unionByName, small, left)  # a group is small in one round only, so no group is mixed
-    dealt = common.lookup(left, blocks_of(left, block_rows, block_bytes), ["grp"], ["node"]).withColumn("b", block(F.col("blocks")))
+    dealt = common.lookup(left, blocks_of(left, block_rows, block_bytes).select("grp", "blocks"), ["grp"], ["node"]).withColumn("b", block(F.col("blocks")))
     dealt = dealt.select("grp", F.explode(pairs_of(F.col("blocks"), F.col("b"))).alias("p"), "node", "b", "grams").select("grp", "p.i", "p.j", "node", "b", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
