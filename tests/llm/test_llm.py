@@ -420,7 +420,7 @@ def test_op4_without_article():
 
 def test_op4_drops_only_what_is_boilerplate():
     page = """<html><body class="page-with-sidebar"><div class="sidebar-layout has-menu"><nav>Home</nav><article><header><h1>Headline</h1></header>
-    <p>The area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> as drawn <svg><text>label</text></svg> here.</p><section class="related-work"><p>Earlier studies say so.</p></section>
+    <p>The area is <math><mi>x</mi><mo>+</mo><mn>1</mn></math> as drawn <svg><text>label</text></svg> here.</p><section class="related-work"><p title="the hidden truth id=ad" data-role=menu>Earlier studies say so.</p></section><p hidden>Unseen</p><p role = "banner">Top</p>
     <div id="notice-board"><p>On the board it says more.</p></div><div class="search-engine"><p>Engines find it.</p></div><object><p>Fallback words.</p></object>
     <div class="share-buttons"><p>Tweet this</p></div><div class="ad-slot"><p>Buy it</p></div><ul class="related"><li>Other story</ul><aside>Side</aside><select><option>Pick</select>
     <p>The end <a href="x">with a link</a>.</p></article><section id="comments"><p>I disagree with all of this and more, says a reader.</p></section>

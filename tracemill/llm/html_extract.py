@@ -56,7 +56,8 @@ QUALIFIERS = frozenset(
     "site page top bottom left right main primary secondary global header mobile desktop box block list bar section area wrapper wrap container inner outer content button "
     "buttons link links icon icons form signup slot unit posts articles stories items item thread count author text body reader user google media policy privacy".split()
 )
-ATTRIBUTES = re.compile(r"(?<![\w-])(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])", re.I)
+ATTRIBUTES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden", re.I)
 CLOSES_P = BLOCKS - {"br", "button", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "option", "optgroup", "legend", "li", "dd", "dt"}
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\S+")
@@ -76,7 +77,7 @@ def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is boilerplate by its tag, role or being hidden, and whether its class or id says so."""
     if tag in DROPPED:
         return True, False
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main") or not TELLING.search(attributes):
         return False, False
     named = False
     for name, *value in ATTRIBUTES.findall(attributes):
