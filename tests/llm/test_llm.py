@@ -527,6 +527,14 @@ def test_op5_finds_what_brute_force_finds(spark):
         assert kept == {n for n, _ in rows} - {n for n, _ in got}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=8), st.lists(st.integers(0, 4), max_size=12), st.integers(0, 8))
+def test_op5_edit_distance(item, text, most):
+    want = edit_distance_in(item, text)
+    assert decontam.best_substring(np.array(item), np.array(text, dtype=np.int64))[0] == want
+    assert decontam.best_substring(np.array(item), np.array(text, dtype=np.int64), most)[0] == min(want, most + 1)
+
+
 def test_op5_matches_come_through_the_hash_tables(monkeypatch):
     """Edited passages of short and long items are found, and none is without the tables."""
     rng = random.Random(7)

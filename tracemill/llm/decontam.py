@@ -140,14 +140,19 @@ class Items:
         self.widest = max((p.width for p in self.parts), default=0)
 
 
-def best_substring(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(edits, end) of the substring of text with the least edit distance to the item; the first such end."""
+def best_substring(item: np.ndarray, text: np.ndarray, most: int | None = None) -> tuple[int, int]:
+    """(edits, end) of the substring of text with the least edit distance to the item; the first such end.
+
+    Beyond `most` edits, which only grow from word to word of the item, it gives up with one more.
+    """
     m = len(text)
     row = np.zeros(m + 1, dtype=np.int64)
     steps = np.arange(m + 1)
     for i, x in enumerate(item):
         new = np.minimum(row + 1, np.concatenate([[i + 1], row[:-1] + (text != x)]))
         row = np.minimum.accumulate(new - steps) + steps
+        if most is not None and row.min() > most:
+            return most + 1, 0
     end = int(row.argmin())
     return int(row[end]), end
 
@@ -188,7 +193,7 @@ def matches(items: Items, texts: list[str | None]) -> list[tuple[int, int, int,
         seen[around] = False
         if lacks > e:
             continue
-        edits, end = best_substring(items.words[k], around)
+        edits, end = best_substring(items.words[k], around, e)
         if edits <= e and edits < best.get((doc, k), (1 << 60, 0))[0]:
             best[doc, k] = edits, max(0, lo + end - n - low)
     return [(doc, k, at, len(items.words[k]), edits) for (doc, k), (edits, at) in sorted(best.items())]
