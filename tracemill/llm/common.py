@@ -81,11 +81,12 @@ def free_name(columns: list[str], name: str) -> str:
 def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 16) -> DataFrame:
     """df joined with small(on, ...), each key's rows being dealt to `salts` parts by the columns `spread`, so no key is one task.
 
-    small's rows go to every part, so it should have far fewer rows than df. A part that is still large is split by Spark.
+    small's rows go to every part, so it should have far fewer rows than df. A part that is still large is split by Spark. The
+    join is one of sorted sides: the repeated rows compress so well that Spark would take them for small enough to broadcast.
     """
     salt = free_name([*df.columns, *small.columns], "salt")
     parts = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(parts, [*on, salt]).drop(salt)
+    return df.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).join(parts.hint("merge"), [*on, salt]).drop(salt)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
