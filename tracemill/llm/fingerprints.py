@@ -111,7 +111,8 @@ def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 6, agree: in
     """(query, fp, bits): the distinct fingerprints (column fp) within the radius of each distinct query fingerprint.
 
     A pair is made in the first table in which its keys agree and in no other, so equal keys in many tables cost no more rows.
-    Keys that many fingerprints share are dealt over `salts` parts; the queries, a small set, go to each.
+    Keys that many fingerprints share are dealt over `salts` parts; the queries, a small set, go to each. The join is one of sorted
+    sides, as the queries grow with the table and their repeated rows compress too well for Spark's estimate of a broadcast.
     """
     there, asked = (common.keep(df.select("fp").distinct()) for df in (fingerprints, queries))
     agree = agree or agreeing(there.count(), radius)
@@ -120,7 +121,7 @@ def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 6, agree: in
     def dealt(df: DataFrame, name: str, salt: Column) -> DataFrame:
         return df.select(F.col("fp").alias(name), salt.alias("salt"), F.posexplode(block_keys(F.col("fp"), radius, agree)).alias("table", "key"))
 
-    met = dealt(there, "there", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(dealt(asked.select("fp", every.alias("salt")), "asked", F.col("salt")), ["table", "key", "salt"])
+    met = dealt(there, "there", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(dealt(asked.select("fp", every.alias("salt")), "asked", F.col("salt")).hint("merge"), ["table", "key", "salt"])
     differs = F.array(*(F.col("there")[k].bitwiseXOR(F.col("asked")[k]) for k in range(WORDS)))
     bits = distance(F.col("there"), F.col("asked"))
     found = met.where(bits <= radius).withColumn("keys", block_keys(differs, radius, agree))
