@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, html_extract, langid, packing, pii, quality, secret_scan, simhash_dedup, tokens
+from . import decontam, fingerprints, html_extract, kd_clustering, langid, lexical_search, oracles, packing, pii, quality, secret_scan, simhash_dedup, suffix_dedup, tokens
 from .common import table
 
 
@@ -64,9 +64,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), accept=0.7, sample_rows=6000)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=50)
+    n_bytes, kept = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), (n_bytes - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = kd_clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+    return kd_clustering.with_inertia(found, centroids).withColumnRenamed("id", "vec_id")
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_language_id, op4_html_extraction, op5_benchmark_decontamination, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_document_fingerprints, op3_language_id, op4_html_extraction, op5_benchmark_decontamination, op6_token_counts, op7_pii, op8_secret_scan, op9_best_fit_packing, op10_quality_classifier, op11_suffix_array_dedup, op12_centroid_clustering, op13_ranked_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_suffix_array_dedup": oracles.REPEATS, "op12_centroid_clustering": oracles.clusters(), "op13_ranked_lexical_search": oracles.SEARCH}
