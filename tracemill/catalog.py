@@ -55,7 +55,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle is not None:
-            ORACLES[f.__name__] = oracle
+            ORACLES[f.__name__] = oracle.replace("WITH ", "WITH RECURSIVE ", 1) if oracle.startswith("WITH ") else oracle
         return f
 
     return add
@@ -74,15 +74,41 @@ visits AS (SELECT event_id, user_id, ts, k AS roi, CAST(trunc((86400.0::DOUBLE *
 ROIS_SQL, EPOCHS_SQL = ("(SELECT unnest(range(CAST(max(roi) + 1 AS BIGINT))) AS r FROM traces)", "(SELECT unnest(range(CAST(max(epoch) + 1 AS BIGINT))) AS e FROM traces)")
 TRACES_SQL = VISITS_SQL + ", traces AS (SELECT DISTINCT user_id, roi, epoch FROM visits), sizes AS (SELECT user_id, count(*) AS n_visits FROM traces GROUP BY 1)"
 TARGETS_SQL = TRACES_SQL + f", targets AS (SELECT user_id AS target FROM sizes WHERE n_visits >= 10 ORDER BY {u(chr(39) + 'target' + chr(39), '42', 'user_id')}, user_id LIMIT {TARGETS})"
-POOL_SQL = TARGETS_SQL + ", pool AS (SELECT target, user_id FROM targets, sizes), others AS (SELECT * FROM pool WHERE user_id <> target)"
-PAIRED_SQL = POOL_SQL + f""", pr AS (SELECT target, pair, user_id, row_number() OVER (PARTITION BY target, pair ORDER BY {u("'train'", '42', 'target', 'pair', 'user_id')}, user_id) AS r FROM others, (SELECT unnest(range({PAIRS // 2})) AS pair)),
-paired AS (SELECT target, target || '-train-' || pair AS pair_id, CASE WHEN r < {M} THEN 'common' ELSE 'out' END AS role, user_id FROM pr WHERE r <= {M}
- UNION ALL SELECT target, target || '-train-' || pair, 'in', target FROM pr WHERE r = {M})"""
+
+
+def permuted_sql(name: str, source: str, kept: str, place: str, n: str, *key: str) -> str:
+    """SQL for permute.permuted: rows `kept` of a source with the value `v`, a round of the network for each step of a recursion."""
+
+    def mix(digit: str) -> str:
+        k = "CAST('0x' || substr(h, 3 * (step % 8) + 1, 3) AS BIGINT)"
+        t = f"(({digit} + {k} * 2053 + 1) % 2147483647)"
+        return f"(((({t} * {t} + {k}) % 2147483647) * 48271 + 11) % 2147483647)"
+
+    return f"""{name}_w AS (SELECT {kept}, h, n, a, (n + a - 1) // a AS b, place // ((n + a - 1) // a) AS l, place % ((n + a - 1) // a) AS r, CAST(0 AS BIGINT) AS step
+  FROM (SELECT {kept}, CAST({place} AS BIGINT) AS place, CAST({n} AS BIGINT) AS n, CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT) AS a, md5(concat_ws('|', {', '.join(key)})) AS h FROM {source})
+ UNION ALL SELECT {kept}, h, n, a, b, CASE WHEN step % 2 = 0 THEN (l + {mix('r')}) % a ELSE l END, CASE WHEN step % 2 = 1 THEN (r + {mix('l')}) % b ELSE r END, step + 1 FROM {name}_w WHERE step = 0 OR step % 8 <> 0 OR l * b + r >= n),
+{name} AS (SELECT {kept}, l * b + r AS v FROM {name}_w WHERE step > 0 AND step % 8 = 0 AND l * b + r < n)"""
+
+
+def dealt_sql(name: str, source: str, kept: str) -> str:
+    """SQL for sampling.Dealt.at: rows (target, kept, v) of a source with the user at place v among the others of the target."""
+    return permuted_sql(f"{name}_o", f"{source}, nu", kept, "v", "n_users - 1", "'others'", "42", "target") + f""",
+{name} AS (SELECT {', '.join('o.' + c.strip() for c in kept.split(','))}, n.user_id FROM {name}_o o JOIN own USING (target) JOIN numbered n ON n.number = o.v + CASE WHEN o.v >= own.number THEN 1 ELSE 0 END)"""
+
+
+POOL_SQL = TARGETS_SQL + """, numbered AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS number FROM sizes), nu AS (SELECT count(*) AS n_users FROM sizes), own AS (SELECT user_id AS target, number FROM numbered WHERE user_id IN (SELECT target FROM targets))"""
+PAIRED_SQL = POOL_SQL + f""", pask AS (SELECT target, pair, nth, n_users FROM targets, nu, (SELECT unnest(range({PAIRS // 2})) AS pair), (SELECT unnest(range({M})) AS nth)),
+{permuted_sql('pplace', 'pask', 'target, pair, nth', 'nth', 'n_users - 1', "'train'", '42', 'target', 'pair')},
+{dealt_sql('pr', 'pplace', 'target, pair, nth')},
+paired AS (SELECT target, target || '-train-' || pair AS pair_id, CASE WHEN nth < {M - 1} THEN 'common' ELSE 'out' END AS role, user_id FROM pr
+ UNION ALL SELECT target, target || '-train-' || pair, 'in', target FROM pr WHERE nth = {M - 1})"""
+GROUPED_SQL = POOL_SQL + f""", gask AS (SELECT target, grp, nth, n_users FROM targets, nu, (SELECT unnest(range({PAIRS})) AS grp), (SELECT unnest(range({M})) AS nth)),
+{permuted_sql('gplace', 'gask', 'target, grp, nth', 'nth', 'n_users - 1', "'test'", '42', 'target', 'grp')},
+{dealt_sql('gr', 'gplace', 'target, grp, nth')},
+grouped AS (SELECT target, target || '-test-' || grp AS agg_id, CASE WHEN grp < {PAIRS // 2} THEN 1 ELSE 0 END AS label, CASE WHEN grp < {PAIRS // 2} AND nth = {M - 1} THEN target ELSE user_id END AS user_id FROM gr)"""
 PAIRCNT_SQL = PAIRED_SQL + """, pairmem AS (SELECT target, pair_id, label, user_id FROM paired, (SELECT unnest([0, 1]) AS label) WHERE role = 'common' OR (role = 'in') = (label = 1)),
 paircnt AS (SELECT target, pair_id, label, roi, epoch, count(*) AS cnt FROM pairmem JOIN traces USING (user_id) GROUP BY ALL)"""
-GROUPS_SQL = POOL_SQL + f""", gr AS (SELECT target, grp, user_id, row_number() OVER (PARTITION BY target, grp ORDER BY {u("'test'", '42', 'target', 'grp', 'user_id')}, user_id) AS r FROM others, (SELECT unnest(range({PAIRS})) AS grp)),
-grouped AS (SELECT target, target || '-test-' || grp AS agg_id, CASE WHEN grp < {PAIRS // 2} THEN 1 ELSE 0 END AS label, user_id FROM gr WHERE r <= CASE WHEN grp < {PAIRS // 2} THEN {M - 1} ELSE {M} END
- UNION ALL SELECT target, target || '-test-' || grp, 1, target FROM targets, (SELECT unnest(range({PAIRS // 2})) AS grp)),
+GROUPS_SQL = GROUPED_SQL + """,
 cnts AS (SELECT target, agg_id, label, roi, epoch, count(*) AS cnt FROM grouped JOIN traces USING (user_id) GROUP BY ALL)"""
 
 
@@ -108,8 +134,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.targets(prep.sizes(cells(spark, sf_dir)), TARGETS, 10)
 
 
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.sizes(cells(spark, sf_dir)).select("user_id").crossJoin(F.broadcast(targets(spark, sf_dir)))
+def pool(spark: SparkSession, sf_dir: str) -> sampling.Dealt:
+    return sampling.everyone(targets(spark, sf_dir), prep.sizes(cells(spark, sf_dir)))
 
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,9 +319,16 @@ def sample_targets_strata(spark, sf_dir):
     return sampling.targets_by_stratum(prep.size_blocks(cells(spark, sf_dir), 4), 2)
 
 
-@query("WITH " + POOL_SQL + f""" SELECT target, user_id, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN user_id = target THEN -1.0::DOUBLE ELSE {u("'ref'", '42', 'target', 'user_id')} END, user_id) <= 10 AS in_reference FROM pool""")
+REFERENCE_SQL = POOL_SQL + f""", rask AS (SELECT target, unnest(range(n_users - 1)) AS v FROM targets, nu), rp AS (SELECT target, v, v AS place FROM rask), {dealt_sql('rr', 'rp', 'target, place')}"""
+
+
+@query("WITH " + REFERENCE_SQL + " SELECT target, user_id, place < 9 AS in_reference FROM rr UNION ALL SELECT target, target, true FROM targets")
 def sample_reference(spark, sf_dir):
-    return sampling.reference(targets(spark, sf_dir), prep.sizes(cells(spark, sf_dir)), 10)
+    """Everybody, by target: its reference of 10 with itself, and the rest."""
+    t = targets(spark, sf_dir)
+    inside, rest = sampling.reference(t, prep.sizes(cells(spark, sf_dir)), 10)
+    own = t.select("target", F.col("target").alias("user_id"))
+    return inside.listed().unionByName(own).withColumn("in_reference", F.lit(True)).unionByName(rest.listed().withColumn("in_reference", F.lit(False)))
 
 
 STATIC = f"""static AS (SELECT user_id FROM sizes ORDER BY {u("'static'", '42', 'user_id')}, user_id LIMIT 10)"""

@@ -1,16 +1,22 @@
-"""Targets, references and groups of users, drawn by keyed ranks: exact sizes, the same on every run and any cluster.
+"""Targets, references and groups of users, drawn without replacement: exact sizes, the same on every run and any cluster.
 
-Groups rank a pool of users by a draw of their own. Before ranking, only users below a threshold of the draw are kept, so
-wide that with all but vanishing probability (eight standard deviations) enough remain, and the rank window sees a little
-over the group's size, not the pool.
+Users are numbered from 0. For each target, a keyed permutation of the other users' numbers deals them out: the first ones are its
+reference, the rest its test pool, both as a range of places, so neither is written down. A group's members are the first
+places of a permutation of its own over such a range. Each is worked out by itself and joined to the table of users: the rows made
+are the members, whatever the number of users. A pool that has fewer users than a group needs raises.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from ..functions.permute import permuted
+from ..stages import keep
+from .prep import dense_index
 
 
 def _lowest(df: DataFrame, by: list[str], n: Column | int, order: str = "_u") -> DataFrame:
@@ -18,11 +24,6 @@ def _lowest(df: DataFrame, by: list[str], n: Column | int, order: str = "_u") ->
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "user_id"))).where(F.col("_rank") <= n)
 
 
-def _enough(pool: Column, n: int) -> Column:
-    """Threshold of a draw below which at least n of the pool lie, but for a chance of 1e-14."""
-    return F.lit(n + 8.0 * n**0.5 + 32.0) / pool
-
-
 def targets(sizes: DataFrame, n: int, min_visits: int = 10, seed: int = 42) -> DataFrame:
     """n users with at least min_visits visited cells, as (target)."""
     fit = sizes.where(F.col("n_visits") >= min_visits).withColumn("_u", uniform("target", seed, F.col("user_id")))
@@ -35,11 +36,92 @@ def targets_by_stratum(strata: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return _lowest(drawn, ["block"], n).select(F.col("user_id").alias("target"), "block")
 
 
-def reference(targets: DataFrame, users: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """(target, user_id, in_reference): for each target, its reference of `size` users with it, and the rest as test pool."""
-    drawn = users.select("user_id").crossJoin(F.broadcast(targets.select("target"))).withColumn("_u", F.when(F.col("user_id") == F.col("target"), -1.0).otherwise(uniform("ref", seed, F.col("target"), F.col("user_id"))))
-    near = _lowest(drawn.join(F.broadcast(users.agg(F.count("*").alias("_n")))).where(F.col("_u") < _enough(F.col("_n"), size)), ["target"], size).select("target", "user_id", F.lit(True).alias("_in"))
-    return drawn.join(near, ["target", "user_id"], "left").select("target", "user_id", F.coalesce("_in", F.lit(False)).alias("in_reference"))
+@dataclass(frozen=True)
+class Dealt:
+    """For each target of `targets` (target, number), the users other than it at places first..first+size-1 of its permutation."""
+
+    targets: DataFrame
+    users: DataFrame
+    n_users: int
+    first: int
+    size: int
+    seed: int
+
+    def sizes(self) -> DataFrame:
+        """(target, size)"""
+        return self.targets.select("target", F.lit(self.size).cast("long").alias("size"))
+
+    def at(self, asked: DataFrame) -> DataFrame:
+        """asked(target, place and others), places from 0 within the range, with the user_id there in place of `place`."""
+        numbered = asked.join(F.broadcast(self.targets), "target")  # a stated set
+        other = permuted(F.col("place") + self.first, max(1, self.n_users - 1), "others", self.seed, F.col("target"))
+        # the target's own number is left out of the count
+        found = numbered.withColumn("_other", other).withColumn("number", F.col("_other") + (F.col("_other") >= F.col("_number")).cast("long"))
+        return found.join(self.users, "number").drop("number", "_number", "_other", "place")
+
+    def listed(self) -> DataFrame:
+        """(target, user_id): all of them."""
+        if not self.size:
+            return self.targets.join(self.users).select("target", "user_id").limit(0)
+        return self.at(self.targets.select("target").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.size - 1).cast("long"))))).select("target", "user_id")
+
+
+class Listed:
+    """A pool given by its rows pool(target, user_id); the target itself is not drawn from it."""
+
+    def __init__(self, pool: DataFrame) -> None:
+        others = pool.where(F.col("user_id") != F.col("target")).select("target", "user_id")
+        self._heads = pool.select("target").distinct()
+        self._others = keep(dense_index(others, "target", "user_id", name="_nth"))
+        self._sizes = self._others.groupBy("target").agg(F.count("*").alias("size"), F.min("_nth").alias("_first"))
+
+    def sizes(self) -> DataFrame:
+        return self._heads.join(self._sizes, "target", "left").select("target", F.coalesce("size", F.lit(0).cast("long")).alias("size"))
+
+    def at(self, asked: DataFrame) -> DataFrame:
+        placed = asked.join(self._sizes.select("target", "_first"), "target").withColumn("_nth", F.col("place") + F.col("_first"))
+        return placed.join(self._others.select("_nth", "user_id"), "_nth").drop("_nth", "_first", "place")
+
+
+@dataclass(frozen=True)
+class Synthetic:
+    """Users -1..-size of each target of heads(target), as synthesis makes them, also those without a visit."""
+
+    heads: DataFrame
+    size: int
+
+    def sizes(self) -> DataFrame:
+        return self.heads.select("target", F.lit(self.size).cast("long").alias("size"))
+
+    def at(self, asked: DataFrame) -> DataFrame:
+        return asked.withColumn("user_id", -F.col("place") - 1).drop("place")
+
+
+Pool = Dealt | Listed | Synthetic
+
+
+def numbered(users: DataFrame) -> tuple[DataFrame, int]:
+    """((user_id, number) in the order of ids, how many): the table that draws are joined with."""
+    table = keep(dense_index(users.select("user_id").distinct(), "user_id", name="number"))
+    return table, table.count()
+
+
+def everyone(targets: DataFrame, users: DataFrame, seed: int = 42) -> Dealt:
+    """All users but the target, as each target's pool."""
+    return reference(targets, users, 0, seed)[1]
+
+
+def reference(targets: DataFrame, users: DataFrame, size: int, seed: int = 42) -> tuple[Dealt, Dealt]:
+    """(reference, test pool) of each target: the reference has `size` users, of whom the target is one and not listed here; the rest is the pool.
+
+    Without a reference (size 0) all others are the pool. More than there are users raises.
+    """
+    table, n = numbered(users)
+    if size > n:
+        raise ValueError(f"a reference of {size} of {n} users")
+    own = targets.select(F.col("target").alias("user_id")).join(table, "user_id").select(F.col("user_id").alias("target"), F.col("number").alias("_number"))
+    taken = max(0, size - 1)
+    return Dealt(own, table, n, 0, taken, seed), Dealt(own, table, n, taken, max(0, n - 1 - taken), seed)
 
 
 def reference_static(users: DataFrame, size: int, seed: int = 42) -> DataFrame:
@@ -59,38 +141,44 @@ def include_target(static: DataFrame, targets: DataFrame, seed: int = 42) -> Dat
     return left.unionByName(there.where(~F.col("_there")).select("target", F.col("target").alias("user_id")))
 
 
-def _drawn(pool: DataFrame, split: str, groups: Column, group: str, n: int, seed: int) -> DataFrame:
-    """pool(target, user_id) for each group, those with a small enough draw."""
-    others = pool.where(F.col("user_id") != F.col("target"))
-    counts = others.groupBy("target").agg(F.count("*").alias("_n"))
-    drawn = others.join(F.broadcast(counts), "target").withColumn(group, F.explode(groups))
-    drawn = drawn.withColumn("_u", uniform(split, seed, F.col("target"), F.col(group), F.col("user_id")))
-    return drawn.where(F.col("_u") < _enough(F.col("_n"), n)).select("target", group, "user_id", "_u")
+def _drawn(pool: Pool | DataFrame, split: str, group: str, n_groups: int, size: int, seed: int) -> DataFrame:
+    """(target, group, nth, user_id): `size` different users of the pool for each of n_groups groups of each target, nth from 0."""
+    pool = Listed(pool) if isinstance(pool, DataFrame) else pool
+    short = pool.sizes().where(F.col("size") < size).orderBy("target").limit(5).collect()
+    if short:
+        raise ValueError(f"groups need {size} users besides the target; pools of {split} have {[(r['target'], r['size']) for r in short]}")
+    heads = pool.sizes().withColumn(group, F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    asked = heads.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    return pool.at(asked.select("target", group, "nth", permuted(F.col("nth"), F.col("size"), split, seed, F.col("target"), F.col(group)).alias("place")))
 
 
-def groups_paired(pool: DataFrame, split: str, size: int, n: int, seed: int = 42) -> DataFrame:
-    """Members of n/2 pairs of groups for each target of pool(target, user_id): (target, split, pair_id, role, user_id).
+def groups_paired(pool: Pool | DataFrame, split: str, size: int, n: int, seed: int = 42) -> DataFrame:
+    """Members of n/2 pairs of groups for each target of a pool, or of pool(target, user_id): (target, split, pair_id, role, user_id).
 
-    Both groups of a pair have its `common` members; IN also has the target (role `in`), OUT another user (role `out`).
+    Both groups of a pair have its `common` members; IN also has the target (role `in`), OUT another user (role `out`). A pool of
+    fewer than `size` users besides the target raises.
     """
     if n % 2:
         raise ValueError("pairs need an even number of groups")
-    ranked = _lowest(_drawn(pool, split, F.sequence(F.lit(0), F.lit(n // 2 - 1)), "pair", size, seed), ["target", "pair"], size)
+    drawn = _drawn(pool, split, "pair", n // 2, size, seed)
     pair_id = F.concat_ws("-", "target", F.lit(split), "pair").alias("pair_id")
-    others = ranked.select("target", F.lit(split).alias("split"), pair_id, F.when(F.col("_rank") < size, "common").otherwise("out").alias("role"), "user_id")
-    pairs = others.where("role = 'out'")
-    return others.unionByName(pairs.select("target", "split", "pair_id", F.lit("in").alias("role"), F.col("target").alias("user_id")))
+    return drawn.select("target", F.lit(split).alias("split"), pair_id, F.explode(
+        F.when(F.col("nth") < size - 1, F.array(F.struct(F.lit("common").alias("role"), "user_id")))
+        .otherwise(F.array(F.struct(F.lit("out").alias("role"), "user_id"), F.struct(F.lit("in").alias("role"), F.col("target").alias("user_id"))))
+    ).alias("_m")).select("target", "split", "pair_id", "_m.role", "_m.user_id")
+
 
+def groups(pool: Pool | DataFrame, split: str, size: int, n: int, seed: int = 42) -> DataFrame:
+    """Members of n independent groups for each target, half with it: (target, split, agg_id, label, user_id).
 
-def groups(pool: DataFrame, split: str, size: int, n: int, seed: int = 42) -> DataFrame:
-    """Members of n independent groups for each target, half with it: (target, split, agg_id, label, user_id)."""
+    A pool of fewer than `size` users besides the target raises.
+    """
     if n % 2:
         raise ValueError("half of the groups have the target, so their number is even")
-    ranked = _lowest(_drawn(pool, split, F.sequence(F.lit(0), F.lit(n - 1)), "grp", size, seed), ["target", "grp"], F.when(F.col("grp") < n // 2, size - 1).otherwise(size))
     agg_id, label = F.concat_ws("-", "target", F.lit(split), "grp").alias("agg_id"), (F.col("grp") < n // 2).cast("int").alias("label")
-    others = ranked.select("target", F.lit(split).alias("split"), agg_id, label, "user_id")
-    heads = pool.select("target").distinct().withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n // 2 - 1))))
-    return others.unionByName(heads.select("target", F.lit(split).alias("split"), agg_id, label, F.col("target").alias("user_id")))
+    drawn = _drawn(pool, split, "grp", n, size, seed)
+    user = F.when((F.col("grp") < n // 2) & (F.col("nth") == size - 1), F.col("target")).otherwise(F.col("user_id"))  # the target is the last of its groups
+    return drawn.select("target", F.lit(split).alias("split"), agg_id, label, user.alias("user_id"))
 
 
 def members(paired: DataFrame) -> DataFrame:

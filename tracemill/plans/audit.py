@@ -150,7 +150,7 @@ def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjac
     # groups of synthetic users with the target's known part, for each source aggregate as a "target" of its own
     known = partial.known(cells, config.partial, n_epochs, config.partial_fraction, config.top_k, config.seed)
     sources = source.withColumn("_key", F.xxhash64("target", "agg_id"))
-    pool = users.join(sources, keys).select(F.col("_key").alias("target"), "user_id").distinct()
+    pool = sampling.Synthetic(sources.select(F.col("_key").alias("target")), config.n_synthetic)
     tagged = users.join(sources, keys).select(F.col("_key").alias("target"), "user_id", "roi", "epoch")
     own = known.join(sources, "target").select(F.col("_key").alias("target"), F.col("_key").alias("user_id"), "roi", "epoch")
     singles = sampling.groups(pool, "validation", config.group_size, config.validation_size, config.seed)

@@ -15,8 +15,7 @@ def membership(cells: DataFrame, config: BuildConfig) -> tuple[DataFrame, DataFr
     """(paired training members with roles, validation and test members): who is in which group."""
     sizes = prep.sizes(cells)
     chosen = sampling.targets(sizes, config.n_targets, config.min_visits, config.seed)
-    split = sampling.reference(chosen, sizes, config.reference_size, config.seed)
-    pool, rest = split.where("in_reference"), split.where(~F.col("in_reference")).select("target", "user_id")
+    pool, rest = sampling.reference(chosen, sizes, config.reference_size, config.seed)
     train = sampling.groups_paired(pool, "train", config.group_size, config.train, config.seed)
     validation = sampling.groups(pool, "validation", config.group_size, config.validation, config.seed)
     test = sampling.groups(rest, "test", config.group_size, config.test, config.seed)
