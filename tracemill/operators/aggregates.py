@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 
-def group_counts(members: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of the members' traces: keys, roi, epoch, cnt. A join on users and a hash aggregate with partial sums."""
-    joined = members.select(*keys, "user_id").join(cells.select("user_id", "roi", "epoch"), "user_id")
-    return joined.groupBy(*keys, "roi", "epoch").agg(F.count("*").alias("cnt"))
 
+def group_counts(members: DataFrame, cells: DataFrame, keys: list[str], n_epochs: int | None = None) -> DataFrame:
+    """Sums of the members' traces: keys, roi, epoch, cnt. Bitmaps of whole traces are shuffled and added, not cells.
 
-def pair_counts(paired: DataFrame, cells: DataFrame) -> DataFrame:
+    cells: user_id, roi, epoch from 0, each cell once. n_epochs: above every epoch; where it is not given, one row tells it.
+    """
+    if n_epochs is None:
+        n_epochs = (cells.agg(F.max("epoch")).first()[0] or 0) + 1
+    return bitmaps.group_counts(members, bitmaps.of_traces(cells, n_epochs), keys, n_epochs)
+
+
+def pair_counts(paired: DataFrame, cells: DataFrame, n_epochs: int | None = None) -> DataFrame:
     """Aggregates of pairs of groups: the common members are summed once, then each side's own member is added.
 
     paired: groups_paired rows. Returns target, split, pair_id, label, roi, epoch, cnt.
     """
     keys = ["target", "split", "pair_id"]
-    common = group_counts(paired.where("role = 'common'"), cells, keys).withColumn("label", F.explode(F.array(F.lit(1), F.lit(0))))
-    own = group_counts(paired.where("role <> 'common'").withColumn("label", (F.col("role") == "in").cast("int")), cells, [*keys, "label"])
-    both = common.unionByName(own)
+    sides = {"common": F.array(F.lit(1), F.lit(0)), "in": F.array(F.lit(1)), "out": F.array(F.lit(0))}
+    labels = F.when(F.col("role") == "common", sides["common"]).when(F.col("role") == "in", sides["in"]).otherwise(sides["out"])
+    both = group_counts(paired, cells, [*keys, "role"], n_epochs).withColumn("label", F.explode(labels))
     return both.groupBy(*keys, "label", "roi", "epoch").agg(F.sum("cnt").alias("cnt"))
 
 

@@ -25,8 +25,9 @@ def membership(cells: DataFrame, config: BuildConfig) -> tuple[DataFrame, DataFr
 def bundle(cells: DataFrame, config: BuildConfig) -> tuple[DataFrame, DataFrame]:
     """(groups, aggregates) of a bundle: one row for each group, and its non-empty cells."""
     train, others = membership(cells, config)
-    pairs = aggregates.pair_counts(train, cells).withColumn("agg_id", F.concat_ws("-", "pair_id", "label"))
-    singles = aggregates.group_counts(others, cells, ["target", "split", "agg_id", "label"]).withColumn("pair_id", F.col("agg_id"))
+    n_epochs = (cells.agg(F.max("epoch")).first()[0] or 0) + 1
+    pairs = aggregates.pair_counts(train, cells, n_epochs).withColumn("agg_id", F.concat_ws("-", "pair_id", "label"))
+    singles = aggregates.group_counts(others, cells, ["target", "split", "agg_id", "label"], n_epochs).withColumn("pair_id", F.col("agg_id"))
     columns = [*KEYS, "roi", "epoch", "cnt"]
     groups = sampling.members(train).select(*KEYS).distinct().unionByName(others.withColumn("pair_id", F.col("agg_id")).select(*KEYS).distinct())
     return groups, pairs.select(*columns).unionByName(singles.select(*columns))
