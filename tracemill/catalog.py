@@ -397,11 +397,19 @@ def privacy_suppress(spark, sf_dir):
 
 
 def noisy_sql(source: str, keys: str, noise: list[str], scale: float, k: int) -> str:
-    x = u("'noise'", "42", *noise, "roi", "epoch")
-    return f""", ids AS (SELECT DISTINCT {keys} FROM {source}), full_grid AS (SELECT {keys}, CAST(r AS INT) AS roi, CAST(e AS INT) AS epoch FROM ids, {ROIS_SQL} t1, {EPOCHS_SQL} t2),
- dr AS (SELECT {keys}, roi, epoch, coalesce(cnt, 0) AS cnt, {x} AS u FROM full_grid LEFT JOIN {source} USING ({keys}, roi, epoch)),
- rel AS (SELECT {keys}, roi, epoch, CAST(greatest(0, least({M}, cnt + CAST(trunc(-{scale}::DOUBLE * sign(u - 0.5::DOUBLE) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(u - 0.5::DOUBLE))) AS BIGINT))) AS BIGINT) AS cnt FROM dr)
- SELECT {keys}, roi, epoch, cnt FROM rel WHERE cnt > {k}"""
+    skips, n = privacy.Skips(scale, k, 1 << 40), ", ".join(noise)
+    x, skip, tail = (u(f"'{kind}'", "42", *noise, *at) for kind, at in (("noise", ("roi", "epoch")), ("skip", ("b", "i")), ("tail", ("b", "i"))))
+    mean = f"(least({skips.block}, n_cells) * {skips.p!r}::DOUBLE)"
+    return f""", ids AS (SELECT DISTINCT {keys} FROM {source}), grid AS (SELECT CAST(max(epoch) + 1 AS BIGINT) AS n_epochs, CAST((max(roi) + 1) * (max(epoch) + 1) AS BIGINT) AS n_cells FROM traces),
+ counted AS (SELECT DISTINCT {n}, roi, epoch FROM {source}),
+ dr AS (SELECT {keys}, roi, epoch, coalesce(cnt, 0) AS cnt, {x} AS u FROM (SELECT {keys}, roi, epoch FROM ids JOIN counted USING ({n})) LEFT JOIN {source} USING ({keys}, roi, epoch)),
+ rel AS (SELECT {keys}, roi, epoch, CAST(greatest(0, least({M}, cnt + CAST(trunc(-{scale}::DOUBLE * sign(u - 0.5::DOUBLE) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(u - 0.5::DOUBLE))) AS BIGINT))) AS BIGINT) AS cnt FROM dr),
+ sk0 AS (SELECT {n}, n_cells, n_epochs, unnest(range((n_cells - 1) // {skips.block} + 1)) AS b FROM (SELECT DISTINCT {n} FROM ids), grid),
+ sk1 AS (SELECT *, unnest(range(CAST(ceil({mean} + 8.0::DOUBLE * sqrt({mean}) + 32.0::DOUBLE) AS BIGINT))) AS i FROM sk0),
+ sk2 AS (SELECT *, sum(CAST(floor(ln({skip}) / {math.log(1.0 - skips.p)!r}::DOUBLE) AS BIGINT) + 1) OVER (PARTITION BY {n}, b ORDER BY i) - 1 AS pos FROM sk1),
+ sk3 AS (SELECT {n}, CAST((b * {skips.block} + pos) // n_epochs AS INT) AS roi, CAST((b * {skips.block} + pos) % n_epochs AS INT) AS epoch, CAST(trunc(-{scale}::DOUBLE * ln(1.0::DOUBLE - {tail})) AS BIGINT) + {k + 1} AS z FROM sk2 WHERE pos < {skips.block} AND b * {skips.block} + pos < n_cells),
+ risen AS (SELECT {keys}, roi, epoch, CAST(least({M}, z) AS BIGINT) AS cnt FROM ids JOIN (SELECT * FROM sk3 ANTI JOIN counted USING ({n}, roi, epoch)) USING ({n}))
+ SELECT {keys}, roi, epoch, cnt FROM rel WHERE cnt > {k} UNION ALL SELECT {keys}, roi, epoch, cnt FROM risen WHERE cnt > {k}"""
 
 
 @query("WITH " + GROUPS_SQL + noisy_sql("cnts", "target, agg_id, label", ["agg_id"], 1.0, 0))
