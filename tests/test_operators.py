@@ -237,3 +237,41 @@ def test_dense_index(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"))
     got = prep.dense_index(df.repartition(9), "v").collect()
     assert all(r.v == r.idx for r in got) and len(got) == 1000
+
+
+def test_draws_by_an_interval_index(spark):
+    """As a search in the distribution function, with zero shares, one value, many keys; each draw once; two intervals a draw on average."""
+    from tracemill.operators import synthesis
+
+    rng = np.random.default_rng(8)
+    shares, rows = {}, []
+    for key, n in (("a", 1), ("b", 7), ("c", 400)):
+        p = rng.random(n) ** 6 * (rng.random(n) < 0.6) + (np.arange(n) == 0) * 1e-3
+        shares[key] = p / p.sum()
+        rows += [(key, i, float(x)) for i, x in enumerate(shares[key])]
+    df = spark.createDataFrame(rows, "k string, v int, p double")
+    asked = [(k, i, float(x)) for k in "abc" for i, x in enumerate([0.0, 1e-12, 1 - 1e-12, *rng.random(300)])] + [("none", 0, 0.5)]
+    draws_ = spark.createDataFrame(asked, "k string, i int, u double")
+    table = synthesis.cumulative(df, "v", ["k"])
+    ends = {k: [(r.hi, r.v) for r in table.where(F.col("k") == k).orderBy("v").collect()] for k in "abc"}
+    want = sorted((k, i, next(v for hi, v in ends[k] if hi > u)) for k, i, u in asked if k in ends)
+    for buckets in (None, 16):
+        assert sorted((r.k, r.i, r.v) for r in synthesis.draw(draws_, table, "v", ["k"], buckets=buckets).collect()) == want
+    assert synthesis.indexed(table, "v", ["k"]).where("k = 'c'").count() <= 2 * 400
+    one = synthesis.draw(draws_.where("k = 'b'").drop("k"), table.where("k = 'b'").drop("k"), "v", []).collect()
+    assert sorted(("b", r.i, r.v) for r in one) == [w for w in want if w[0] == "b"]
+
+
+def test_draws_from_many_values_take_constant_work(spark):
+    """10^5 values and 2 x 10^5 draws: the join of the index makes about two rows a draw."""
+    from tracemill.operators import synthesis
+
+    n = 100_000
+    shares = spark.range(n).select(F.col("id").cast("int").alias("v"), (F.pow(F.lit(1.0) / (F.col("id") + 1), 1.1)).alias("w"))
+    shares = shares.crossJoin(shares.agg(F.sum("w").alias("s"))).select("v", (F.col("w") / F.col("s")).alias("p"))
+    index = synthesis.indexed(synthesis.cumulative(shares, "v", []), "v", [])
+    asked = spark.range(200_000).select("id", draws.uniform("many", F.col("id")).alias("u")).withColumn("bucket", F.floor(F.col("u") * n))
+    assert asked.join(index, "bucket").count() < 3 * 200_000
+    got = synthesis.draw(asked.drop("bucket"), synthesis.cumulative(shares, "v", []), "v", [])
+    first = shares.where("v = 0").first().p
+    assert got.count() == 200_000 and abs(got.where("v = 0").count() / 200_000 - first) < 5 * (first / 200_000) ** 0.5

@@ -14,21 +14,38 @@ from .marginals import activity_draw
 
 
 def cumulative(shares: DataFrame, axis: str, keys: list[str], p: str = "p") -> DataFrame:
-    """(keys, axis, lo, hi): each value's interval of the distribution function."""
+    """(keys, axis, lo, hi): each value's interval of the distribution function; together they part [0, 2), the last one reaching beyond 1."""
     up = Window.partitionBy(*keys).orderBy(axis)
-    hi = F.sum(p).over(up.rowsBetween(Window.unboundedPreceding, 0))
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(axis))) == 1
-    return shares.select(*keys, axis, (hi - F.col(p)).alias("lo"), F.when(last, 2.0).otherwise(hi).alias("hi"))
+    ends = shares.select(*keys, axis, F.when(last, 2.0).otherwise(F.sum(p).over(up.rowsBetween(Window.unboundedPreceding, 0))).alias("hi"))
+    return ends.select(*keys, axis, F.coalesce(F.lag("hi").over(up), F.lit(0.0)).alias("lo"), "hi")
 
 
-def draw(draws: DataFrame, intervals: DataFrame, axis: str, keys: list[str], u: str = "u") -> DataFrame:
-    """draws with the value whose interval holds the draw: one row in, one row out.
+def indexed(intervals: DataFrame, axis: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """(keys, bucket, n, axis, lo, hi): the intervals by the equal parts of [0, 1) that they reach into, n parts for each key.
 
-    The intervals of a key go as one sorted array to its draws (hundreds of values), where a search finds the place.
+    With as many parts as intervals (the default) the rows are at most twice the intervals, so an average part has two.
     """
-    tables = intervals.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hi", axis))).alias("_cdf")) if keys else intervals.agg(F.sort_array(F.collect_list(F.struct("hi", axis))).alias("_cdf"))
-    joined = draws.join(tables, keys) if keys else draws.crossJoin(F.broadcast(tables))
-    return joined.withColumn(axis, F.get(F.filter("_cdf", lambda x: x["hi"] > F.col(u)), F.lit(0))[axis]).drop("_cdf")
+    n = F.count("*").over(Window.partitionBy(*keys)) if buckets is None else F.lit(buckets).cast("long")
+    part = lambda x: F.least(F.floor(F.col(x) * F.col("n")), F.col("n") - 1)
+    return intervals.withColumn("n", n).where("lo < hi").withColumn("bucket", F.explode(F.sequence(part("lo"), part("hi")))).select(*keys, "bucket", "n", axis, "lo", "hi")
+
+
+def draw(draws: DataFrame, intervals: DataFrame, axis: str, keys: list[str], u: str = "u", buckets: int | None = None) -> DataFrame:
+    """draws with the value whose interval holds the draw: one row in, one row out, for keys that have intervals.
+
+    An index of the intervals is joined on the part of [0, 1) that the draw is in, so a draw meets two intervals on average, whatever
+    their number, and no table of them travels with the draws.
+    """
+    index = indexed(intervals, axis, keys, buckets)
+    if buckets is not None:
+        asked = draws.withColumn("_n", F.lit(buckets).cast("long"))
+    elif keys:
+        asked = draws.join(intervals.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    else:
+        asked = draws.crossJoin(F.broadcast(intervals.agg(F.count("*").alias("_n"))))
+    asked = asked.withColumn("bucket", F.floor(F.col(u) * F.col("_n"))).drop("_n")
+    return asked.join(index.drop("n"), [*keys, "bucket"]).where((F.col("lo") <= F.col(u)) & (F.col(u) < F.col("hi"))).drop("bucket", "lo", "hi")
 
 
 def grow(start: int, size: int, adjacency: dict[int, list[int]], key: str, tries: int = 50) -> list[int]:
@@ -116,7 +133,7 @@ def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFra
         active = grown.select(*keys, "user_id", n_visits.alias("_n"))
     visits = active.where(f"_n between 1 and {HEAVY}").withColumn("visit", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     visits = visits.select(*keys, "user_id", "visit", uniform("roi", seed, *key_cols, F.col("user_id"), F.col("visit")).alias("u"))
-    placed = draw(visits, cumulative(inside, "roi", [*keys, "user_id"]), "roi", [*keys, "user_id"])
+    placed = draw(visits, cumulative(inside, "roi", [*keys, "user_id"]), "roi", [*keys, "user_id"], buckets=cluster_size)
     timed = placed.withColumn("u", uniform("epoch", seed, *key_cols, F.col("user_id"), F.col("visit")))
     light = draw(timed, cumulative(epoch_shares, "epoch", keys), "epoch", keys).select(*keys, "user_id", "roi", "epoch").distinct()
     times = epoch_shares.select(*keys, "epoch", F.col("p").alias("q"))
