@@ -142,25 +142,6 @@ def test_shared_places_are_neighbours(spark):
     assert {(0, 1), (1, 0), (0, 2), (1, 2), (2, 1), (2, 3)} <= near
 
 
-def test_classifier():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(200, 30))
-    y = (x[:, 0] - x[:, 3] > 0).astype(float)
-    m = classify.Logistic().fit(x[:150], y[:150])
-    assert ((m.scores(x[150:]) >= 0.5) == y[150:]).mean() > 0.9
-    kept = classify.Components(0.9, x[:20])(x)
-    assert kept.shape[1] < 20
-
-
-@pytest.mark.parametrize("kind", ["RF", "MLP"])
-def test_spark_ml_classifiers(spark, kind):
-    rng = np.random.default_rng(1)
-    data = [(1, ["train", "validation", "test"][k % 3], f"a{k}", k // 3 % 2, [0, 1, 2], [float(k // 3 % 2 * 3 + rng.random()), float(rng.random()), 1.0]) for k in range(60)]
-    rows = spark.createDataFrame(data, "target long, split string, agg_id string, label int, idx array<int>, cnt array<double>")
-    got = classify.predict(rows, config.AuditConfig(classifier=kind)).toPandas()
-    assert len(got) == 20 and ((got["y"] == got["pred"]).mean() >= 0.8)
-
-
 def test_config():
     c = config.AuditConfig(suppress=2).coupled()
     assert c.log_compression and c.rf_trees is None and c.partial_fraction is None and not c.power_transform
