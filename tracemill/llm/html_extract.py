@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -44,8 +45,9 @@ BLOCKS = frozenset(
 INLINE = frozenset("b i em strong a span font u small code".split())
 #: Elements that end tags of other elements do not close.
 BARRIERS = frozenset("article main table body".split())
-#: Elements and roles that are boilerplate, and names in class or id that are when they stand alone or with qualifiers only.
-DROPPED = frozenset("nav footer aside form button dialog menu search".split()) | UNSEEN
+#: Elements that are boilerplate; elements, roles and names in class or id (alone or with qualifiers only) that are unless they hold most of the page.
+DROPPED = frozenset("nav footer aside button menu search".split()) | UNSEEN
+WRAPPERS = frozenset("form dialog".split())
 ROLES = frozenset("navigation banner complementary contentinfo search menu menubar dialog alertdialog form".split())
 NAMES = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent notice popup modal "
@@ -74,27 +76,27 @@ def says_boilerplate(names: str) -> bool:
 
 
 def boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its tag, role or being hidden, and whether its class or id says so."""
-    if tag in DROPPED:
-        return True, False
+    """Whether an element is boilerplate by its tag, and whether its kind, role, class or id or being hidden says so."""
+    if tag in DROPPED or tag in WRAPPERS:
+        return tag in DROPPED, tag in WRAPPERS
     if not attributes or tag in ("html", "body", "article", "main") or not TELLING.search(attributes):
         return False, False
     named = False
     for name, *value in ATTRIBUTES.findall(attributes):
         name, text = name.lower(), "".join(value)
-        if name == "hidden" or name == "role" and text.strip().lower() in ROLES:
-            return True, False
-        named = named or name in ("class", "id") and says_boilerplate(text)
+        named = named or name == "hidden" or name == "role" and text.strip().lower() in ROLES or name in ("class", "id") and says_boilerplate(text)
     return False, named
 
 
 class Open(NamedTuple):
-    """An open element: its tag, whether it is boilerplate or within such, its first token, and where a p is that a block closes, or -1."""
+    """An open element: its tag, whether it is boilerplate or within such, its first token, where a p is that a block closes, or -1, and
+    whether something says that it is boilerplate."""
 
     tag: str
     drop: bool
     first: int
     p: int
+    named: bool
 
 
 class Page:
@@ -111,11 +113,10 @@ class Page:
         self.drop: list[bool] = []
         self.block: list[bool] = []
         self.elements: list[tuple[int, int]] = []
-        self.named: list[tuple[int, int]] = []  # outermost elements whose class says boilerplate, as (first token, end)
+        self.named: list[tuple[int, int]] = []  # elements that something says are boilerplate, as (first token, end)
         self.stack: list[Open] = []
         self.places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
         self.barriers: list[int] = []
-        self.named_at = -1  # where in the stack the outermost element named boilerplate is
         stack, at, low, last = self.stack, 0, None, page.rfind(">")
         while m := TOKEN.match(page, at):
             if m.group() == "<" and page[at + 1 : at + 2].isalpha() or at > last and m.group()[:1] == "<" and not m.group().startswith("<!--"):
@@ -138,16 +139,14 @@ class Page:
             elif tag in ("li", "td", "th", "tr", "option", "dd", "dt", "a") and self.places[tag] and (tag == "a" and self.in_link() or stack[-1].tag == tag):
                 self.pop_to(self.places[tag][-1])
             inside = bool(stack) and stack[-1].drop
-            self.add(f"<{tag}{' bad' if (bad or named) and tag not in DROPPED else ''}", 1, None, bad or inside, tag in BLOCKS)
+            self.add(f"<{tag}{' bad' if (bad or named) and tag not in DROPPED | WRAPPERS else ''}", 1, None, bad or inside, tag in BLOCKS)
             if tag in VOID or m.group(3).endswith("/") and tag not in BLOCKS:
                 continue
             here = len(stack)
-            if named and self.named_at < 0 and not (bad or inside):
-                self.named_at = here
             if tag in BARRIERS:
                 self.barriers.append(here)
             self.places[tag].append(here)
-            stack.append(Open(tag, bad or inside, len(self.kinds) - 1, here if tag == "p" else stack[-1].p if tag in INLINE and stack else -1))
+            stack.append(Open(tag, bad or inside, len(self.kinds) - 1, here if tag == "p" else stack[-1].p if tag in INLINE and stack else -1, named and not (bad or inside)))
             if tag in RAW or tag == "title" and self.places["head"]:
                 low = low or page.lower() if page.isascii() else low or re.sub(r"[A-Z]+", lambda x: x.group().lower(), page)
                 end = low.find(f"</{tag}", at)
@@ -178,16 +177,15 @@ class Page:
     def pop_to(self, depth: int) -> None:
         """Close open elements until only `depth` are left."""
         while len(self.stack) > depth:
-            tag, drop, first, _ = self.stack.pop()
+            tag, drop, first, _, named = self.stack.pop()
             self.places[tag].pop()
             if tag in BARRIERS:
                 self.barriers.pop()
             self.add(f"</{tag}", 1, None, drop, tag in BLOCKS)
             if tag in ("article", "main"):
                 self.elements.append((first, len(self.kinds)))
-            if len(self.stack) == self.named_at:
+            if named:
                 self.named.append((first, len(self.kinds)))
-                self.named_at = -1
 
     def close(self, tag: str) -> None:
         places = self.places.get(tag)
@@ -198,11 +196,18 @@ class Page:
         self.pop_to(places[-1])
 
     def drop_named(self) -> None:
-        """Mark what is in elements named boilerplate, but for one that holds more than half of the words and any article there is."""
-        words = [size * (text is not None and not drop) for size, text, drop in zip(self.sizes, self.texts, self.drop)]
-        total = sum(words)
-        for first, end in self.named:
-            if 2 * sum(words[first:end]) <= total or any(not (first <= a and b <= end) for a, b in self.elements):
+        """Mark what is in elements that something says are boilerplate, but for one that holds more than half of the words and any article there
+        is, such as a form around the whole page; within that, elements are looked at for themselves."""
+        words = [0]
+        for size, text, drop in zip(self.sizes, self.texts, self.drop):
+            words.append(words[-1] + size * (text is not None and not drop))
+        starts, done = sorted(a for a, _ in self.elements), 0
+        for first, end in sorted(self.named):
+            if first < done:
+                continue
+            inside = bisect_left(starts, end) - bisect_left(starts, first)  # elements do not cross
+            if 2 * (words[end] - words[first]) <= words[-1] or inside < len(starts):
+                done = end
                 for k in range(first, end):
                     self.drop[k] = True
                     if self.sizes[k] and self.texts[k] is not None:
