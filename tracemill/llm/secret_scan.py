@@ -5,8 +5,8 @@ candidate, and so is one on the line after or before such a secret, and on from
 is what it adds to the compressed size of its surroundings, per character: the compressor is primed with a dictionary of
 identifiers and common code, and the text before and after the candidate comes first, so a name that is spelled out of
 known words or stands nearby costs little, and a random key costs nearly its length. Candidates at `least` bytes a
-character or more are reported as `novel`, unless a base span overlaps them. Shape rules: strings without a digit are not
-reported if `wordlike` or more of their pairs of letters are common ones of words (a long word costs as much as a key, so no
+character or more are reported as `novel`, unless a base span overlaps them. Shape rules: strings of which
+SPELLED or more is spelled out in pieces that look like words, as paths and names with numbers are, are not reported; nor are strings without a digit if `wordlike` or more of their pairs of letters are common ones of words (a long word costs as much as a key, so no
 bound on novelty tells them apart), and strings without a letter are not reported. Each line is a span. Two forms are taken without their own novelty: a line of less than
 16 key characters that ends a secret of several lines (after two of equal length if it is no word, before a PEM end, or
 itself ending in =),
@@ -39,8 +39,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 CUES = ("key", "token", "secret", "passw", "pwd", "auth", "bearer", "credential", "private")
+#: How words with a cue go on, else a cue within a longer word, as in keyboard or author, is none.
+ENDINGS = re.compile(r"(?:s|ord|ords|d|ds|phrase|orization|entication|orized|entials)?(?![a-z])", re.IGNORECASE | re.ASCII)
 #: Characters between a cue and a candidate at most, and characters of surroundings on each side.
 REACH, AROUND = 48, 256
+#: Share of spelled-out characters from which a string is a path or a name, whatever its digits.
+SPELLED = 0.4
 #: What stands between two lines of a secret, a short last line, and the lines of a PEM private key.
 GAP = re.compile(r"""[ \t"',;+\\]{0,8}(?:\r?\n|\\r|\\n)[ \t"'>*#\\]{0,32}""")
 TAIL = re.compile(GAP.pattern + r"(?!-----)([A-Za-z0-9+/_=-]{1,15})(?![A-Za-z0-9+/_=-])")
@@ -76,6 +80,23 @@ def word_pairs(candidate: str) -> float:
     return sum(p in PAIRS for p in pairs) / len(pairs) if pairs else 1.0
 
 
+PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def spelled(candidate: str, wordlike: float) -> float:
+    """The share of a string's characters in pieces of four letters and more whose pairs are those of words; digits, signs and capitals part pieces."""
+    return sum(len(p) for p in PIECE.findall(candidate) if len(p) >= 4 and word_pairs(p) >= wordlike) / len(candidate)
+
+
+def is_cue(text: str, start: int, end: int) -> bool:
+    """Whether a cue is a word, or a part of a name that a sign, a digit or a capital parts."""
+    before = text[start - 1 : start]
+    if before.isascii() and before.isalpha() and (before.islower() == text[start].islower() or before.isupper()):
+        return False
+    rest = ENDINGS.match(text, end)
+    return rest is not None or text[start:end].islower() and text[end : end + 1].isupper()
+
+
 def tools():
     if not _state:
         a = ahocorasick.Automaton()
@@ -98,7 +119,7 @@ def novelty(candidate: str, around: str) -> float:
 
 def candidates(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
     """Strings of key characters in texts with a cue: start, end, the cues within, and whether there is a cue close by."""
-    cues = [(last + 1 - size, last + 1) for last, size in tools()[0].iter(text)]
+    cues = [(last + 1 - size, last + 1) for last, size in tools()[0].iter(text) if is_cue(text, last + 1 - size, last + 1)]
     at = 0  # the first cue that ends at or behind the string's start
     for m in CANDIDATE.finditer(text) if cues else ():
         s, e = m.span()
@@ -156,7 +177,7 @@ def find(text: str, least: float = 0.7, wordlike: float = 0.65) -> dict[str, lis
         own = text[s:e]
         if e - s < 16 or not any(map(str.isalpha, own)) or not free(s, e):
             return False
-        if not any("0" <= c <= "9" for c in own) and word_pairs(own) >= wordlike:
+        if spelled(own, wordlike) >= SPELLED or not any("0" <= c <= "9" for c in own) and word_pairs(own) >= wordlike:
             return False
         return novelty(own, text[max(0, s - AROUND) : s] + text[e : e + AROUND]) >= least
 
@@ -239,7 +260,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", least: float = 0.7) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if t is None else masked(t, find(t, least), mask) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, "text", pa.array(texts, pa.string()))
+            yield b.set_column(at, b.schema.names[at], pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, schema)
+    out = common.map_rows(docs, run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
