@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     if machine is None:  # nothing to judge by
         return docs
     score = common.free_name(docs.columns, "score")
-    return quality.with_scores(docs, machine, score).where(F.col(score) >= 0.7).select(*docs.columns)
+    return quality.with_scores(docs, machine, score).where(F.col(score) >= 0.7).select(*common.quoted(docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

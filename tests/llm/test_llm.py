@@ -438,6 +438,17 @@ def test_op4_a_container_with_a_misleading_name_is_kept():
     assert html_extract.Page(page).text(WEIGHTS) == "\n".join(["Words of the story go on and on in this paragraph."] * 5)
 
 
+@pytest.mark.parametrize("open_tag,close_tag", [('<form id="aspnetForm" action="/x">', "</form>"), ("<div hidden>", "</div>"), ('<div role="form">', "</div>"), ('<section role="search">', "</section>"), ("<dialog open>", "</dialog>"), ('<form><div class="widget">', "</div></form>")])
+def test_op4_an_element_around_the_whole_page_is_no_boilerplate(spark, open_tag, close_tag):
+    """Pages in a form, as some servers make them, keep their article and lose the boilerplate and small forms within."""
+    for r in common.table(spark, SF, "pages").collect():
+        page = re.sub(r"(<body[^>]*>)", lambda m: m.group() + open_tag, r.html, count=1).replace("</body>", close_tag + "</body>")
+        assert html_extract.Page(page).text(WEIGHTS) == plain_article(r.html)
+    prose = "<p>Words of the story go on and on in this paragraph.</p>" * 5
+    page = f"<body>{open_tag}<div class='menu'><a>Home</a></div>{prose}<form>Search the site</form><div class='comments'><p>Nice one.</p></div>{close_tag}</body>"
+    assert html_extract.Page(page).text(WEIGHTS) == "\n".join(["Words of the story go on and on in this paragraph."] * 5)
+
+
 def test_op4_learned_runs_find_what_no_element_marks(spark):
     """Weights from the even pages; on odd ones the article is a div, so only the run tells it, with a headline and lede before the element too."""
     pages = common.table(spark, SF.replace("0.001", "0.01"), "pages")
@@ -907,3 +918,19 @@ def test_op10_awkward(spark, odd):
     assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
     assert {r.score for r in quality.quality(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.quality(odd.limit(0), labels).count() == 0
+def test_op8_keys_are_found_and_names_are_not():
+    """Keys of letters, of letters and digits, and of all key characters behind cues, against paths and names with digits there, and cues within words."""
+    rng = random.Random(12)
+    sets = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    for letters in sets:
+        texts = [f"{cue} {''.join(rng.choice(letters) for _ in range(rng.randrange(24, 48)))}\nand more" for cue in ("the api key is", "Bearer", "my password is", "authToken", "PRIVATE_KEY") for _ in range(60)]
+        assert sum(bool(secret_scan.find(t)["novel"]) for t in texts) >= 0.95 * len(texts), letters
+    words = "usr local share python site packages requests internationalization reviewers configuration handler service account storage backend version release template resource manager provider controller response".split()
+    names = [rng.choice("/_-").join(f"{w}{rng.choice(['', '', '3', '12', '2024'])}" for w in rng.sample(words, rng.randrange(4, 7))) for _ in range(300)]
+    reported = [n for n in names if secret_scan.find(f"the auth key /{n} is there")["novel"]]
+    assert len(reported) <= 0.02 * len(names)
+    key = "9fQ2xV7mK4tZ8bW1nR5cJ3hL6pD0gS"
+    for text, there in ((f"the keyboard {key}", False), (f"monkey {key}", False), (f"the author {key}", False), (f"turkeys {key}", False), (f"keys {key}", True), (f"apiKey {key}", True), (f"api_key2 {key}", True), (f"passwords {key}", True), (f"KEY {key}", True), (f"Authorization {key}", True)):
+        assert bool(secret_scan.find(text)["novel"]) == there, text
+
+

@@ -80,7 +80,7 @@ def test_near_dedup_keeps_texts_that_share_an_id(spark):
 def test_stages_on_awkward_rows(spark):
     """Nulls, empty and very long texts, repeated rows, clashing names, and no rows at all, through all stages."""
     rows = [*AWKWARD, (11, "word another " * 60_000, "en", "s", 1)]
-    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("score", "k1", "n", "grp", "words", "_score")})
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("score", "k1", "n", "grp", "words", "_score", "a.b", "x`y", "c0", "text.length")})
     for df in (odd, odd.limit(0)):
         docs = df
         for name, stage in corpus_pipeline.STAGES:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes that one Arrow batch may hold; texts can be long, so both are far below Spark's defaults. A longer text is a batch alone.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
@@ -78,6 +80,17 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """The columns of these names, which may have dots and the like in them."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any names: in `run` they are c0, c1, ... by their places."""
+    fields = [StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema.fields)]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, StructType(fields)).toDF(*schema.names)
+
+
 def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 16) -> DataFrame:
     """df joined with small(on, ...), each key's rows being dealt to `salts` parts by the columns `spread`, so no key is one task.
 

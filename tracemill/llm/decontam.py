@@ -250,6 +250,6 @@ def clean(
                 dirty = {m[0] for m in matches(ready, b.column(at).to_pylist())}
                 yield b.filter(pa.array([k not in dirty for k in range(b.num_rows)], pa.bool_()))
 
-        return df.mapInArrow(run, df.schema)
+        return common.map_rows(df, run, df.schema)
 
     return reduce(drop, item_blocks(benchmark, block_bytes), docs)

@@ -160,9 +160,9 @@ def with_scores(docs: DataFrame, machine: Machine | None, column: str = "score")
         for b in batches:
             texts = b.column(at).to_pylist()
             s = machine.scores(np.stack([features(t or "") for t in texts]).astype(np.float64)) if machine and texts else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[f"c{k}" for k in range(b.num_columns + 1)])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return common.map_rows(docs, run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, accept: float = 0.7, sample_rows: int = 6000) -> DataFrame:

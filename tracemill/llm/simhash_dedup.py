@@ -503,10 +503,10 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     kept = own.join(keys.join(chosen, ["k1", "k2"], "left_anti").select("k1", "k2").toDF(*names), names, "left_anti")
     again = common.keep(keys.where("n > 1").join(chosen, ["k1", "k2"]).select("k1", "k2").toDF(*names))
     if again.isEmpty():
-        return kept.select(*columns)
-    row, by = F.struct(*(docs[c] for c in columns)), F.xxhash64(*(docs[c] for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+        return kept.select(*common.quoted(columns))
+    row, by = F.struct(*common.quoted(columns)), F.xxhash64(*common.quoted([c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]))
     several = kept.join(again, names, "left_semi").groupBy(*names).agg(F.min_by(row, by).alias("row")).select("row.*")
-    return kept.join(again, names, "left_anti").select(*columns).unionByName(several)
+    return kept.join(again, names, "left_anti").select(*common.quoted(columns)).unionByName(several)
 
 
 def hex_of(fp: Column) -> Column:
