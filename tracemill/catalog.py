@@ -18,7 +18,7 @@ from .config import AuditConfig, BuildConfig, sweep
 from .functions import draws
 from .functions.spatial import Box, haversine
 from .functions.temporal import as_text, observation_window
-from .operators import adjacency, aggregates, classify, marginals, metrics, partial, prep, privacy, rules, sampling, synthesis
+from .operators import adjacency, aggregates, classify, growth, marginals, metrics, partial, prep, privacy, rules, sampling, synthesis
 from .plans import audit, build
 from .sources import readers, sinks
 from .stages import keep, new_path
@@ -666,9 +666,9 @@ def _adjacent(spark, n_rois):
 
 @query()
 def synth_cluster(spark, sf_dir):
-    n_rois = grid_size(spark, sf_dir)[0]
-    starts = spark.range(1, 41).select(F.col("id").alias("user_id"), (F.col("id") * 7 % n_rois).cast("int").alias("start"))
-    return synthesis.clusters(starts, _adjacent(spark, n_rois), 10)
+    """A cluster of 10 neighbouring places around the first visit of each user, places being those of the events."""
+    first = visits(spark, sf_dir).groupBy("user_id").agg(F.min_by("roi", "event_id").alias("start"))
+    return growth.clusters(first, _adjacent(spark, grid_size(spark, sf_dir)[0]), 10)
 
 
 @query()

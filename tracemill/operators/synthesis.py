@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from .growth import Neighbours, clusters
 from .marginals import activity_draw
 
 
@@ -48,65 +45,16 @@ def draw(draws: DataFrame, intervals: DataFrame, axis: str, keys: list[str], u:
     return asked.join(index.drop("n"), [*keys, "bucket"]).where((F.col("lo") <= F.col(u)) & (F.col(u) < F.col("hi"))).drop("bucket", "lo", "hi")
 
 
-def grow(start: int, size: int, adjacency: dict[int, list[int]], key: str, tries: int = 50) -> list[int]:
-    """A connected set of `size` ROIs with the start: again and again a random ROI of the frontier is added.
-
-    When a component is too small, it starts anew from a random ROI; after `tries` starts the largest set found is returned.
-    """
-    rois = sorted(adjacency)
-    count = 0
-
-    def pick(options: list[int]) -> int:
-        nonlocal count
-        count += 1
-        return options[int(hashlib.md5(f"{key}|{count}".encode()).hexdigest()[:8], 16) % len(options)]
-
-    best: list[int] = [start]
-    for _ in range(tries):
-        cluster, frontier = [start], set(adjacency.get(start, ()))
-        while len(cluster) < size and frontier:
-            now = pick(sorted(frontier))
-            cluster.append(now)
-            frontier = (frontier | set(adjacency.get(now, ()))) - set(cluster)
-        if len(cluster) > len(best):
-            best = cluster
-        if len(best) >= size or not rois:
-            break
-        start = pick(rois)
-    return best
-
-
-def clusters(starts: DataFrame, adjacency: DataFrame, size: int, seed: int = 42, limit: int = 1_000_000) -> DataFrame:
-    """(key columns, roi) of a grown cluster for each row of starts(user_id, start and others); the adjacency is a bounded table."""
-    edges = adjacency.limit(limit + 1).collect()
-    if len(edges) > limit:
-        raise ValueError(f"more than {limit} neighbours; use a coarser grid")
-    near: dict[int, list[int]] = {}
-    for r in edges:
-        near.setdefault(r.roi, []).append(r.nbr)
-    sent = starts.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in near.items()})
-    names = [c for c in starts.columns if c != "start"]
-    schema = ", ".join(f"{c} {starts.schema[c].dataType.simpleString()}" for c in names) + ", cluster array<int>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = f[names].copy()
-            out["cluster"] = [grow(int(s), size, sent.value, f"{seed}|" + "|".join(map(str, key))) for s, key in zip(f["start"], f[names].itertuples(index=False))]
-            yield out
-
-    return starts.mapInPandas(run, schema)
-
-
 #: Visits of a synthetic user above which cells are drawn instead of visits.
 HEAVY = 4096
 
 
-def traces(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, mean: float, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42) -> DataFrame:
+def traces(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame | Neighbours, keys: list[str], n: int, mean: float, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42) -> DataFrame:
     """traces_at with one mean for all keys."""
     return traces_at(roi_shares.withColumn("mean", F.lit(float(mean))), epoch_shares, adjacency, keys, n, activity, cluster_size, skew, seed)
 
 
-def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame, keys: list[str], n: int, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42, population: DataFrame | None = None) -> DataFrame:
+def traces_at(roi_shares: DataFrame, epoch_shares: DataFrame, adjacency: DataFrame | Neighbours, keys: list[str], n: int, activity: str = "exp", cluster_size: int = 10, skew: float = 3.0, seed: int = 42, population: DataFrame | None = None) -> DataFrame:
     """(keys, user_id, roi, epoch): cells of n synthetic users (ids below zero) for each key of roi_shares(keys, roi, p, mean).
 
     A user starts at an ROI drawn from the place marginal, a cluster is grown around it, and visits are drawn with

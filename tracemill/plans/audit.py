@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import AuditConfig
 from ..functions.draws import uniform
 from ..operators import aggregates as agg
-from ..operators import classify, marginals, partial, privacy, rules, sampling, synthesis
+from ..operators import classify, growth, marginals, partial, privacy, rules, sampling, synthesis
 from ..stages import keep
 
 PAIR_KEYS = ["target", "split", "agg_id", "pair_id", "label"]
@@ -92,6 +92,7 @@ def mean_visits(counts: DataFrame, groups: DataFrame, roi_shares: DataFrame, epo
     are suppressed) to what was released. A step to zero or below is not made, and a small one ends it.
     """
     m, k = config.group_size, config.suppress
+    adjacency = adjacency if config.raw else growth.Neighbours.of(adjacency)
     seen = groups.select(*keys).distinct().join(counts.groupBy(*keys).agg(F.sum("cnt").cast("double").alias("total"), F.count("*").cast("double").alias("nnz")), keys, "left").fillna(0.0)
     now = seen.select(*keys, "total", "nnz", (F.col("total") / m).alias("mean"), F.lit(config.raw).alias("done"))
     if config.raw:
@@ -128,7 +129,7 @@ def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjac
     """
     if config.true_mean and population is None:
         raise ValueError("true_mean needs the population's numbers of visits")
-    groups = chosen(groups, config)
+    groups, adjacency = chosen(groups, config), growth.Neighbours.of(adjacency)
     counts = counts.join(groups.select("target", "agg_id"), ["target", "agg_id"], "left_semi")
     test = groups.where("split = 'test'")
     out = keep(released(test, counts.where("split = 'test'"), n_rois, n_epochs, config))
