@@ -4,9 +4,10 @@ A repeat is a string of `length` bytes. Windows of that length take the least ha
 same wherever the window stands, so all places of a repeat have one key. Neighbouring windows of one key are a run, and a run's bytes
 are its context. Keys that one text alone has are left out, in one shuffle of keys without texts.
 
-The contexts of a key meet in one task, each different one once with its least doc_id. Their suffixes are sorted (suffix_array), many
+Of copies of a whole text only the first is looked at, the others lose all. The contexts of a key meet in one task, each different one
+once with its least doc_id. Their suffixes are sorted (suffix_array), many
 keys side by side; suffixes that begin with the same window are neighbours then, and the least doc_id among them says which
-documents lose it. A key with more than `crowd` runs, such as that of a line that a third of all documents have, is not gathered:
+documents lose it. A key that more than `crowd` texts have, such as that of a line that a third of all documents have, is not gathered:
 each of its windows is a context of its own, and those are grouped by Spark with partial sums.
 
 Nulls and edge cases: a null text is empty, a text shorter than a window keeps all; a row without a doc_id has no smaller one and is no
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .common import keep, small_batches
 from .suffix_array import suffix_arrays
 
 #: Bytes of a key's string, windows that a run has at most, windows that are hashed at once, bytes of contexts that are sorted at once.
-KEY, PIECE, BLOCK, SORTED = 16, 256, 1 << 19, 1 << 20
+KEY, PIECE, BLOCK, SORTED = 16, 256, 1 << 19, 1 << 22
 
 
 def window_keys(data: bytes, begin: int, end: int, length: int) -> np.ndarray:
@@ -64,7 +66,8 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         found.append((key[first], owner[first], begin[first] - (ends - sizes)[owner[first]], np.minimum(PIECE, np.repeat(size, parts) - nth * PIECE)))
     if not found:
         return np.empty(0, dtype=np.uint64), *(np.empty(0, dtype=np.int64) for _ in range(3))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    key, *rest = (np.concatenate(x) for x in zip(*found))
+    return key >> np.uint64(16), *rest  # 48 bits tell keys apart, and others only meet in a group
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -72,7 +75,7 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
 
 
 def _keys(length: int):
-    """Of each batch (ref, text): a row for each key, with the refs of the texts that have it and how many runs they have."""
+    """Of each batch (ref, text): a row for each key, with a text that has it, the others that have it, if any, and how many they are in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,21 +83,26 @@ def _keys(length: int):
             ref = b.column("ref").to_numpy(zero_copy_only=False)[owner] if len(key) else np.empty(0, dtype=np.int64)
             by = np.lexsort((ref, key))
             key, ref = key[by], ref[by]
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=bool)
-            one = new | np.concatenate([[True], ref[1:] != ref[:-1]]) if len(key) else new  # each text once
-            head = np.flatnonzero(new)
-            offsets = np.append(np.cumsum(one)[head] - 1, one.sum()) if len(head) else np.zeros(1, dtype=np.int64)
-            refs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ref[one], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), refs, pa.array(np.diff(np.append(head, len(key))), pa.int64())], ["key", "refs", "n"])
+            one = np.ones(len(key), dtype=bool)
+            one[1:] = (key[1:] != key[:-1]) | (ref[1:] != ref[:-1])  # each text once
+            key, ref = key[one], ref[one]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+            n = np.diff(np.append(head, len(key)))
+            rest = np.ones(len(key), dtype=bool)
+            rest[head] = False
+            more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n - 1)), pa.int32()), pa.array(ref[rest], pa.int64()), mask=pa.array(n == 1)) if len(head) else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(ref[head], pa.int64()), more, pa.array(n, pa.int32())], ["key", "ref", "more", "n"])
 
     return run
 
 
 def _contexts(length: int, crowded: bool):
-    """Of each batch (ref, doc_id, text, keys): the contexts of the runs with one of the row's keys, or their windows one by one."""
+    """Of each batch (ref, doc_id, first, text, keys), of rows whose doc_id is `first`: the contexts of the runs with one of the row's keys, or
+    their windows one by one. (The ids are compared here, as a join on them would deal out all texts once more.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.filter(pc.equal(b.column("doc_id"), b.column("first")))
             texts, wanted = _bytes_of(b.column("text")), b.column("keys")
             key, owner, begin, size = runs(texts, length)
             held, of = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64), wanted.value_lengths().to_numpy(zero_copy_only=False)
@@ -205,25 +213,35 @@ def _sorted_keys(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans) -> the same with overlapping spans as one, and the bytes that are left."""
-    for b in batches:
-        merged, kept = [], []
-        for doc, text, spans in zip(b.column("doc_id").to_pylist(), _bytes_of(b.column("text")), b.column("spans").to_pylist()):
-            whole: list[dict[str, int]] = []
-            for s in sorted((s["start"], s["end"]) for s in spans or () if s["doc_id"] == doc):
-                if whole and s[0] <= whole[-1]["end"]:
-                    whole[-1]["end"] = max(whole[-1]["end"], s[1])
-                else:
-                    whole.append({"start": s[0], "end": s[1]})
-            merged.append(whole)
-            edges = [0, *(x for s in whole for x in (s["start"], s["end"])), len(text)]
-            kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])))
+def _cut(length: int):
+    """(doc_id, text, first, spans) -> overlapping spans as one, and the bytes that are left. A copy of the text of a smaller doc_id loses all."""
+
+    def merged(doc: int | None, first: int | None, spans: list | None, size: int) -> list[dict[str, int]]:
+        if doc is None or first is None:
+            return []
+        if doc != first:
+            return [{"start": 0, "end": size}] if size >= length else []
+        whole: list[dict[str, int]] = []
+        for x, y in sorted((s["start"], s["end"]) for s in spans or ()):
+            if whole and x <= whole[-1]["end"]:
+                whole[-1]["end"] = max(whole[-1]["end"], y)
+            else:
+                whole.append({"start": x, "end": y})
+        return whole
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(merged, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "text", "spans", "kept"])
+        for b in batches:
+            texts, columns = _bytes_of(b.column("text")), (b.column(c).to_pylist() for c in ("doc_id", "first", "spans"))
+            gone = [merged(*r, len(t)) for *r, t in zip(*columns, texts)]
+            edges = [[0, *(x for s in g for x in (s["start"], s["end"])), len(t)] for g, t in zip(gone, texts)]
+            kept = [b"".join(t[x:y] for x, y in zip(e[::2], e[1::2])) for e, t in zip(edges, texts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(gone, pa.list_(span)), pa.array(kept, pa.binary())], ["doc_id", "text", "spans", "kept"])
+
+    return run
 
 
-def without_repeats(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, crowd: int = 50_000) -> DataFrame:
     """(doc_id, text, spans, kept): each document's UTF-8 bytes, the spans of them that repeat a document with a smaller doc_id, the rest.
 
     text and kept are binary, as a cut may part a character. Spans are maximal, [start, end) in bytes, in order. length: at least 24.
@@ -231,22 +249,29 @@ def without_repeats(docs: DataFrame, length: int = 50, crowd: int = 20_000) -> D
     if length < KEY + 8:
         raise ValueError(f"length is at least {KEY + 8}")
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.xxhash64("doc_id", "text").alias("ref"))
-    keys = rows.where("doc_id is not null").select("ref", "text").mapInArrow(_keys(length), "key long, refs array<long>, n long")
-    key = Window.partitionBy("key")
-    counted = keys.select("key", "refs", F.sum("n").over(key).alias("n"), F.min(F.array_min("refs")).over(key).alias("lo"), F.max(F.array_max("refs")).over(key).alias("hi"))
-    shared = counted.where("lo < hi").select(F.explode("refs").alias("ref"), "key", (F.col("n") > crowd).alias("crowded"))
-    lists = keep(shared.groupBy("ref").agg(*(F.collect_set(F.when(F.col("crowded") == yes, F.col("key"))).alias(name) for name, yes in (("usual", False), ("hot", True)))))
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumns({"ref": F.xxhash64("text"), "sha": F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))})  # never null, so that the joins need no filter and share one shuffle of texts
+    known = rows.where("doc_id is not null")
+    firsts = keep(known.groupBy("ref", "sha").agg(F.min("doc_id").alias("first")))  # a row for each different text
+    keys = known.select("ref", "text").mapInArrow(_keys(length), "key long, ref long, more array<long>, n int")
+    over = Window.partitionBy("key")
+    counted = keys.select("key", "ref", "more", F.sum("n").over(over).alias("total"), F.max("n").over(over).alias("most"), F.min("ref").over(over).alias("lo"), F.max("ref").over(over).alias("hi"))
+    shared = counted.where("lo < hi or most > 1").select(F.explode(F.concat(F.array("ref"), F.coalesce("more", F.expr("cast(array() as array<bigint>)")))).alias("ref"), "key", (F.col("total") > crowd).alias("crowded"))
+    lists = shared.groupBy("ref").agg(*(F.collect_set(F.when(F.col("crowded") == yes, F.col("key"))).alias(name) for name, yes in (("usual", False), ("hot", True))))
+    lists = keep(lists.join(firsts, "ref"))
 
     def contexts(name: str) -> DataFrame:
-        own = rows.join(lists.where(F.size(name) > 0).select("ref", F.col(name).alias("keys")).hint("merge"), "ref")
-        return own.select("ref", "doc_id", "text", "keys").mapInArrow(_contexts(length, name == "hot"), "key long, bytes binary, doc_id long, ref long, begin long")
+        """Of the first document of each text."""
+        own = rows.join(lists.where(F.size(name) > 0).select("ref", "sha", "first", F.col(name).alias("keys")).hint("merge"), ["ref", "sha"])
+        return own.select("ref", "doc_id", "first", "text", "keys").mapInArrow(_contexts(length, name == "hot"), "key long, bytes binary, doc_id long, ref long, begin long")
 
     spans = contexts("usual").repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_keys(length), "ref long, doc_id long, start long, end long")
     if lists.where(F.size("hot") > 0).limit(1).count():
-        windows = keep(contexts("hot").drop("key"))
+        windows = contexts("hot").drop("key")
         least = windows.groupBy("bytes").agg(F.min("doc_id").alias("_least"))
         lost = windows.join(least.hint("merge"), "bytes").where("_least < doc_id")
         spans = spans.unionByName(lost.select("ref", "doc_id", F.col("begin").alias("start"), (F.col("begin") + length).alias("end")))
-    found = spans.groupBy("ref").agg(F.collect_list(F.struct("doc_id", "start", "end")).alias("spans"))
-    return rows.join(found.hint("merge"), "ref", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, text binary, spans array<struct<start:long,end:long>>, kept binary")
+    found = spans.groupBy("ref", F.col("doc_id").alias("first")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    of_text = firsts.join(found, ["ref", "first"], "left")
+    cut = rows.join(of_text.hint("merge"), ["ref", "sha"], "left").select("doc_id", "text", "first", "spans")
+    return cut.mapInArrow(_cut(length), "doc_id long, text binary, spans array<struct<start:long,end:long>>, kept binary")
