@@ -118,24 +118,6 @@ def test_include_target(spark):
     assert {r.user_id for r in sampling.include_target(fake, t.where("target = 9")).collect()} == {-1, -2, 9}
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 20)), min_size=1, max_size=40, unique=True))
-def test_triangulation(points):
-    edges = adjacency.triangulate(np.array(points, float))
-    n = len(points)
-    assert all(0 <= a < b < n for a, b in edges)
-    assert n < 3 or len(edges) <= 3 * n - 6
-    if n > 1:
-        linked, queue = {0}, [0]
-        while queue:
-            x = queue.pop()
-            for a, b in edges:
-                if x in (a, b) and (a + b - x) not in linked:
-                    linked.add(a + b - x)
-                    queue.append(a + b - x)
-        assert len(linked) == n
-
-
 def test_shared_places_are_neighbours(spark):
     roi_map = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0)], "roi int, lon double, lat double")
     near = {(r.roi, r.nbr) for r in adjacency.neighbours(roi_map).collect()}

@@ -212,9 +212,23 @@ def haversine_km(spark, sf_dir):
     return points(spark, sf_dir).select("event_id", F.round(haversine(9.1, 45.4, F.col("lon"), F.col("lat")), 6).alias("km"))
 
 
-@query(f"SELECT round({WIDTH} * {HEIGHT}, 6) AS area, CAST(floor({WIDTH} * {HEIGHT} / (1.6::DOUBLE * 1.6::DOUBLE)) AS BIGINT) + 1 AS n_rois, CAST(floor({WIDTH} / 1.6::DOUBLE) AS BIGINT) AS n_columns")
+#: The box of the points' coordinates, and its sides.
+OWN_BOX = POINTS_SQL + ", ob AS (SELECT round(min(lon), 6) AS x0, round(max(lon), 6) AS x1, round(min(lat), 6) AS y0, round(max(lat), 6) AS y1 FROM points)"
+OWN_WIDTH, OWN_HEIGHT = km("x0", "y0", "x1", "y0"), km("x0", "y0", "x0", "y1")
+
+
+def own_box(spark: SparkSession, sf_dir: str, cell_km: float = 1.6) -> Box:
+    """The box that holds the points; four numbers are known here."""
+    p = points(spark, sf_dir)
+    x0, x1, y0, y1 = (float(v) for v in p.agg(*(F.round(f(c), 6) for c in ("lon", "lat") for f in (F.min, F.max))).first())
+    return Box(x0, x1, y0, y1, cell_km)
+
+
+@query("WITH " + OWN_BOX + f" SELECT round({OWN_WIDTH} * {OWN_HEIGHT}, 6) AS area, CAST(floor({OWN_WIDTH} * {OWN_HEIGHT} / (1.6::DOUBLE * 1.6::DOUBLE)) AS BIGINT) + 1 AS n_rois, CAST(floor({OWN_WIDTH} / 1.6::DOUBLE) AS BIGINT) AS n_columns FROM ob")
 def grid_area_rois(spark, sf_dir):
-    return spark.range(1).select(F.round(BOX.area(), 6).alias("area"), BOX.n_cells().alias("n_rois"), BOX.n_columns().alias("n_columns"))
+    p = points(spark, sf_dir).agg(*(F.round(f(c), 6).alias(n) for n, c, f in (("x0", "lon", F.min), ("x1", "lon", F.max), ("y0", "lat", F.min), ("y1", "lat", F.max))))
+    box = Box(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), 1.6)
+    return p.select(F.round(box.area(), 6).alias("area"), box.n_cells().alias("n_rois"), box.n_columns().alias("n_columns"))
 
 
 @query("WITH " + POINTS_SQL + f""" SELECT event_id, CAST(floor({WIDTH} / 1.6::DOUBLE) * floor({km(d(9.1), d(45.4), d(9.1), 'lat')} / 1.6::DOUBLE) + floor({km(d(9.1), d(45.4), 'lon', d(45.4))} / 1.6::DOUBLE) + 1 AS INT) AS roi
@@ -223,11 +237,14 @@ def grid_cell(spark, sf_dir):
     return prep.grid(prep.trim(points(spark, sf_dir), BOX), BOX).select("event_id", "roi")
 
 
-@query(f"""WITH g AS (SELECT CAST(r AS INT) AS roi, CAST(floor({WIDTH} / 1.6::DOUBLE) AS BIGINT) AS nl FROM range(1, 76) t(r))
- SELECT roi, round(greatest(9.1::DOUBLE + 1e-10::DOUBLE, least(9.1::DOUBLE + ((roi - 1) % nl + 0.5::DOUBLE) * 1.6::DOUBLE / {km(d(9.1), d(45.4), d(10.1), d(45.4))}, 9.27::DOUBLE - 1e-10::DOUBLE)), 6) AS lon,
- round(greatest(45.4::DOUBLE + 1e-10::DOUBLE, least(45.4::DOUBLE + ((roi - 1) // nl + 0.5::DOUBLE) * 1.6::DOUBLE / {km(d(9.1), d(45.4), d(9.1), d(46.4))}, 45.53::DOUBLE - 1e-10::DOUBLE)), 6) AS lat FROM g""")
+@query("WITH " + OWN_BOX + f""", sz AS (SELECT *, CAST(floor({OWN_WIDTH} / 0.4::DOUBLE) AS BIGINT) AS nl, CAST(floor({OWN_WIDTH} * {OWN_HEIGHT} / (0.4::DOUBLE * 0.4::DOUBLE)) AS BIGINT) + 1 AS n FROM ob), g AS (SELECT *, CAST(unnest(range(1, n + 1)) AS INT) AS roi FROM sz)
+ SELECT roi, round(greatest(x0 + 1e-10::DOUBLE, least(x0 + ((roi - 1) % nl + 0.5::DOUBLE) * 0.4::DOUBLE / {km("x0", "y0", "x0 + 1.0::DOUBLE", "y0")}, x1 - 1e-10::DOUBLE)), 6) AS lon,
+ round(greatest(y0 + 1e-10::DOUBLE, least(y0 + ((roi - 1) // nl + 0.5::DOUBLE) * 0.4::DOUBLE / {km("x0", "y0", "x0", "y0 + 1.0::DOUBLE")}, y1 - 1e-10::DOUBLE)), 6) AS lat FROM g""")
 def grid_centroids(spark, sf_dir):
-    return BOX.centroids(spark, 75).select("roi", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    """Middles of the cells of the points' box, 400 m wide."""
+    box = own_box(spark, sf_dir, 0.4)
+    n = spark.range(1).select(box.n_cells()).first()[0]
+    return box.centroids(spark, n).select("roi", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 # Relabelling and regular users
@@ -653,7 +670,9 @@ def bundle_round_trip(spark, sf_dir):
 
 @query()
 def adjacency_edges(spark, sf_dir):
-    return adjacency.neighbours(BOX.centroids(spark, 75))
+    """Neighbours among all places where there were events, to a hundred metres or so."""
+    at = points(spark, sf_dir).select(F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat")).distinct()
+    return adjacency.neighbours(prep.dense_index(at, "lon", "lat", name="roi").select(F.col("roi").cast("int").alias("roi"), "lon", "lat"))
 
 
 def _adjacent(spark, n_rois):
