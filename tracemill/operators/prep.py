@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,18 +12,78 @@ from ..functions.temporal import epoch
 from ..stages import keep
 
 
+#: Parts that a bracket is cut into in a pass of a selection, and values that are few enough to look at.
+PARTS, FEW = 1024, 4096
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """{(column, rank): value}: the values at ranks from 0 in the order of each column's values, nulls left out.
+
+    A pass counts the values in PARTS equal parts of a bracket around each rank, with the least and greatest value of each part, and the
+    bracket becomes the part that has the rank. All ranks go together, in a pass for each factor of PARTS or so. When a
+    bracket has FEW values or a single one, it is settled. Tasks keep counts of parts, the driver sees these and FEW values a rank.
+    """
+    ends = df.agg(*(f(c).cast("double").alias(f"{n}_{c}") for c in ranks for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count)))).first()
+    found: dict[tuple[str, int], float] = {}
+    todo = {(c, r): (ends[f"lo_{c}"], ends[f"hi_{c}"], r, int(ends[f"n_{c}"])) for c, own in ranks.items() for r in own}  # bracket, rank within, values
+    if wrong := [key for key, (_, _, r, n) in todo.items() if not 0 <= r < n]:
+        raise ValueError(f"no values at {wrong}")
+    while todo:
+        found |= {key: lo for key, (lo, hi, _, _) in todo.items() if lo == hi}
+        brackets = sorted({(c, lo, hi, n) for (c, _), (lo, hi, _, n) in todo.items() if lo != hi})
+        number = {b[:3]: i for i, b in enumerate(brackets)}
+        if not brackets:
+            break
+        tagged = []
+        for i, (c, lo, hi, n) in enumerate(brackets):
+            v = F.col(c).cast("double")
+            part = F.when(F.lit(n <= FEW), F.lit(0)).otherwise(F.least(F.lit(PARTS - 1), F.floor((v / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * PARTS)).cast("int"))
+            tagged.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("b"), part.alias("part"), v.alias("v"))))
+        rows = df.select(F.explode(F.filter(F.array(*tagged), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        small = [i for i, b in enumerate(brackets) if b[3] <= FEW]
+        values = {r.b: sorted(r.all) for r in rows.where(F.col("b").isin(small)).groupBy("b").agg(F.collect_list("v").alias("all")).collect()} if small else {}
+        parts: dict[int, list] = {}
+        if len(small) < len(brackets):
+            for r in rows.where(~F.col("b").isin(small)).groupBy("b", "part").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+                parts.setdefault(r.b, []).append((r.part, r.n, r.lo, r.hi))
+        left = {}
+        for key, (lo, hi, r, n) in todo.items():
+            if lo == hi:
+                continue
+            i = number[key[0], lo, hi]
+            if i in values:
+                found[key] = values[i][r]
+                continue
+            for _, n, lo, hi in sorted(parts[i]):
+                if r < n:
+                    left[key] = (lo, hi, r, n)
+                    break
+                r -= n
+        todo = left
+    return found
+
+
 def percentile_box(points: DataFrame, low: float = 0.005, high: float = 0.995, approximate: bool = False) -> DataFrame:
-    """One row: the box that holds the middle of the coordinates, and their extremes.
+    """One row: the box that holds the middle of the coordinates, and their extremes; nulls without points.
 
-    Exact percentiles keep a count for each distinct coordinate; `approximate` keeps a bounded sketch, for large inputs.
+    Exact percentiles, between neighbours where a rank falls between them, are selected in a few passes that keep counts only
+    (order_statistics); `approximate` keeps a bounded sketch and takes one pass.
     """
-    cut = F.percentile_approx if approximate else F.percentile
-    lon, lat = cut("lon", F.array(F.lit(low), F.lit(high))), cut("lat", F.array(F.lit(low), F.lit(high)))
-    extremes = [f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("least", F.min), ("most", F.max))]
-    cut_points = points.agg(lon.alias("x"), lat.alias("y"), *extremes)
-    return cut_points.select(
-        F.get("x", F.lit(0)).alias("min_lon"), F.get("x", F.lit(1)).alias("max_lon"), F.get("y", F.lit(0)).alias("min_lat"), F.get("y", F.lit(1)).alias("max_lat"), "least_lon", "most_lon", "least_lat", "most_lat"
-    )
+    axes = {"lon": ("min_lon", "max_lon"), "lat": ("min_lat", "max_lat")}
+    extremes = [f(c).alias(f"{n}_{c}") for c in axes for n, f in (("least", F.min), ("most", F.max))]
+    if approximate:
+        cuts = [F.percentile_approx(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in axes]
+        return points.agg(*cuts, *extremes).select(*(F.get(f"_{c}", F.lit(k)).alias(n) for c, names in axes.items() for k, n in enumerate(names)), "least_lon", "most_lon", "least_lat", "most_lat")
+    counts = points.agg(*(F.count(c).alias(c) for c in axes)).first()
+    at = {(c, q): q * (counts[c] - 1) for c in axes if counts[c] for q in (low, high)}
+    ranks = {c: sorted({r for (own, _), x in at.items() if own == c for r in (math.floor(x), math.ceil(x))}) for c in axes if counts[c]}
+    values = order_statistics(points, ranks) if ranks else {}
+
+    def cut(c: str, q: float) -> float | None:
+        x = at.get((c, q))
+        return None if x is None else values[c, math.floor(x)] + (values[c, math.ceil(x)] - values[c, math.floor(x)]) * (x - math.floor(x))
+
+    return points.agg(*extremes).select(*(F.lit(cut(c, q)).cast("double").alias(n) for c, names in axes.items() for n, q in zip(names, (low, high))), "least_lon", "most_lon", "least_lat", "most_lat")
 
 
 def trim(points: DataFrame, box: Box, stop: int | None = None) -> DataFrame:
