@@ -96,7 +96,7 @@ def test_op11_on_passages_of_all_lengths(spark):
 
 def test_op11_long_runs_and_blocks(spark, monkeypatch):
     """Texts of several blocks and contexts of several solves give the same."""
-    for name, value in (("BLOCK", 512), ("PIECE", 16), ("SORTED", 2000)):
+    for name, value in (("BLOCK", 512), ("PIECE", 16), ("SORTED", 2000), ("MANY", 5)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(6)
     whole = "".join(rng.choice("abcd") for _ in range(3000))

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import keep, small_batches
 from .suffix_array import suffix_arrays
 
-#: Bytes of a key's string, windows that a run has at most, windows that are hashed at once, bytes of contexts that are sorted at once.
-KEY, PIECE, BLOCK, SORTED = 16, 256, 1 << 19, 1 << 22
+#: Bytes of a key's string, windows that a run has at most, windows that are hashed at once, bytes of contexts that are sorted at once,
+#: runs from which a key is put off until there are more such.
+KEY, PIECE, BLOCK, SORTED, MANY = 16, 256, 1 << 19, 1 << 22, 24
 
 
 def window_keys(data: bytes, begin: int, end: int, length: int) -> np.ndarray:
@@ -186,7 +187,8 @@ def _spans(keys: np.ndarray, contexts: pa.Array, docs: np.ndarray, refs: np.ndar
 
 
 def _sorted_keys(length: int):
-    """Of a partition sorted by key: the spans, whole keys being worked on as soon as there are SORTED bytes of contexts."""
+    """Of a partition sorted by key: the spans, whole keys being worked on as soon as there are SORTED bytes of contexts. Keys with many runs
+    wait for others of their kind, as a string takes as many steps as it is long and steps of few strings at a time are dear."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
@@ -195,20 +197,37 @@ def _sorted_keys(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        large: list[pa.Table] = []
+
+        def whole(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """What can be solved of a table of whole keys and of the large ones that wait."""
+            if table.num_rows:
+                key = table.column("key").to_numpy()
+                head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                n = np.diff(np.append(head, len(key)))
+                big = np.repeat(n >= MANY, n)
+                if (~big).any():
+                    yield solve(table.filter(pa.array(~big)))
+                if big.any():
+                    large.append(table.filter(pa.array(big)))
+            if large and (last or sum(t.nbytes for t in large) >= SORTED):
+                waiting = pa.concat_tables(large)
+                large.clear()
+                yield solve(waiting)
+
         for b in batches:
             held.append(b)
             size += b.nbytes
             if size < SORTED or b.column("key")[0] == b.column("key")[b.num_rows - 1] == held[0].column("key")[0]:
                 continue
             table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            upto = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            upto = int(np.searchsorted(table.column("key").to_numpy(), table.column("key")[-1].as_py()))  # the last key may go on
             if upto:
-                yield solve(table.slice(0, upto))
-                held = pa.Table.from_batches(table.slice(upto).to_batches()).to_batches()
+                yield from whole(table.slice(0, upto), False)
+                held = table.slice(upto).combine_chunks().to_batches()
                 size = sum(x.nbytes for x in held)
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield from whole(pa.Table.from_batches(held), True)
 
     return run
 
