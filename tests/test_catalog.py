@@ -138,6 +138,34 @@ def test_settings_of_an_audit_have_effects(spark, planted):
         assert {r.target: r for r in metrics.scores(got).collect()}[1].auc >= 0.999
 
 
+def test_a_sweep_is_its_audits(planted):
+    """Raw, suppressed, noisy and with part of a trace, in one plan and one by one."""
+    groups, counts, own, _ = planted
+    configs = [replace(BASE, **c).coupled() for c in ({}, {"suppress": 1}, {"dp_eps": 1.0, "dp_sens": 1}, {"partial": "random", "partial_fraction": 0.5, "classifier": "RF", "rf_trees": 10})]
+    got = sorted((r.tag, r.target, r.agg_id, r.y, round(r.p, 9), r.pred) for r in audit.sweep(configs, groups, counts, own, 10, 5).collect())
+    want = sorted((c.tag(), r.target, r.agg_id, r.y, round(r.p, 9), r.pred) for c in configs for r in audit.reference_prior(groups, counts, own, 10, 5, c).collect())
+    assert got == want and len({t for t, *_ in got}) == 4
+    with pytest.raises(ValueError):
+        audit.sweep([configs[0], replace(configs[1], n_groups=10)], groups, counts, own, 10, 5)
+
+
+def test_the_fixed_point_finds_a_planted_mean(spark):
+    """Releases of synthetic members at a known mean, small counts suppressed: the estimate starts too low and comes near the mean."""
+    keys, n_rois, n_epochs, m = ["target", "agg_id"], 9, 12, 60
+    config = replace(BASE, group_size=m, suppress=1, n_synthetic=m, cluster_size=5, seed=7).coupled()
+    groups = spark.createDataFrame([(1, f"g{k}") for k in range(3)], "target long, agg_id string")
+    rois = keep(groups.crossJoin(spark.range(n_rois).select(F.col("id").cast("int").alias("roi"), F.lit(1 / n_rois).alias("p"))))
+    times = keep(groups.crossJoin(spark.range(n_epochs).select(F.col("id").cast("int").alias("epoch"), F.lit(1 / n_epochs).alias("p"))))
+    near = catalog._adjacent(spark, n_rois)
+    users = synthesis.traces_at(rois.withColumn("mean", F.lit(6.0)), times, near, keys, m, "exp", 5, seed=99)
+    made = users.groupBy(*keys, "roi", "epoch").agg(F.count("*").alias("cnt"))
+    seen = keep(made.where("cnt > 1"))
+    start = {r.agg_id: r.s / m for r in seen.groupBy("agg_id").agg(F.sum("cnt").alias("s")).collect()}
+    true = {r.agg_id: r.s / m for r in made.groupBy("agg_id").agg(F.sum("cnt").alias("s")).collect()}
+    got = {r.agg_id: r["mean"] for r in audit.mean_visits(seen, groups, rois, times, near, keys, n_rois, n_epochs, config).collect()}
+    assert set(got) == {"g0", "g1", "g2"} and all(4.0 < v < 8.0 for v in got.values()), (start, true, got)
+
+
 def test_true_activity_and_heavy_users(spark):
     rois = spark.createDataFrame([(1, r, 0.25 if r < 4 else 0.0, 3.0) for r in range(6)], "k long, roi int, p double, mean double")
     times = spark.createDataFrame([(1, e, 0.5) for e in range(2)], "k long, epoch int, p double")

@@ -158,9 +158,15 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.sites(spark, str(tmp_path / "s.csv"), 5).count() == 1
     scores = spark.createDataFrame([(1, 0.5, 0.75)], "target long, acc double, auc double")
     predictions = spark.createDataFrame([(1, "a", 1)], "target long, agg_id string, y int")
-    for _ in range(2):
-        sinks.results(scores, predictions, sinks.run_meta(spark, config.AuditConfig()), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/scores")).select("run_id").distinct().count() == 2
+    out, meta = str(tmp_path / "out"), sinks.run_meta(spark, config.AuditConfig())
+    ids = {sinks.results(scores, predictions, m, out) for m in (meta, sinks.run_meta(spark, config.AuditConfig()))}
+    assert {r.run_id for r in readers.runs(spark, out, "scores").collect()} == ids == {r.run_id for r in readers.runs(spark, out, "settings").collect()} and len(ids) == 2
+    with pytest.raises(FileExistsError):
+        sinks.results(scores.limit(0), predictions, meta, out)
+    broken = predictions.withColumn("y", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.results(scores, broken, sinks.run_meta(spark, config.AuditConfig(), "third"), out)
+    assert {r.run_id for r in readers.runs(spark, out, "scores").collect()} == ids and not (tmp_path / "out/third").exists()
     assert sinks.summary(scores).first()["mean_auc"] == 0.75
 
 

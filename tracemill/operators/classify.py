@@ -315,6 +315,7 @@ def attack(rows: pd.DataFrame, config: AuditConfig) -> pd.DataFrame:
     Cells are scaled by the training and validation rows; components are those of the training rows. Without training rows of both
     labels there is nothing to learn, and every score is their share of label 1, or 0.5.
     """
+    rows = rows.sort_values(["split", "agg_id"])  # what is drawn of them does not depend on how they came
     of, y = {s: (rows["split"] == s).to_numpy() for s in ("train", "validation", "test")}, rows["label"].to_numpy(dtype=float)
     train = of["train"]
     if len(set(y[train].tolist())) < 2:

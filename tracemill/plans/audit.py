@@ -56,6 +56,15 @@ def apply_rule(predictions: DataFrame, groups: DataFrame, counts: DataFrame, cel
     return both.select("target", "agg_id", "y", F.when(F.col("_out"), 0.0).otherwise(F.col("p")).alias("p"), F.when(F.col("_out"), 0).otherwise(F.col("pred")).alias("pred"), "thr")
 
 
+def seen_counts(counts: DataFrame, cells: DataFrame, n_epochs: int, config: AuditConfig) -> DataFrame:
+    """A bundle's counts as the observer makes them: training IN groups have the known part of the target's trace in place of the whole."""
+    if not config.partial:
+        return counts
+    known = partial.known(cells, config.partial, n_epochs, config.partial_fraction, config.top_k, config.seed)
+    train = counts.where("split = 'train'")
+    return counts.where("split <> 'train'").unionByName(agg.swap_traces(train, cells, known, PAIR_KEYS))
+
+
 def reference_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, n_rois: int, n_epochs: int, config: AuditConfig) -> DataFrame:
     """Predictions of an observer who trains on aggregates of real reference users.
 
@@ -64,11 +73,7 @@ def reference_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, n_ro
     """
     groups = chosen(groups, config)
     counts = counts.join(groups.select("target", "agg_id"), ["target", "agg_id"], "left_semi")
-    if config.partial:
-        known = partial.known(cells, config.partial, n_epochs, config.partial_fraction, config.top_k, config.seed)
-        train = counts.where("split = 'train'")
-        counts = counts.where("split <> 'train'").unionByName(agg.swap_traces(train, cells, known, PAIR_KEYS))
-    out = keep(released(groups, counts, n_rois, n_epochs, config))
+    out = keep(released(groups, seen_counts(counts, cells, n_epochs, config), n_rois, n_epochs, config))
     return apply_rule(classify.predict(classify.features(out, groups, n_epochs), config), groups, counts, cells, config)
 
 
@@ -175,9 +180,25 @@ def marginal_prior(groups: DataFrame, counts: DataFrame, cells: DataFrame, adjac
 
 
 def sweep(configs: Iterable[AuditConfig], groups: DataFrame, counts: DataFrame, cells: DataFrame, n_rois: int, n_epochs: int) -> DataFrame:
-    """Predictions of the reference-prior audit under each configuration, with its tag."""
-    out = None
-    for c in configs:
-        part = reference_prior(groups, counts, cells, n_rois, n_epochs, c).withColumn("tag", F.lit(c.tag()))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Predictions of the reference-prior audit under each configuration, with its tag: what each gives alone, from one reading of the bundle.
+
+    The configurations take the same groups (numbers of targets and groups, pairing and seed are those of the first, or it raises). Their
+    releases are one table, keyed by the configuration, and so are features; all fits of all configurations are one job.
+    """
+    configs = list(configs)
+    same = {(c.n_targets, c.n_groups, c.train_size, c.validation_size, c.paired, c.seed, c.mode, c.group_size) for c in configs}
+    if len(same) != 1 or configs[0].mode != "reference_prior":
+        raise ValueError("the configurations of a sweep are reference-prior audits of the same groups")
+    groups = chosen(groups, configs[0])
+    counts = keep(counts.join(groups.select("target", "agg_id"), ["target", "agg_id"], "left_semi"))
+
+    def named(df: DataFrame, i: int) -> DataFrame:
+        """An aggregate's name under a configuration begins with its number."""
+        return df.withColumns({"agg_id": F.concat(F.lit(f"{i}#"), "agg_id"), "target": F.xxhash64(F.lit(i), "target")})
+
+    out = reduce(DataFrame.unionByName, (named(released(groups, seen_counts(counts, cells, n_epochs, c), n_rois, n_epochs, c), i) for i, c in enumerate(configs)))
+    rows = classify.features(out, reduce(DataFrame.unionByName, (named(groups, i) for i in range(len(configs)))), n_epochs)
+    fits = keep(rows.groupBy("target").applyInPandas(lambda f: classify.attack(f, configs[int(f["agg_id"].iloc[0].split("#")[0])]), classify.PREDICTIONS))
+    found = fits.withColumns({"_i": F.substring_index("agg_id", "#", 1).cast("int"), "agg_id": F.expr("substr(agg_id, instr(agg_id, '#') + 1)")}).drop("target").join(groups.select("target", "agg_id"), "agg_id")
+    parts = (apply_rule(found.where(F.col("_i") == i).select("target", "agg_id", "y", "p", "pred", "thr"), groups, counts, cells, c).withColumn("tag", F.lit(c.tag())) for i, c in enumerate(configs))
+    return reduce(DataFrame.unionByName, parts)

@@ -43,6 +43,11 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def runs(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """`scores`, `predictions` or `settings` of all runs that `sinks.results` completed; each row has its run_id."""
+    return spark.read.parquet(f"{path}/[!_]*/{name}")
+
+
 def dims(traces: DataFrame) -> DataFrame:
     """One row: n_rois, n_epochs (from the largest indexes), n_users."""
     return traces.agg((F.max("roi") + 1).cast("long").alias("n_rois"), (F.max("epoch") + 1).cast("long").alias("n_epochs"), F.count_distinct("user_id").alias("n_users"))

@@ -27,12 +27,26 @@ def run_meta(spark: SparkSession, config: AuditConfig, run_id: str | None = None
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
 
 
-def results(scores: DataFrame, predictions: DataFrame, meta: DataFrame, path: str) -> None:
-    """Append a run's scores, predictions and settings; rows carry the run's id, so runs never overwrite one another."""
-    run = meta.first()["run_id"]
-    for name, df in (("scores", scores), ("predictions", predictions)):
-        table(df.withColumn("run_id", F.lit(run)), f"{path}/{name}", by=("run_id",), mode="append")
-    table(meta, f"{path}/runs", mode="append")
+def results(scores: DataFrame, predictions: DataFrame, meta: DataFrame, path: str) -> str:
+    """A run's scores, predictions and settings below path/<run_id>, all at once or not at all; returns the run's id.
+
+    They are written beside it and moved there by one renaming when all three are complete, so readers never see a part of a run and
+    a failed one leaves nothing in sight. A run_id that is there already raises, and stays as it is.
+    """
+    spark, run = meta.sparkSession, meta.first()["run_id"]
+    files = spark._jvm.org.apache.hadoop.fs
+    there, unfinished = files.Path(f"{path}/{run}"), files.Path(f"{path}/_unfinished/{uuid.uuid4().hex}")
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(there):
+        raise FileExistsError(f"{path} has a run {run}")
+    try:
+        for name, df in (("scores", scores), ("predictions", predictions), ("settings", meta)):
+            table(df.withColumn("run_id", F.lit(run)), f"{unfinished.toString()}/{name}")
+        if fs.exists(there) or not fs.rename(unfinished, there):
+            raise FileExistsError(f"{path} has a run {run}")
+    finally:
+        fs.delete(unfinished, True)
+    return run
 
 
 def summary(scores: DataFrame) -> DataFrame:
