@@ -37,8 +37,9 @@ BOX = Box(9.1, 9.27, 45.4, 45.53, 1.6)
 
 def build_config(n_users: int) -> BuildConfig:
     """A bundle for so many users: the published sizes, or what the users suffice for."""
-    m = max(M, min(1000, n_users // 40))
-    return BuildConfig(group_size=m, n_targets=max(TARGETS, min(50, n_users // 300)), min_visits=10, reference_size=max(12, min(2500, n_users // 10)), train=16, test=8, validation=8, seed=42)
+    reference = max(min(12, n_users // 2), min(2500, n_users // 10))
+    m = min(max(M, min(1000, n_users // 40)), max(1, reference - 1), max(1, n_users - reference))
+    return BuildConfig(group_size=m, n_targets=max(TARGETS, min(50, n_users // 300)), min_visits=10, reference_size=reference, train=16, test=8, validation=8, seed=42)
 
 
 def audit_config(n_users: int, **changed: object) -> AuditConfig:
