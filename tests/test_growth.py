@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import growth
