@@ -641,11 +641,20 @@ def features_minmax(spark, sf_dir):
 
 @query("WITH " + POINTS_SQL + " SELECT CAST(user_id AS VARCHAR) AS user_id, ts, lon, lat FROM points")
 def geojson_round_trip(spark, sf_dir):
-    """Points as one GeoJSON feature a line, with a line feature beside each that the reader leaves out."""
+    """Points as whole GeoJSON collections, one a task, with a line feature beside each that the reader leaves out."""
     geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geomPoint.geom")
     point = points(spark, sf_dir).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"), geom)).alias("value"))
     path = new_path(spark)
-    point.withColumn("value", F.explode(F.array("value", F.replace("value", F.lit('"Point"'), F.lit('"LineString"'))))).write.text(path)
+    sinks.collections(point.withColumn("value", F.explode(F.array("value", F.replace("value", F.lit('"Point"'), F.lit('"LineString"'))))), path)
+    return readers.geojson(spark, path)
+
+
+@query("WITH " + POINTS_SQL + " SELECT CAST(user_id AS VARCHAR) AS user_id, ts, lon, lat FROM points")
+def geojson_lines_round_trip(spark, sf_dir):
+    """Points as one GeoJSON feature a line."""
+    geom = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geomPoint.geom")
+    path = new_path(spark)
+    points(spark, sf_dir).select(F.to_json(F.struct(F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"), geom))).write.text(path)
     return readers.geojson(spark, path, lines=True)
 
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GEOJSON = "features array<struct<user:string,timestamp:long,`geomPoint.geom`:struct<type:string,coordinates:array<double>>>>"
+from . import collections
+
+FEATURE = "user string, timestamp long, `geomPoint.geom` struct<type:string,coordinates:array<double>>"
 
 
 def geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Point features as (user_id, ts, lon, lat); other geometries and those with fewer than two coordinates are left out.
 
-    `lines`: one feature per line, which Spark can split; else whole collections, one task a file.
+    `lines`: one feature per line; else whole collections, each of which is cut between tasks too (see `collections`).
     """
-    if lines:
-        features = spark.read.schema(GEOJSON.removeprefix("features array<struct<").removesuffix(">>").replace("user:", "user ").replace("timestamp:long", "timestamp long").replace("`:", "` ")).json(path)
-    else:
-        features = spark.read.schema(GEOJSON).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.*")
+    features = spark.read.schema(FEATURE).json(path) if lines else collections.features(spark, path, FEATURE).select("feature.*")
     place = F.col("`geomPoint.geom`")
     kept = features.where((place["type"] == "Point") & (F.size(place["coordinates"]) >= 2))
     return kept.select(F.col("user").alias("user_id"), F.col("timestamp").alias("ts"), F.get(place["coordinates"], 0).alias("lon"), F.get(place["coordinates"], 1).alias("lat"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,23 @@ def bundle(aggregates: DataFrame, path: str) -> None:
     table(aggregates.repartition("split", "target"), path, by=("split", "target"))
 
 
+def collections(features: DataFrame, path: str) -> None:
+    """Features as JSON (column value) as GeoJSON collections, one file a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"type": "FeatureCollection", "features": ['
+        for b in batches:
+            lines = []
+            for value in b.column(0).to_pylist():
+                lines.append(before + value)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if before == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["value"])
+
+    features.select("value").mapInArrow(run, "value string").write.text(path)
+
+
 def run_meta(spark: SparkSession, config: AuditConfig, run_id: str | None = None) -> DataFrame:
     """One row: run_id, tag and the settings of a run."""
     row = {"run_id": run_id or uuid.uuid4().hex, "tag": config.tag()} | config.row()
