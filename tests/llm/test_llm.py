@@ -1,5 +1,6 @@
 """The subpackage's operators against brute force, exact round trips and held-out accuracy, and on awkward rows."""
 
+import bisect
 import hashlib
 import html
 import math
@@ -292,6 +293,18 @@ def test_op2_awkward(spark, odd, per_bucket):
     assert fingerprints.edited_likeness(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [1, 3, 256])
+def test_op2_ranges_by_groups_of_bounds(spark, group):
+    rng = random.Random(group)
+    rows = [(rng.randrange(-40, 40), rng.randrange(-3, 3)) for _ in range(400)] + [(-(1 << 63), -(1 << 63)), ((1 << 63) - 1, (1 << 63) - 1)]
+    splits = [(-(1 << 63), -(1 << 63)), *sorted({(rng.randrange(-40, 40), rng.choice([-(1 << 63), 0, 1])) for _ in range(50)})]
+    got = fingerprints.with_bucket(spark.createDataFrame(rows, "_key long, _tie long"), splits, "at", group).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        at = bisect.bisect_right(splits, (r._key, r._tie)) - 1
+        assert (r["at"], r._bound) == (at, splits[at][0])
+
+
 def test_op2_one_id_may_hold_most_rows(spark):
     """Ids that many rows share, and nulls, have several ranges; all rows still follow each other in one circle."""
     rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k}") for k in range(600)] + [(9, "again")] * 40

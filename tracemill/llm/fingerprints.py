@@ -129,19 +129,32 @@ def near(fingerprints: DataFrame, queries: DataFrame, radius: int = 6, agree: in
     return found.where(first == F.col("table")).select(F.col("asked").alias("query"), F.col("there").alias("fp"), bits.cast("int").alias("bits"))
 
 
-def with_bucket(df: DataFrame, splits: list[tuple[int, int]], name: str) -> DataFrame:
-    """df with how many of the sorted splits are at most (_key, _tie), less one: binary search steps over literal arrays."""
-    step = 1 << max(0, (len(splits) - 1).bit_length())
-    key, tie = (F.lit([s[k] for s in splits] + [(1 << 63) - 1] * (step - len(splits))) for k in (0, 1))
-    df = df.withColumn(name, F.lit(0))
+def search(df: DataFrame, keys: Column, ties: Column, count: int, name: str) -> DataFrame:
+    """df with `name`: how many of the first sorted bounds (keys, ties) are at most (_key, _tie), less one, by binary search over `count` places."""
+    df, step = df.withColumn(name, F.lit(0)), 1 << max(0, (count - 1).bit_length())
     while step > 1:
         step //= 2
         at = F.col(name) + step
-        reached = (F.get(key, at) < F.col("_key")) | (F.get(key, at) == F.col("_key")) & (F.get(tie, at) <= F.col("_tie"))
-        df = df.withColumn(name, F.when((at < len(splits)) & reached, at).otherwise(F.col(name)))
+        reached = (F.get(keys, at) < F.col("_key")) | (F.get(keys, at) == F.col("_key")) & (F.get(ties, at) <= F.col("_tie"))
+        df = df.withColumn(name, F.when(reached, at).otherwise(F.col(name)))  # beyond the end: null, so not reached
     return df
 
 
+def with_bucket(df: DataFrame, splits: list[tuple[int, int]], name: str, group: int = 256) -> DataFrame:
+    """df with `name`, how many of the sorted splits are at most (_key, _tie), less one, and `_bound`, the key of the last of these.
+
+    Splits are searched in groups: the first of each group stands in the plan, the rest in a table of a row a group, which is
+    broadcast. The time to plan is that of the groups' firsts; of 65,536 splits the table holds 1 MB.
+    """
+    groups = [splits[k : k + group] for k in range(0, len(splits), group)]
+    firsts = ([g[0][k] for g in groups] for k in (0, 1))
+    df = search(df, *(F.lit(f) for f in firsts), len(groups), "_group")
+    rows = [(g, [k for k, _ in part], [t for _, t in part]) for g, part in enumerate(groups)]
+    bounds = df.sparkSession.createDataFrame(rows, "_group int, _keys array<long>, _ties array<long>")
+    df = search(df.join(F.broadcast(bounds), "_group"), F.col("_keys"), F.col("_ties"), len(groups[0]), "_fine")
+    return df.withColumns({name: F.col("_group") * group + F.col("_fine"), "_bound": F.get("_keys", F.col("_fine"))}).drop("_group", "_fine", "_keys", "_ties")
+
+
 def range_splits(cuts: list[int], low: int) -> tuple[list[tuple[int, int]], bool]:
     """Where ranges begin, as (key, tie), and whether some key has several ranges, by its ties, as it holds several quantiles."""
     lowest, splits = -(1 << 63), []
@@ -170,14 +183,14 @@ def with_next_text(docs: DataFrame, rows_per_bucket: int = 256, max_buckets: int
     splits, tied = range_splits(cuts or [], low) if n else ([(0, 0)], False)
     last = len(splits) - 1
     docs = with_bucket(docs, splits, "_bucket")
-    if tied:  # a range need not begin with a row at its bound
+    if tied:  # a range need not begin with a row at its bound, nor hold a row
         firsts = docs.groupBy("_bucket").agg(F.min(F.struct("_key", "_tie")).alias("_first"))  # at most max_buckets rows
-        docs = docs.join(F.broadcast(firsts), "_bucket")
+        before = F.coalesce(F.lag("_bucket").over(Window.orderBy("_bucket")), F.max("_bucket").over(Window.partitionBy()))
+        docs = docs.join(F.broadcast(firsts.withColumn("_before", before)), "_bucket")
         head = (F.col("_first._key") == F.col("_key")) & (F.col("_first._tie") == F.col("_tie"))
-        present = [r[0] for r in firsts.select("_bucket").orderBy("_bucket").collect()]
-        previous = F.get(F.lit([present[present.index(b) - 1] if b in set(present) else 0 for b in range(last + 1)]), F.col("_bucket"))
+        previous = F.col("_before")
     else:
-        head = F.get(F.lit([k for k, _ in splits]), F.col("_bucket")) == F.col("_key")
+        head = F.col("_bound") == F.col("_key")
         previous = F.when(F.col("_bucket") == 0, last).otherwise(F.col("_bucket") - 1)
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
     before = F.struct(previous.cast("int").alias("bucket"), F.lit(1).alias("guest"))
