@@ -96,6 +96,7 @@ class AuditConfig:
     partial: PartialTrace | None = None
     partial_fraction: float | None = 1.0
     top_k: int | None = None
+    squash: bool = False
 
     def __post_init__(self) -> None:
         for name, kind in (("mode", Mode), ("classifier", Classifier), ("activity", Activity), ("partial", PartialTrace)):

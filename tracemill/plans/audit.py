@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import AuditConfig
 from ..functions.draws import uniform
 from ..operators import aggregates as agg
-from ..operators import classify, growth, marginals, partial, privacy, rules, sampling, synthesis
+from ..operators import classify, growth, marginals, metrics, partial, privacy, rules, sampling, synthesis
 from ..stages import keep
 
 PAIR_KEYS = ["target", "split", "agg_id", "pair_id", "label"]
@@ -46,14 +46,20 @@ def released(groups: DataFrame, counts: DataFrame, n_rois: int, n_epochs: int, c
     return privacy.release(counts, groups, PAIR_KEYS, ["pair_id"] if config.paired else ["agg_id"], n_rois, n_epochs, config.group_size, config.dp_eps, config.dp_sens, config.suppress, config.seed)
 
 
+def squashed(predictions: DataFrame, config: AuditConfig) -> DataFrame:
+    """Scores and thresholds through the logistic function, if the audit squashes them. What is predicted stays, and so do the AUCs."""
+    return predictions.withColumns({c: metrics.sigmoid(F.col(c)) for c in ("p", "thr")}) if config.squash else predictions
+
+
 def apply_rule(predictions: DataFrame, groups: DataFrame, counts: DataFrame, cells: DataFrame, config: AuditConfig) -> DataFrame:
-    """On raw releases with the whole trace known, contradicted aggregates are non-members with score zero."""
+    """On raw releases with the whole trace known, contradicted aggregates are non-members with score zero; then scores are squashed, if asked for."""
     if not config.raw or config.partial:
-        return predictions
+        return squashed(predictions, config)
     test = groups.where("split = 'test'")
     hit = rules.contradicted(test, counts, cells, config.group_size).where("contradiction").select("target", "agg_id", F.lit(True).alias("_out"))
     both = predictions.join(hit, ["target", "agg_id"], "left")
-    return both.select("target", "agg_id", "y", F.when(F.col("_out"), 0.0).otherwise(F.col("p")).alias("p"), F.when(F.col("_out"), 0).otherwise(F.col("pred")).alias("pred"), "thr")
+    ruled = both.select("target", "agg_id", "y", F.when(F.col("_out"), 0.0).otherwise(F.col("p")).alias("p"), F.when(F.col("_out"), 0).otherwise(F.col("pred")).alias("pred"), "thr")
+    return squashed(ruled, config)
 
 
 def seen_counts(counts: DataFrame, cells: DataFrame, n_epochs: int, config: AuditConfig) -> DataFrame:
