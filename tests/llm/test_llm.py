@@ -407,6 +407,19 @@ def test_op3_fuses_as_plain_bayes_does(spark):
     assert langid.address("https://news.bbc.co.uk/x")[1:] == ("bbc.co.uk", "uk") and langid.address("http://10.0.0.1/") == ("10.0.0.1", "10.0.0.1", "")
 
 
+def test_op3_awkward(spark, odd):
+    """Repeated rows each get theirs, a very long text is read whole, and columns of the operator's own names are ignored."""
+    texts = langid.Texts(["de", "fr"], np.stack([langid.trigram_counts("der die das und nicht ein haus"), langid.trigram_counts("le la les et pas une maison")]))
+    clash = {c: F.lit("x") for c in ("id", "address", "host", "domain", "declared", "p0", "h0", "g0", "confidence")}
+    got = langid.identify_documents(odd.withColumns(clash), texts).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in AWKWARD) and all(0 < r.confidence <= 1 for r in got)
+    page = "<html><body>" + "der die das und " * 300 + "le la les et pas une " * 60_000 + "</body></html>"  # 1.3 MB, a beginning unlike the rest
+    rows = [(k, "https://a.example.com/x", page) for k in (1, 1, 2)] + [(3, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(clash)
+    got = langid.identify_pages(pages, texts).collect()
+    assert sorted(r.page_id for r in got) == [1, 1, 2, 3] and {r.text_lang for r in got if r.page_id < 3} == {"fr"}
+
+
 # op4
 
 
@@ -497,6 +510,10 @@ def test_op4_rows(spark):
     got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("a b\nc", 5)]
     assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    again = [(5, "u", "<article><p>" + "long words " * 50_000 + "</p></article>")] * 3
+    clash = {c: F.lit("x") for c in ("text", "n_chars", "kind", "c0", "weight")}
+    got = html_extract.main_texts(spark.createDataFrame(again, "page_id long, url string, html string").withColumns(clash)).collect()
+    assert [(r.page_id, r.n_chars) for r in got] == [(5, 549_999)] * 3
 
 
 @settings(max_examples=100, deadline=None)
@@ -851,6 +868,7 @@ def test_op8(spark, texts, odd):
         spans = sorted((s, secret_scan.BASE_KINDS.index(k), e) for k, v in want.items() for s, e in v)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{secret_scan.BASE_KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
     assert len(secret_scan.secrets(odd).collect()) == len(AWKWARD)
+    assert secret_scan.secrets(odd.limit(0)).count() == 0 and secret_scan.redact(odd.limit(0)).count() == 0
     masked = secret_scan.redact(odd)
     assert masked.columns == odd.columns and masked.where("text like '%AKIA%'").count() == 0 and masked.where("text is null").count() == 1
 
