@@ -3,6 +3,7 @@
 import math
 import random
 from dataclasses import replace
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,7 +13,8 @@ from tracemill import catalog
 from tracemill.config import AuditConfig
 from tracemill.operators import metrics, prep, sampling, synthesis
 from tracemill.plans import audit
-from tracemill.stages import keep
+from tracemill.sources import readers
+from tracemill.stages import keep, new_path
 
 from .conftest import SF
 
@@ -151,6 +153,25 @@ def test_squashed_scores_rank_alike(planted, changed):
     assert sorted(map(tuple, metrics.scores(plain).collect())) == sorted(map(tuple, metrics.scores(other).collect()))
 
 
+def test_a_run_writes_its_results_and_leaves_nothing_else(spark, planted, tmp_path):
+    groups, counts, own, _ = planted
+    config = replace(BASE, suppress=1).coupled()
+    at = Path(new_path(spark)).parent
+    at = Path(str(at).removeprefix("file:"))
+    before = set(at.iterdir()) if at.exists() else set()
+    name = audit.run(groups, counts, own, 10, 5, config, str(tmp_path), run_id="one")
+    assert name == "one" and set(at.iterdir()) == before
+    want = sorted(map(tuple, audit.reference_prior(groups, counts, own, 10, 5, config).collect()))
+    got = readers.runs(spark, str(tmp_path), "predictions")
+    assert sorted(map(tuple, got.drop("run_id").collect())) == want
+    assert readers.runs(spark, str(tmp_path), "scores").count() == 2
+    with pytest.raises(FileExistsError):
+        audit.run(groups, counts, own, 10, 5, config, str(tmp_path), run_id="one")
+    with pytest.raises(ValueError):
+        audit.run(groups, counts, own, 10, 5, replace(config, mode="marginal_prior"), str(tmp_path))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith("_")] == ["one"]
+
+
 def test_a_sweep_is_its_audits(planted):
     """Raw, suppressed, noisy and with part of a trace, in one plan and one by one."""
     groups, counts, own, _ = planted

@@ -12,7 +12,8 @@ from ..config import AuditConfig
 from ..functions.draws import uniform
 from ..operators import aggregates as agg
 from ..operators import classify, growth, marginals, metrics, partial, privacy, rules, sampling, synthesis
-from ..stages import keep
+from ..sources import sinks
+from ..stages import keep, scratch
 
 PAIR_KEYS = ["target", "split", "agg_id", "pair_id", "label"]
 
@@ -208,3 +209,20 @@ def sweep(configs: Iterable[AuditConfig], groups: DataFrame, counts: DataFrame,
     found = fits.withColumns({"_i": F.substring_index("agg_id", "#", 1).cast("int"), "agg_id": F.expr("substr(agg_id, instr(agg_id, '#') + 1)")}).drop("target").join(groups.select("target", "agg_id"), "agg_id")
     parts = (apply_rule(found.where(F.col("_i") == i).select("target", "agg_id", "y", "p", "pred", "thr"), groups, counts, cells, c).withColumn("tag", F.lit(c.tag())) for i, c in enumerate(configs))
     return reduce(DataFrame.unionByName, parts)
+
+
+def run(groups: DataFrame, counts: DataFrame, cells: DataFrame, n_rois: int, n_epochs: int, config: AuditConfig, path: str, adjacency: DataFrame | None = None, population: DataFrame | None = None, run_id: str | None = None) -> str:
+    """A whole audit: its scores, predictions and settings below path/<run_id>, all at once or not at all; returns the run's id.
+
+    The config's mode says which observer; the one with a release alone needs `adjacency`. Tables kept on the way are deleted at the end.
+    """
+    if config.mode == "marginal_prior" and adjacency is None:
+        raise ValueError("the marginal prior needs the places' neighbours")
+    spark = groups.sparkSession
+    with scratch(spark):
+        if config.mode == "marginal_prior":
+            found = marginal_prior(groups, counts, cells, adjacency, n_rois, n_epochs, config, population)
+        else:
+            found = reference_prior(groups, counts, cells, n_rois, n_epochs, config)
+        found = keep(found)
+        return sinks.results(metrics.scores(found), found, sinks.run_meta(spark, config, run_id), path)
