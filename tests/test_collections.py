@@ -71,20 +71,40 @@ def test_empty_files_and_broken_features(spark, tmp_path):
     assert [tuple(r) for r in readers.geojson(spark, str(tmp_path)).collect()] == [("u", 5, 9.0, 45.0)]
 
 
+def by_characters(text):
+    """(quoted, open brackets) by a plain machine over every character; an array named `features` at the top is F."""
+    quoted, escaped, stack, string, last = False, False, [], "", ""
+    for c in text:
+        if quoted:
+            if not escaped and c == '"':
+                quoted, last = False, string
+            string, escaped = string + c, c == "\\" and not escaped
+        elif c == '"':
+            quoted, string = True, ""
+        elif c in "{[":
+            stack.append("O" if c == "{" else "F" if last == "features" and stack == ["O"] else "A")
+            last = ""
+        elif c in "}]":
+            stack.pop()
+            last = ""
+    return quoted, "".join(stack)
+
+
 def test_random_texts_by_every_cut():
-    """The states put together from sums are those of one scan, wherever the text is cut at braces."""
+    """The states put together from sums are those of a plain machine, wherever the text is cut at braces."""
     rng = random.Random(11)
     for seed in range(60):
-        text = json.dumps(collection(random.Random(seed), 3))
+        text = json.dumps(collection(random.Random(seed), 3), indent=rng.choice([None, 3]), ensure_ascii=False)
         ends = [k + 1 for k, c in enumerate(text) if c == "}"]
         cuts = [0, *sorted(rng.sample(ends[:-1], min(7, len(ends) - 1))), len(text)]
-        sums, expected, whole = [], [], collections.Scan(False, "")
+        sums, expected = [], []
         for a, b in zip(cuts, cuts[1:]):
-            expected.append((a, whole.quoted, "".join(whole.stack)))
-            list(whole.brackets(text[a:b]))
+            expected.append((a, *by_characters(text[:a])))
             for quoted in (False, True):
                 s = collections.Scan(quoted)
-                list(s.brackets(text[a:b]))
+                for part in (text[a : (m := text.index("}", a) + 1)], text[m:b]):
+                    if part:
+                        s.over(collections.Text(part.encode()))
                 sums.append(("p", a, quoted, s.quoted, s.closed, "".join(s.stack)))
         frame = collections.pd.DataFrame(sums, columns=["path", "block", "quoted", "ends_quoted", "closed", "opened"])
         assert [tuple(r) for r in collections.folded(frame)[["block", "quoted", "open"]].itertuples(index=False)] == expected

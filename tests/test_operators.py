@@ -152,6 +152,7 @@ def test_sources_and_sinks(spark, tmp_path):
     short = point | {"geomPoint.geom": {"type": "Point", "coordinates": [9.0]}}
     (tmp_path / "p.json").write_text(json.dumps({"type": "FeatureCollection", "features": [point, line, short]}, indent=1))
     assert [tuple(r) for r in readers.geojson(spark, str(tmp_path / "p.json")).collect()] == [("u", 5, 9.0, 45.0)]
+    assert [tuple(r) for r in readers.geojson(spark, str(tmp_path / "p.json"), cut=False).collect()] == [("u", 5, 9.0, 45.0)]
     (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, [point, line, short])))
     assert [tuple(r) for r in readers.geojson(spark, str(tmp_path / "p.jsonl"), lines=True).collect()] == [("u", 5, 9.0, 45.0)]
     (tmp_path / "s.csv").write_text("site_id,arr_id,lon,lat\n1,2,9.0,45.0\n8,2,9.1,45.0\n")

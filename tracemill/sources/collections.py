@@ -11,72 +11,118 @@ A feature is an object that is an element of the array `features` of an object a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..stages import keep
 
-OUTSIDE = re.compile(r'"(?:[^"\\]++|\\.)*+"?|[{}\[\]]', re.DOTALL)  # a whole string, a string that the buffer ends in, or a bracket
-INSIDE = re.compile(r'(?:[^"\\]++|\\.)*+"', re.DOTALL)  # the rest of a string
+QUOTE, BACKSLASH = b'"\\'
+OPEN_OBJECT, CLOSE_OBJECT, OPEN_ARRAY, CLOSE_ARRAY = b"{}[]"
+STEP = np.zeros(256, dtype=np.int64)
+STEP[[OPEN_OBJECT, OPEN_ARRAY]], STEP[[CLOSE_OBJECT, CLOSE_ARRAY]] = 1, -1
 SUMS = "path string, block long, quoted boolean, ends_quoted boolean, closed int, opened string"
 STATES = "path string, block long, quoted boolean, open string, since long"
 BROADCAST_SPLITS = 500_000  # of about 200 bytes each
 
 
+class Text:
+    """A buffer of JSON text that ends in a brace, with its quotes and brackets found."""
+
+    def __init__(self, data: bytes):
+        self.data, at = data, np.frombuffer(data, np.uint8)
+        self.quotes = np.flatnonzero(at == QUOTE)
+        if b"\\" in data:  # a quote behind an odd number of backslashes is none
+            last = np.maximum.accumulate(np.where(at != BACKSLASH, np.arange(len(at)), -1))
+            before = np.maximum(self.quotes - 1, 0)
+            self.quotes = self.quotes[(self.quotes == 0) | ((before - last[before]) % 2 == 0)]
+        self.brackets = np.flatnonzero(STEP[at])
+        self.strings = np.searchsorted(self.quotes, self.brackets)
+        self.kinds = at[self.brackets]
+
+    def outside(self, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(places, kinds) of the brackets outside strings, and whether the text ends in a string, if it begins in one or not."""
+        chosen = (self.strings + quoted) % 2 == 0
+        return self.brackets[chosen], self.kinds[chosen], (len(self.quotes) + quoted) % 2 == 1
+
+    def named_features(self, at: int) -> bool:
+        """Whether the array that opens there is the value of a key `features`."""
+        head = self.data[:at].rstrip()
+        head = head[:-1].rstrip() if head.endswith(b":") else b""
+        return head.endswith(b'"features"') and not head.endswith(b'\\"features"')
+
+
 class Scan:
     """Runs over JSON text and keeps what is open: O an object, F an array of features, A another array.
 
-    `closed` counts the brackets closed that were opened before the scan. Text comes in buffers that end in a brace.
+    `closed` counts the brackets closed that were opened before the scan. Of an unknown beginning every array that is named
+    `features` and may be at the top of a collection is marked F.
     """
 
     def __init__(self, quoted: bool, open_: str | None = None):
         self.quoted, self.stack, self.known, self.closed = quoted, list(open_ or ""), open_ is not None, 0
-        self.key = None  # the string before, if nothing but it stands between two brackets
-
-    def brackets(self, text: str) -> Iterator[tuple[str, int]]:
-        """(bracket, its place) with the stack as it is before an opening and after a closing one."""
-        at = 0
-        if self.quoted:
-            rest = INSIDE.match(text)
-            if not rest:
-                return
-            at, self.quoted, self.key = rest.end(), False, None
-        for token in OUTSIDE.finditer(text, at):
-            s = token.group()
-            if s[0] == '"':
-                self.quoted = s[-1] != '"'  # one that is not closed reaches to the buffer's end, a brace
-                self.key = s
-            elif s in "{[":
-                yield s, token.start()
-                self.stack.append("O" if s == "{" else "F" if self.key == '"features"' and self.top() else "A")
-                self.key = None
-            else:
-                if self.stack:
-                    self.stack.pop()
-                else:
-                    self.closed += 1
-                self.key = None
-                yield s, token.start()
-
-    def top(self) -> bool:
-        """Whether an array that opens now may be the features: at the top of a collection, or where that is not known yet."""
-        return self.stack == ["O"] if self.known else len(self.stack) <= 1
-
 
-def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, str]]:
+    def one(self, text: Text, at: int, kind: int) -> None:
+        """One bracket."""
+        if STEP[kind] < 0:
+            if self.stack:
+                self.stack.pop()
+            else:
+                self.closed += 1
+        elif kind == OPEN_OBJECT:
+            self.stack.append("O")
+        else:
+            top = self.stack == ["O"] if self.known else len(self.stack) <= 1
+            self.stack.append("F" if top and text.named_features(at) else "A")
+
+    def over(self, text: Text) -> None:
+        """The whole text: brackets that it closes and those that it leaves open."""
+        places, kinds, self.quoted = text.outside(self.quoted)
+        if not len(places):
+            return
+        depth = np.cumsum(STEP[kinds])
+        for _ in range(max(0, -int(depth.min()))):
+            self.one(text, 0, CLOSE_OBJECT)
+        after = np.minimum.accumulate(depth[::-1])[::-1]
+        left = np.flatnonzero((STEP[kinds] > 0) & (np.append(after[1:], depth[-1]) >= depth))
+        for k in left:
+            self.one(text, int(places[k]), int(kinds[k]))
+
+    def features(self, text: Text) -> tuple[list[int], list[int]]:
+        """Places where features begin and end; one that is open before the text has only its end."""
+        places, kinds, ends_quoted = text.outside(self.quoted)
+        depth = np.cumsum(STEP[kinds]) + len(self.stack)
+        if self.stack[:2] == ["O", "F"] and (not len(depth) or depth.min() >= 2):
+            begins, ends = places[(kinds == OPEN_OBJECT) & (depth == 3)].tolist(), places[(kinds == CLOSE_OBJECT) & (depth == 2)].tolist()
+            self.over(text)
+            return begins, ends
+        begins, ends = [], []
+        for at, kind in zip(places.tolist(), kinds.tolist()):  # the array of features begins or ends here, or other members
+            if kind == OPEN_OBJECT and self.stack == ["O", "F"]:
+                begins.append(at)
+            self.one(text, at, kind)
+            if kind == CLOSE_OBJECT and self.stack == ["O", "F"]:
+                ends.append(at)
+        self.quoted = ends_quoted
+        return begins, ends
+
+
+def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Text]]:
     """(split with its state, text) for the runs of rows of one split in each batch; every row gets its brace again."""
     for b in batches:
-        rows = list(zip(*(c.to_pylist() for c in b.columns[1:])))
-        values, begin = b.column(0).to_pylist(), 0
-        for k in range(1, len(rows) + 1):
-            if k == len(rows) or rows[k] != rows[begin]:
-                yield rows[begin], "}".join(values[begin:k]) + "}"
-                begin = k
+        if not b.num_rows:
+            continue
+        ends = np.union1d(*(pc.run_end_encode(b.column(k)).run_ends.to_numpy() for k in (1, 2)))  # a run has one path and one block
+        begins = np.concatenate([[0], ends[:-1]])
+        runs = pa.LargeListArray.from_arrays(np.append(begins, b.num_rows), b.column(0).cast(pa.large_binary()))
+        joined = pc.binary_join(runs, pa.scalar(b"}", pa.large_binary()))
+        for k, at in enumerate(begins.tolist()):
+            yield tuple(c[at].as_py() for c in b.columns[1:]), Text(joined[k].as_py() + b"}")
 
 
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +141,7 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows(now, scans)
             now, scans = split, (Scan(False), Scan(True)) if split[1] else (Scan(False),)
         for scan in scans:
-            for _ in scan.brackets(text):
-                pass
+            scan.over(text)
     if now:
         yield rows(now, scans)
 
@@ -125,31 +170,34 @@ def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         columns = zip(*found) if found else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["path", "since", "block", "value"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t).cast(u) for c, t, u in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), (pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["path", "since", "block", "value"])
 
     now, scan, since, inside, parts = None, None, None, False, []
     for state, text in buffers(batches):
         found = []
         if state != now:
             if parts:
-                found.append((now[0], since, now[1], "".join(parts)))
+                found.append((now[0], since, now[1], b"".join(parts)))
             if state[2] is None:
                 raise RuntimeError(f"{state[0]} was cut elsewhere when it was read again, at {state[1]}")
             now, scan, parts = state, Scan(state[2], state[3]), []
             since, inside = state[4], state[3].startswith("OFO")
-        begin = 0 if inside else None
-        for bracket, at in scan.brackets(text):
-            if bracket == "{" and scan.stack == ["O", "F"]:
-                begin, inside, since = at, True, now[1]
-            elif inside and scan.stack == ["O", "F"]:
-                value = "".join([*parts, text[begin : at + 1]])
-                found.append((now[0], None if since == now[1] else since, now[1], value))
-                begin, inside, parts = None, False, []
+        begins, ends = scan.features(text)
         if inside:
-            parts.append(text[begin:])
+            begins.insert(0, 0)
+        for begin, end in zip(begins, ends):
+            if not inside:
+                since = now[1]
+            found.append((now[0], None if since == now[1] else since, now[1], b"".join([*parts, text.data[begin : end + 1]])))
+            inside, parts = False, []
+        if len(begins) > len(ends):
+            if not inside:
+                since = now[1]
+            inside = True
+            parts.append(text.data[begins[-1] :])
         yield rows(found)
     if parts:
-        yield rows([(now[0], since, now[1], "".join(parts))])
+        yield rows([(now[0], since, now[1], b"".join(parts))])
 
 
 def splits(spark: SparkSession, path: str) -> DataFrame:

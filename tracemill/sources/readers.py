@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from . import collections
 
 FEATURE = "user string, timestamp long, `geomPoint.geom` struct<type:string,coordinates:array<double>>"
 
 
-def geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def geojson(spark: SparkSession, path: str, lines: bool = False, cut: bool = True) -> DataFrame:
     """Point features as (user_id, ts, lon, lat); other geometries and those with fewer than two coordinates are left out.
 
-    `lines`: one feature per line; else whole collections, each of which is cut between tasks too (see `collections`).
+    `lines`: one feature per line; else whole collections, each of which is cut between tasks too (see `collections`). Without
+    `cut` a task reads a whole collection, which is cheaper for many small files and needs memory for the largest.
     """
-    features = spark.read.schema(FEATURE).json(path) if lines else collections.features(spark, path, FEATURE).select("feature.*")
+    if lines:
+        features = spark.read.schema(FEATURE).json(path)
+    elif cut:
+        features = collections.features(spark, path, FEATURE).select("feature.*")
+    else:
+        whole = spark.read.schema(StructType().add("features", ArrayType(StructType.fromDDL(FEATURE)))).option("multiLine", True).json(path)
+        features = whole.select(F.explode("features").alias("f")).select("f.*")
     place = F.col("`geomPoint.geom`")
     kept = features.where((place["type"] == "Point") & (F.size(place["coordinates"]) >= 2))
     return kept.select(F.col("user").alias("user_id"), F.col("timestamp").alias("ts"), F.get(place["coordinates"], 0).alias("lon"), F.get(place["coordinates"], 1).alias("lat"))
