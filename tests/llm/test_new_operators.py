@@ -105,6 +105,26 @@ def test_op11_long_runs_and_blocks(spark, monkeypatch):
     assert found_repeats(spark.createDataFrame(rows, DOCS)) == plain_repeats([(i, t.encode()) for i, t in rows])
 
 
+def test_op11_sorts_only_contexts_that_may_repeat(monkeypatch):
+    """Contexts that share a key's 16 bytes and less than a window's places are not sorted; all that share a window are, wherever the key's string stands."""
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    anchor = noise(suffix_dedup.KEY)
+    key = suffix_dedup.string_hashes(anchor + bytes(8), 0, 1) >> np.uint64(16)
+    unlike = [noise(34) + anchor + noise(34) for _ in range(40)]
+    sorted_bytes = []
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", lambda symbols, sizes: sorted_bytes.append(len(symbols)) or suffix_arrays(symbols, sizes))
+    least, _ = suffix_dedup.least_ids(np.repeat(key, 40), unlike, np.arange(40), 50)
+    assert not sorted_bytes and least.tolist() == np.repeat(np.arange(40), 35).tolist()
+    for before in range(35):  # one window in common, the string at each place in it; the second one has the string twice
+        shared = noise(before) + anchor + noise(34 - before)
+        some = [*unlike[:5], noise(9) + shared + noise(7), anchor + noise(3) + shared + noise(2)]
+        kept = suffix_dedup.alike(np.repeat(key, len(some)), some, 50)
+        assert kept.tolist() == [False] * 5 + [True] * 2
+        least, first = suffix_dedup.least_ids(np.repeat(key, len(some)), some, np.arange(len(some)), 50)
+        assert least[first[5] + 9] == least[first[6] + 19] == 5 and least[first[6]] == 6
+
+
 def test_op11_awkward(spark):
     text = "the same passage of more than fifty bytes stands in all of these rows, é"
     rows = [(5, text), (5, text), (5, "x" + text), (None, text), (None, None), (6, None), (7, ""), (3, "\0" * 60 + text), (4, "\0" * 70), (9, text + " ")]

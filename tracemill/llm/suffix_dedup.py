@@ -29,17 +29,23 @@ from .common import keep, small_batches
 from .suffix_array import suffix_arrays
 
 #: Bytes of a key's string, windows that a run has at most, windows that are hashed at once, bytes of contexts that are sorted at once,
-#: runs from which a key is put off until there are more such.
-KEY, PIECE, BLOCK, SORTED, MANY = 16, 256, 1 << 19, 1 << 22, 24
+#: runs from which a key is put off until there are more such, parts of a window's places that `alike` tells apart.
+KEY, PIECE, BLOCK, SORTED, MANY, PARTS = 16, 256, 1 << 19, 1 << 22, 24, 3
+#: Bits of a hash that a key has not.
+SHIFT = np.uint64(16)
 
 
-def window_keys(data: bytes, begin: int, end: int, length: int) -> np.ndarray:
-    """Keys of the windows that begin at begin..end-1: the least hash of the KEY-byte strings in each."""
-    n = end - begin + length - KEY  # strings
+def string_hashes(data: bytes, begin: int, n: int) -> np.ndarray:
+    """Hashes of the n KEY-byte strings that begin at `begin` and behind."""
     word = np.ndarray((n + 8,), "<u8", data, begin, (1,))  # a view, the word at every byte
     h = word[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (word[8:] ^ (word[8:] >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def window_keys(data: bytes, begin: int, end: int, length: int) -> np.ndarray:
+    """Keys of the windows that begin at begin..end-1: the least hash of the KEY-byte strings in each."""
+    h = string_hashes(data, begin, end - begin + length - KEY)
     span, wide = 1, length - KEY + 1
     while span * 2 <= wide:
         h, span = np.minimum(h[:-span], h[span:]), span * 2
@@ -68,7 +74,7 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     if not found:
         return np.empty(0, dtype=np.uint64), *(np.empty(0, dtype=np.int64) for _ in range(3))
     key, *rest = (np.concatenate(x) for x in zip(*found))
-    return key >> np.uint64(16), *rest  # 48 bits tell keys apart, and others only meet in a group
+    return key >> SHIFT, *rest  # 48 bits tell keys apart, and others only meet in a group
 
 
 def _bytes_of(column: pa.Array) -> list[bytes]:
@@ -126,6 +132,41 @@ def _contexts(length: int, crowded: bool):
     return run
 
 
+def alike(keys: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """Which of different contexts may have a window in common with another one of their key; the others need not be sorted.
+
+    Every window of a context holds a string with its key's hash, and equal windows hold it at the same place. The places are parted into PARTS
+    ranges; all windows with the string in one range have the same bytes around it in common, and contexts that share those stay.
+    """
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    ends, data = np.cumsum(sizes), b"".join(contexts) + bytes(8)
+    n = len(data) - 8 - KEY + 1
+    word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+    keys = keys.astype(np.uint64)
+    wanted, places = np.repeat(keys, sizes), []
+    for at in range(0, n, BLOCK):
+        upto = min(at + BLOCK, n)
+        places.append(at + np.flatnonzero(string_hashes(data, at, upto - at) >> SHIFT == wanted[at:upto]))
+    place = np.concatenate(places)
+    owner = np.searchsorted(ends, place, "right")
+    free, stay = length - KEY + 1, np.zeros(len(contexts), dtype=bool)
+    for part in range(PARTS):
+        before, behind = part * free // PARTS, KEY + free - (part + 1) * free // PARTS
+        inside = (place - before >= (ends - sizes)[owner]) & (place + behind <= ends[owner])
+        begin, of = place[inside] - before, owner[inside]
+        h = keys[of]
+        for x in [*range(0, before + behind - 8, 8), before + behind - 8]:
+            h = (h ^ word[begin + x]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        by = np.lexsort((of, h))
+        h, of = h[by], of[by]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+        end = np.append(head[1:], len(h))
+        shared = of[head] < of[end - 1] if len(h) else np.empty(0, dtype=bool)
+        stay[of[np.repeat(shared, end[: len(head)] - head)]] = True
+    return stay
+
+
 def least_ids(keys: np.ndarray, contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For different contexts sorted by key, each with its least doc_id: the least doc_id of every window in them, among the contexts of its
     key, and where each context's windows begin in that array."""
@@ -139,6 +180,8 @@ def least_ids(keys: np.ndarray, contexts: list[bytes], ids: np.ndarray, length:
         alone[1:] &= ~same
         alone[:-1] &= ~same
     many = np.flatnonzero(~alone)
+    if len(many):
+        many = many[alike(keys[many], [contexts[i] for i in many.tolist()], length)]
     if not len(many):
         return least, first
     begins = np.cumsum(sizes[many] + 1) - sizes[many] - 1
