@@ -63,3 +63,12 @@ def test_a_member_is_a_row_of_the_shuffle(spark):
     cells = spark.range(50).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("roi")).withColumn("epoch", F.lit(0))
     traces = bitmaps.of_traces(cells, 1)
     assert traces.count() == 50 and traces.agg(F.max(F.length("bits"))).first()[0] == 400
+
+
+def test_counts_are_added_and_opened_in_one_worker(spark):
+    """A task of the last step has one Python worker and not two: packing, adding parts, adding parts and opening are all."""
+    cells = spark.createDataFrame([(1, 0, 0), (2, 1, 3)], "user_id long, roi int, epoch int")
+    counted = bitmaps.group_counts(spark.createDataFrame([("a", 1), ("a", 2)], "agg_id string, user_id long"), bitmaps.of_traces(cells, 4), ["agg_id"], 4)
+    plan = counted._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 3
+    assert sorted(map(tuple, counted.collect())) == [("a", 0, 0, 1), ("a", 1, 3, 1)]
