@@ -245,3 +245,14 @@ def test_draws_from_many_values_take_constant_work(spark):
     got = synthesis.draw(asked.drop("bucket"), synthesis.cumulative(shares, "v", []), "v", [])
     first = shares.where("v = 0").first().p
     assert got.count() == 200_000 and abs(got.where("v = 0").count() / 200_000 - first) < 5 * (first / 200_000) ** 0.5
+
+
+def test_the_rule_does_not_broadcast_the_groups_cells(spark, tmp_path):
+    """Counts of many groups are small files and large tables, so they are merged and never sent to the driver."""
+    counts = spark.createDataFrame([(1, "a", 0, 0, 2), (1, "b", 5, 0, 1), (2, "c", 1, 1, 1)], "target long, agg_id string, roi int, epoch int, cnt long")
+    counts.write.parquet(f"{tmp_path}/counts")
+    own = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "target long, roi int, epoch int")
+    found = rules.contradicted(counts.select("target", "agg_id"), spark.read.parquet(f"{tmp_path}/counts"), own, 2)
+    anti = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "LeftAnti" in x and "agg_id" in x]
+    assert anti and all("SortMergeJoin" in x for x in anti)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", False), (1, "b", True), (2, "c", False)]
