@@ -99,3 +99,16 @@ def test_a_bundle_from_too_few_users_raises(spark):
         build.bundle(cells, BuildConfig(group_size=20, n_targets=1, min_visits=10, reference_size=30, train=2, test=2, validation=2, seed=1))
     groups, _ = build.bundle(cells, BuildConfig(group_size=10, n_targets=1, min_visits=10, reference_size=20, train=2, test=2, validation=2, seed=1))
     assert groups.count() == 6
+
+
+def test_few_targets_are_dealt_out_before_members_are_made(spark):
+    """Rows of targets are few and would be in one task; a bundle's groups are read from what was drawn, not drawn again."""
+    heads = spark.range(1, 4).select(F.col("id").alias("target")).coalesce(1)
+    got = sampling.groups(sampling.Synthetic(heads, 6000), "test", 5000, 20)
+    assert got.select("agg_id", "user_id").distinct().count() == 3 * 20 * 5000
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    cells = spark.range(40).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("roi")).withColumn("epoch", F.lit(0))
+    config = BuildConfig(group_size=10, n_targets=1, min_visits=10, reference_size=20, train=2, test=2, validation=2, seed=1)
+    groups, counts = build.bundle(cells.unionByName(cells), config)  # repeats count once
+    assert "ArrowEvalPython" not in groups._jdf.queryExecution().toString()
+    assert {r.cnt for r in counts.collect()} == {10}
