@@ -125,6 +125,32 @@ def test_op11_sorts_only_contexts_that_may_repeat(monkeypatch):
         assert least[first[5] + 9] == least[first[6] + 19] == 5 and least[first[6]] == 6
 
 
+def test_op11_sorts_no_stretch_twice(monkeypatch):
+    """Where a passage of many texts begins and ends, what is all theirs is sorted once and the rest in short strings; least ids are those of plain comparison."""
+    rng = random.Random(9)
+    noise = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    passage, longest, total = noise(200), [0], [0]
+
+    def counted(symbols, sizes):
+        longest[0], total[0] = max(longest[0], int(sizes.max())), total[0] + len(symbols)
+        return suffix_arrays(symbols, sizes)
+
+    monkeypatch.setattr(suffix_dedup, "suffix_arrays", counted)
+    texts = [noise(60) + passage + noise(60) for _ in range(40)] + [noise(60) + b"ab" * 100 + noise(60) for _ in range(5)]
+    key, owner, begin, size = suffix_dedup.runs(texts, 50)
+    contexts = [texts[t][x : x + n + 49] for t, x, n in zip(owner.tolist(), begin.tolist(), size.tolist())]
+    by = sorted({(k, c): o for k, c, o in sorted(zip(key.tolist(), contexts, owner.tolist()), key=lambda r: -r[2])}.items())
+    keys, contexts, ids = np.array([k for (k, _), _ in by]), [c for (_, c), _ in by], np.array([o for _, o in by])
+    least, first = suffix_dedup.least_ids(keys, contexts, ids, 50)
+    plain = {}
+    for c, i in zip(contexts, ids.tolist()):
+        for p in range(len(c) - 49):
+            plain[c[p : p + 50]] = min(i, plain.get(c[p : p + 50], i))
+    for c, f in zip(contexts, first.tolist()):
+        assert least[f : f + len(c) - 49].tolist() == [plain[c[p : p + 50]] for p in range(len(c) - 49)]
+    assert total[0] < 9_000 and longest[0] < 2_700, (total, longest)
+
+
 def test_op11_awkward(spark):
     text = "the same passage of more than fifty bytes stands in all of these rows, é"
     rows = [(5, text), (5, text), (5, "x" + text), (None, text), (None, None), (6, None), (7, ""), (3, "\0" * 60 + text), (4, "\0" * 70), (9, text + " ")]

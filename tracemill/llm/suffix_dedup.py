@@ -5,9 +5,9 @@ same wherever the window stands, so all places of a repeat have one key. Neighbo
 are its context. Keys that one text alone has are left out, in one shuffle of keys without texts.
 
 Of copies of a whole text only the first is looked at, the others lose all. The contexts of a key meet in one task, each different one
-once with its least doc_id. Their suffixes are sorted (suffix_array), many
-keys side by side; suffixes that begin with the same window are neighbours then, and the least doc_id among them says which
-documents lose it. A key that more than `crowd` texts have, such as that of a line that a third of all documents have, is not gathered:
+once with its least doc_id. Stretches of them that may have a window in common are classes, and the suffixes of each class's different
+stretches are sorted (suffix_array), many classes side by side; suffixes that begin with the same window are neighbours then, and the
+least doc_id among them says which documents lose it. A key that more than `crowd` texts have, such as that of a line that a third of all documents have, is not gathered:
 each of its windows is a context of its own, and those are grouped by Spark with partial sums.
 
 Nulls and edge cases: a null text is empty, a text shorter than a window keeps all; a row without a doc_id has no smaller one and is no
@@ -29,8 +29,8 @@ from .common import keep, small_batches
 from .suffix_array import suffix_arrays
 
 #: Bytes of a key's string, windows that a run has at most, windows that are hashed at once, bytes of contexts that are sorted at once,
-#: runs from which a key is put off until there are more such, parts of a window's places that `alike` tells apart.
-KEY, PIECE, BLOCK, SORTED, MANY, PARTS = 16, 256, 1 << 19, 1 << 22, 24, 3
+#: runs from which a key is put off until there are more such, parts of a window's places that are told apart.
+KEY, PIECE, BLOCK, SORTED, MANY, PARTS = 16, 256, 1 << 19, 1 << 24, 1024, 5
 #: Bits of a hash that a key has not.
 SHIFT = np.uint64(16)
 
@@ -56,21 +56,26 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """(key, text, begin, windows) of the runs of all texts; a run may be cut into several."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data, ends = b"".join(texts), np.cumsum(sizes)
+    stops = np.sort(np.concatenate([ends, np.maximum(ends - sizes, ends - length + 1)]))  # no window is whole from the one up to the other
     found = []
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
         upto = min(at + BLOCK, len(data) - length + 1)
-        key, begin = window_keys(data, at, upto, length), np.arange(at, upto)
-        owner = np.searchsorted(ends, begin, "right")
-        whole = begin + length <= ends[owner]
-        key, begin, owner = key[whole], begin[whole], owner[whole]
+        key = window_keys(data, at, upto, length)
+        edge = np.empty(upto - at, dtype=bool)
+        edge[0] = True
+        np.not_equal(key[1:], key[:-1], out=edge[1:])
+        edge[stops[np.searchsorted(stops, at) : np.searchsorted(stops, upto)] - at] = True  # runs end with their text
+        new = np.flatnonzero(edge)
+        size = np.diff(np.append(new, upto - at))
+        owner = np.searchsorted(ends, at + new, "right")
+        whole = at + new + length <= ends[owner]
+        key, begin, size, owner = key[new[whole]], at + new[whole], size[whole], owner[whole]
         if not len(key):
             continue
-        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]))
-        size = np.diff(np.append(new, len(key)))
         parts = -(-size // PIECE)  # long runs, as of periodic texts, in pieces
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(new, parts) + nth * PIECE
-        found.append((key[first], owner[first], begin[first] - (ends - sizes)[owner[first]], np.minimum(PIECE, np.repeat(size, parts) - nth * PIECE)))
+        of = np.repeat(np.arange(len(key)), parts)
+        found.append((key[of], owner[of], (begin - (ends - sizes)[owner])[of] + nth * PIECE, np.minimum(PIECE, size[of] - nth * PIECE)))
     if not found:
         return np.empty(0, dtype=np.uint64), *(np.empty(0, dtype=np.int64) for _ in range(3))
     key, *rest = (np.concatenate(x) for x in zip(*found))
@@ -113,11 +118,9 @@ def _contexts(length: int, crowded: bool):
             texts, wanted = _bytes_of(b.column("text")), b.column("keys")
             key, owner, begin, size = runs(texts, length)
             held, of = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64), wanted.value_lengths().to_numpy(zero_copy_only=False)
-            pairs = np.zeros(len(held), dtype=[("t", np.int64), ("k", np.uint64)])
-            pairs["t"], pairs["k"] = np.repeat(np.arange(len(texts)), of), held
-            mine = np.zeros(len(key), dtype=pairs.dtype)
-            mine["t"], mine["k"] = owner, key
-            keep = np.isin(mine, pairs)
+            wide = np.uint64(64) - SHIFT  # a key's bits; above it is the text's number, and what it has too many bits for is kept for nothing
+            pairs = held | np.repeat(np.arange(len(texts), dtype=np.uint64), of) << wide
+            keep = np.isin(key | owner.astype(np.uint64) << wide, pairs)
             key, owner, begin, size = key[keep], owner[keep], begin[keep], size[keep]
             if crowded:
                 nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -132,65 +135,101 @@ def _contexts(length: int, crowded: bool):
     return run
 
 
-def alike(keys: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
-    """Which of different contexts may have a window in common with another one of their key; the others need not be sorted.
+def _places(keys: np.ndarray, data: bytes, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings with their key's hash begin in the contexts that end at `ends`, and in which context each is."""
+    n = len(data) - 8 - KEY + 1
+    places = [np.empty(0, dtype=np.int64)]
+    for at in range(0, n, BLOCK):
+        upto = min(at + BLOCK, n)
+        x, y = np.searchsorted(ends, [at, upto - 1], "right").tolist()
+        wanted = np.repeat(keys[x : y + 1].astype(np.uint64), np.minimum(ends[x : y + 1], upto) - np.maximum((ends - sizes)[x : y + 1], at))
+        places.append(at + np.flatnonzero(string_hashes(data, at, upto - at) >> SHIFT == wanted))
+    place = np.concatenate(places)
+    owner = np.searchsorted(ends, place, "right")
+    inside = place + KEY <= ends[owner]
+    return place[inside], owner[inside]
+
+
+def _shared(keys: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first window, windows, class) of the stretches of windows that different contexts may have in common, by class; how many
+    places each context's key has in it.
 
     Every window of a context holds a string with its key's hash, and equal windows hold it at the same place. The places are parted into PARTS
-    ranges; all windows with the string in one range have the same bytes around it in common, and contexts that share those stay.
+    ranges; all windows with the string in one range have the same bytes around it in common. Those with equal ones are a class.
     """
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     ends, data = np.cumsum(sizes), b"".join(contexts) + bytes(8)
-    n = len(data) - 8 - KEY + 1
     word = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
-    keys = keys.astype(np.uint64)
-    wanted, places = np.repeat(keys, sizes), []
-    for at in range(0, n, BLOCK):
-        upto = min(at + BLOCK, n)
-        places.append(at + np.flatnonzero(string_hashes(data, at, upto - at) >> SHIFT == wanted[at:upto]))
-    place = np.concatenate(places)
-    owner = np.searchsorted(ends, place, "right")
-    free, stay = length - KEY + 1, np.zeros(len(contexts), dtype=bool)
+    place, owner = _places(keys, data, ends, sizes)
+    begins, free, found, classes = ends - sizes, length - KEY + 1, [], 0
     for part in range(PARTS):
-        before, behind = part * free // PARTS, KEY + free - (part + 1) * free // PARTS
-        inside = (place - before >= (ends - sizes)[owner]) & (place + behind <= ends[owner])
+        before, after = part * free // PARTS, (part + 1) * free // PARTS
+        behind = KEY + free - after
+        low = np.maximum(place - after + 1, begins[owner])
+        high = np.minimum(place - before, ends[owner] - length)
+        inside = low <= high
         begin, of = place[inside] - before, owner[inside]
-        h = keys[of]
+        h = keys.astype(np.uint64)[of]
         for x in [*range(0, before + behind - 8, 8), before + behind - 8]:
             h = (h ^ word[begin + x]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         by = np.lexsort((of, h))
         h, of = h[by], of[by]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+        if not len(h):
+            continue
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         end = np.append(head[1:], len(h))
-        shared = of[head] < of[end - 1] if len(h) else np.empty(0, dtype=bool)
-        stay[of[np.repeat(shared, end[: len(head)] - head)]] = True
+        stay = np.repeat(of[head] < of[end - 1], end - head)
+        low, high = low[inside][by], high[inside][by]
+        found.append((of[stay], (low - begins[of])[stay], (high - low + 1)[stay], classes + np.repeat(np.arange(len(head)), end - head)[stay]))
+        classes += len(head)
+    found.append(tuple(np.empty(0, dtype=np.int64) for _ in range(4)))
+    return *(np.concatenate(x) for x in zip(*found)), np.bincount(owner, minlength=len(contexts))
+
+
+def alike(keys: np.ndarray, contexts: list[bytes], length: int) -> np.ndarray:
+    """Which of different contexts may have a window in common with another one of their key; the others need not be sorted."""
+    stay = np.zeros(len(contexts), dtype=bool)
+    stay[_shared(keys, contexts, length)[0]] = True
     return stay
 
 
-def least_ids(keys: np.ndarray, contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For different contexts sorted by key, each with its least doc_id: the least doc_id of every window in them, among the contexts of its
-    key, and where each context's windows begin in that array."""
+def _firsts(groups: np.ndarray, words: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal strings of a group one with the least doc_id, by group; which of these each string is."""
+    code = pa.array(words, pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    by = np.lexsort((ids, code, groups))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (groups[by][1:] != groups[by][:-1]) | (code[by][1:] != code[by][:-1])
+    which = np.empty(len(by), dtype=np.int64)
+    which[by] = np.cumsum(new) - 1
+    return by[new], which
+
+
+def _alone(groups: np.ndarray) -> np.ndarray:
+    """Of sorted groups: which have one member."""
+    alone = np.ones(len(groups), dtype=bool)
+    same = groups[1:] == groups[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    return alone
+
+
+def _sorted_ids(groups: np.ndarray, contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For different contexts sorted by group: the least doc_id of every window in them, among the contexts of its group, and where each
+    context's windows begin in that array. A group is one string to sort."""
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     windows = sizes - length + 1
     first = np.cumsum(windows) - windows
     least = np.repeat(ids, windows)
-    alone = np.ones(len(keys), dtype=bool)
-    if len(keys) > 1:
-        same = keys[1:] == keys[:-1]
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-    many = np.flatnonzero(~alone)
-    if len(many):
-        many = many[alike(keys[many], [contexts[i] for i in many.tolist()], length)]
+    many = np.flatnonzero(~_alone(groups))
     if not len(many):
         return least, first
     begins = np.cumsum(sizes[many] + 1) - sizes[many] - 1
     data = np.frombuffer(b"\0".join([contexts[i] for i in many.tolist()]) + b"\0", dtype=np.uint8)
     symbols = data.astype(np.int64) + 1
     symbols[begins + sizes[many]] = 0  # behind each context
-    group = np.concatenate([[True], keys[many][1:] != keys[many][:-1]])
-    of_key = np.add.reduceat(sizes[many] + 1, np.flatnonzero(group))
-    order = suffix_arrays(symbols, of_key)
+    group = np.concatenate([[True], groups[many][1:] != groups[many][:-1]])
+    order = suffix_arrays(symbols, np.add.reduceat(sizes[many] + 1, np.flatnonzero(group)))
     context = np.repeat(np.arange(len(many)), sizes[many] + 1)[order]
     inside = order - begins[context]
     starts = np.flatnonzero(inside <= sizes[many][context] - length)
@@ -208,6 +247,38 @@ def least_ids(keys: np.ndarray, contexts: list[bytes], ids: np.ndarray, length:
     return least, first
 
 
+def least_ids(keys: np.ndarray, contexts: list[bytes], ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For different contexts sorted by key, each with its least doc_id: the least doc_id of every window in them, among the contexts of its
+    key, and where each context's windows begin in that array.
+
+    What contexts may have in common is sorted class by class, as a class is short where a key is long; of a class's equal stretches one is
+    sorted. Contexts of a key whose string stands twice in one of them, as in periodic texts, are sorted whole and together.
+    """
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    windows = sizes - length + 1
+    first = np.cumsum(windows) - windows
+    least = np.repeat(ids, windows)
+    many = np.flatnonzero(~_alone(keys))
+    if not len(many):
+        return least, first
+    of, begin, count, group, places = _shared(keys[many], [contexts[i] for i in many.tolist()], length)
+    twice = np.isin(keys[many], keys[many][places > 1])
+    whole = np.zeros(len(many), dtype=bool)
+    whole[of[twice[of]]] = True
+    whole = many[whole]
+    found, at = _sorted_ids(keys[whole], [contexts[i] for i in whole.tolist()], ids[whole], length)
+    nth = np.arange(len(found)) - np.repeat(at, windows[whole])
+    least[np.repeat(first[whole], windows[whole]) + nth] = found
+    once = ~twice[of]
+    of, begin, count, group = many[of[once]], begin[once], count[once], group[once]
+    words = [contexts[i][x:y] for i, x, y in zip(of.tolist(), begin.tolist(), (begin + count + length - 1).tolist())]
+    head, which = _firsts(group, words, ids[of])
+    found, at = _sorted_ids(group[head], [words[i] for i in head.tolist()], ids[of[head]], length)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    least[np.repeat(first[of] + begin, count) + nth] = found[np.repeat(at[which], count) + nth]
+    return least, first
+
+
 def _spans(keys: np.ndarray, contexts: pa.Array, docs: np.ndarray, refs: np.ndarray, begins: np.ndarray, length: int) -> pa.RecordBatch:
     """Of all runs of some keys: what each text loses, as spans of bytes."""
     coded = contexts.dictionary_encode()
@@ -219,13 +290,17 @@ def _spans(keys: np.ndarray, contexts: pa.Array, docs: np.ndarray, refs: np.ndar
     which = np.empty(len(keys), dtype=np.int64)
     which[by] = np.cumsum(new) - 1
     size = np.diff(np.append(first, len(least)))[which]
-    nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    run = np.repeat(np.arange(len(keys)), size)
-    lost = np.flatnonzero(least[first[which][run] + nth] < docs[run])
-    run, nth = run[lost], nth[lost]
-    edge = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (nth[1:] != nth[:-1] + 1)])) if len(run) else np.empty(0, dtype=np.int64)
-    last = np.append(edge[1:], len(run)) - 1 if len(run) else edge
-    run, start, end = run[edge], nth[edge], nth[last] + length
+    found = [(np.empty(0, dtype=np.int64),) * 3]
+    for x in range(0, len(keys), BLOCK // 32):  # windows are many more than runs
+        part = slice(x, x + BLOCK // 32)
+        nth = np.arange(size[part].sum()) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+        lost = np.flatnonzero(least[np.repeat(first[which[part]], size[part]) + nth] < np.repeat(docs[part], size[part]))
+        if len(lost):
+            run, nth = np.repeat(np.arange(len(size[part])), size[part])[lost], nth[lost]
+            edge = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (nth[1:] != nth[:-1] + 1)]))
+            last = np.append(edge[1:], len(run)) - 1
+            found.append((x + run[edge], nth[edge], nth[last] + length))
+    run, start, end = (np.concatenate(x) for x in zip(*found))
     return pa.RecordBatch.from_arrays([pa.array(refs[run], pa.int64()), pa.array(docs[run], pa.int64()), pa.array(begins[run] + start, pa.int64()), pa.array(begins[run] + end, pa.int64())], ["ref", "doc_id", "start", "end"])
 
 
